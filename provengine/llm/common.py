@@ -23,11 +23,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` to a table in the shared folder and read it back: its lineage is cut, and what a
     later job reads is a fact even if executors are lost."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
