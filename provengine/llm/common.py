@@ -31,6 +31,12 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def send_along(table: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A written table as the side of a join that is broadcast if it is counted and found small; a larger
+    one is left to the planner, which then deals both sides by key."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def prefix_sums(df: DataFrame, order: list[str], size: str) -> DataFrame:
     """Add `before` (sum of `size` over all rows that come earlier in `order`) and `index` (their number).
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, prefix_hash, span_hash, stash, text_chunks, words
+from .common import lowered, mix, prefix_hash, send_along, span_hash, stash, text_chunks, words
 
 
 def shingle_sets(texts: list, k: int = 5):
@@ -314,7 +314,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
 
     chosen = stash(candidates.select("node").distinct())
     wanted = stash(rows.join(chosen, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    texts = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    texts = docs.join(send_along(wanted.select(F.col("doc_id").alias("wanted_id"))), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def sets(batches):
         for batch in batches:

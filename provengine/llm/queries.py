@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, media, mixing, quality, sharding, tokens
+from . import chat, decontamination, exact_substrings, jaccard, media, mixing, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota")
 
 
+def op6_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(tokens.write_shards(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_exact_substrings": op6_exact_substrings,
     "op7_tokens": op7_tokens,
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
