@@ -1,7 +1,83 @@
-"""Placeholder until the stages' operators are there."""
-STAGES = []
+"""The training-data pipeline: classify, drop near duplicates, decontaminate, mix, shard.
+
+Each stage takes (spark, docs, sf_dir), works on every row of `docs`, and returns a DataFrame that is
+written as Parquet and read again for the next one. All but the last return the columns of documents.
+Rows are told apart by a fingerprint of id and text, so that null and repeated ids do no harm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provengine.llm import decontamination, jaccard, mixing, quality, sharding
+from provengine.llm.common import row_key, send_along, stash
+
+_KEY = "__row_key"
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows whose keys are in `gone` (row_key)."""
+    gone = send_along(stash(gone.select(F.col("row_key").alias(_KEY)).distinct()))
+    return docs.withColumn(_KEY, row_key("doc_id", "text")).join(gone, _KEY, "left_anti").select(docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among `docs`, rejects go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_quality(docs, model).where("quality_score >= 0.5").select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the row of least id stays; of rows alike in id and text, one."""
+    rows = stash(jaccard.near_duplicates(docs).where("n_shingles > 0"))
+    chosen = rows.groupBy("component").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("kept"))
+    rest = _without(docs, rows.join(chosen, "component").where("row_key <> kept"))
+    again = stash(rows.groupBy("row_key").count().where("count > 1").select("row_key"))
+    if again.isEmpty():
+        return rest
+    twice = rest.withColumn(_KEY, row_key("doc_id", "text")).join(again.withColumnRenamed("row_key", _KEY), _KEY, "left_semi").dropDuplicates([_KEY])
+    return _without(rest, again).unionByName(twice.select(docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole: the words taken by its size, rounded."""
+    taken = mixing.mix_sources(docs).where("size > 0")
+    copies = taken.select("row_key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("copies"))
+    copies = copies.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    copies = stash(copies.withColumnRenamed("row_key", _KEY))
+    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(copies.where("copies > 0"), _KEY)
+    once = joined.where("alike = 1")
+    if not copies.where("alike > 1").isEmpty():  # rows alike are repeated together
+        once = once.unionByName(joined.where("alike > 1").dropDuplicates([_KEY]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(_KEY)).drop(_KEY)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contiguous shards of near-equal bytes."""
+    return sharding.shard_by_bytes(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near duplicates", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: A trained classifier and a similarity join are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def prefix_sums(df: DataFrame, order: list[str], size: str) -> DataFrame:
     )
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """64 bits that tell rows apart by id and text, whatever their types; a null text counts as empty."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -153,3 +159,26 @@ def words(offsets: np.ndarray, data: np.ndarray):
 
 def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def grouped(key: str, columns: list[str]):
+    """Turn the batches of a partition sorted by `key` into (key, {column: rows}) of each run."""
+
+    def groups(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = held[key].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if len(cuts):
+                done, held = held.slice(0, cuts[-1]), held.slice(cuts[-1])
+                keys, at = keys[: cuts[-1]], 0
+                rows = {c: done[c].to_pylist() if pa.types.is_binary(done[c].type) else done[c].to_numpy() for c in columns}
+                for cut in cuts:
+                    yield keys[at], {c: v[at:cut] for c, v in rows.items()}
+                    at = cut
+        if held is not None and held.num_rows:
+            yield held[key][0].as_py(), {c: held[c].to_pylist() if pa.types.is_binary(held[c].type) else held[c].to_numpy() for c in columns}
+
+    return groups

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stash
+from .common import ascii_lower, row_key, stash
 
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -58,13 +58,13 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 4,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated: one row a row of `docs`."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated, row_key: one row a row of `docs`."""
     windows, members = benchmark_windows(items, window, shingle, item_id_col, item_text_col)
     own = windows.select("window_id", "length", "size", F.posexplode("shingles").alias("offset", "token"))
     tokens = stash(own.select("token").distinct())
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `shingle` numbers
 
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     # explode() of one array keeps the words as a column, where they would be split anew for each shingle.
     found = keyed.select("doc_id", "row_key", F.explode(F.array(item_words(F.col("text")))).alias("words"))
     found = found.select("doc_id", "row_key", F.size("words").alias("n_words"), *[_shingles(F.col("words"), k).alias(f"s{k}") for k in sizes])
@@ -123,4 +123,5 @@ def find_contamination(
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        counts["row_key"],
     )

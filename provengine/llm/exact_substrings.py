@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, send_along, span_hash, stash, text_chunks
+from .common import mix, prefix_hash, row_key, send_along, span_hash, stash, text_chunks
 
 PLACE_BITS = np.uint64(28)
 
@@ -64,7 +64,7 @@ def triggers(offsets: np.ndarray, data: np.ndarray, length: int, span: int, gram
 
 def _binary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("raw"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text.cast("binary").alias("raw"))
 
 
 def _anchors(docs: DataFrame, length: int, span: int, gram: int) -> DataFrame:

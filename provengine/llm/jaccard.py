@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix, prefix_hash, send_along, span_hash, stash, text_chunks, words
+from .common import grouped, lowered, mix, prefix_hash, row_key, send_along, span_hash, stash, text_chunks, words
 
 
 def shingle_sets(texts: list, k: int = 5):
@@ -63,7 +63,7 @@ def shingle_sets(texts: list, k: int = 5):
 
 
 def _nodes(df: DataFrame, k: int, groups: int) -> DataFrame:
-    """doc_id, n, node (64 bits of the set's digest; null without a set), point (group counts)."""
+    """doc_id, row_key, n, node (64 bits of the set's digest; null without a set), point (group counts)."""
 
     def run(batches):
         for batch in batches:
@@ -74,9 +74,9 @@ def _nodes(df: DataFrame, k: int, groups: int) -> DataFrame:
                     sizes.append(len(tokens))
                     nodes.append(_node(tokens))
                     points.append(_point(tokens, groups) if len(tokens) else None)
-                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "n", "node", "point"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "row_key", "n", "node", "point"])
 
-    return df.mapInArrow(run, "doc_id long, n int, node long, point binary")
+    return df.mapInArrow(run, "doc_id long, row_key long, n int, node long, point binary")
 
 
 def _node(tokens: np.ndarray) -> int | None:
@@ -111,29 +111,6 @@ def _prefixes(df: DataFrame, k: int, threshold: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "token long, node long")
 
 
-def _grouped(key: str, columns: list[str]):
-    """Turn the batches of a partition sorted by `key` into (key, {column: rows}) of each run."""
-
-    def groups(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = held[key].to_numpy()
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            if len(cuts):
-                done, held = held.slice(0, cuts[-1]), held.slice(cuts[-1])
-                keys, at = keys[: cuts[-1]], 0
-                rows = {c: done[c].to_pylist() if pa.types.is_binary(done[c].type) else done[c].to_numpy() for c in columns}
-                for cut in cuts:
-                    yield keys[at], {c: v[at:cut] for c, v in rows.items()}
-                    at = cut
-        if held is not None and held.num_rows:
-            yield held[key][0].as_py(), {c: held[c].to_pylist() if pa.types.is_binary(held[c].type) else held[c].to_numpy() for c in columns}
-
-    return groups
-
-
 def _needed(a, b, threshold: int):
     """The least overlap that links sets of sizes a and b."""
     return -(-threshold * (a + b) // (100 + threshold))
@@ -204,7 +181,7 @@ def _candidates(blocks: DataFrame, groups: int, threshold: int) -> DataFrame:
 
     def run(batches):
         out_group, out_node = [], []
-        for _, rows in _grouped("block", ["node", "n", "point"])(batches):
+        for _, rows in grouped("block", ["node", "n", "point"])(batches):
             nodes = rows["node"]
             if len(nodes) < 2:
                 continue
@@ -260,7 +237,7 @@ def _links(groups: DataFrame, threshold: int) -> DataFrame:
     """a, b: links from each component's first node in a group to the others."""
 
     def run(batches):
-        for _, rows in _grouped("grp", ["node", "tokens"])(batches):
+        for _, rows in grouped("grp", ["node", "tokens"])(batches):
             nodes, raw = rows["node"], rows["tokens"]
             sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
             _, codes, counts = np.unique(np.frombuffer(b"".join(raw), dtype=np.uint64), return_inverse=True, return_counts=True)
@@ -293,8 +270,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 64, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row a row of `df`."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, n_shingles, component_id, component (null without a set), row_key: one row a row of `df`."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     rows = stash(_nodes(docs, k, groups))
     nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")))
 
@@ -328,5 +305,5 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
 
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("node IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.select("doc_id", "n", "label").join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = labelled.select("doc_id", "row_key", "n", "label").join(least, "label", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("label").alias("component"), "row_key")

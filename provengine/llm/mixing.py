@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, stash, word_count
+from .common import prefix_sums, row_key, stash, word_count
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -85,12 +85,12 @@ def mix_sources(
     df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, blocks_in_least: int = 1024, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), quota (blocks of its source).
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), quota (blocks of its source), row_key.
 
     A block is the least non-empty source's words by `blocks_in_least`, one at least, so every source
     comes within a few blocks of its target."""
     narrow = stash(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_key(id_col, text_col).alias("row_key"), word_count(F.col(text_col)).alias("size"))
     )
     targets = source_targets(narrow, weights, most)
     every = Window.partitionBy()
@@ -112,7 +112,7 @@ def mix_sources(
     )
     # The table of sources is written, so its size is known: the planner sends it along only if it is small.
     ranked = narrow.join(plan.select("source", "source_rank"), narrow["source"].eqNullSafe(plan["source"])).select(
-        "source_rank", "doc_id", "size", _seeded(seed, F.col("doc_id"), F.col("size")).alias("seeded")
+        "source_rank", "doc_id", "row_key", "size", _seeded(seed, F.col("doc_id"), F.col("size")).alias("seeded")
     )
     placed = prefix_sums(ranked, ["source_rank", "seeded", "doc_id", "size"], "size").join(plan, "source_rank")
     at = F.col("before") - F.col("base")
@@ -121,5 +121,5 @@ def mix_sources(
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("rounds") * F.col("size") + over(F.col("lo"), F.least("hi", "source_size")) + over(F.lit(0), F.col("round_end"))).alias("taken"),
-        "quota",
+        "quota", "row_key",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_substrings, jaccard, media, mixing, quality, sharding, tokens
+from . import chat, decontamination, exact_substrings, fuzzy_substrings, jaccard, media, mixing, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(tokens.write_shards(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
 
 
+def op8_fuzzy_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_substrings.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_substrings": op6_exact_substrings,
     "op7_tokens": op7_tokens,
+    "op8_fuzzy_substrings": op8_fuzzy_substrings,
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
