@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
@@ -127,3 +128,17 @@ def stream_merge(spark, sf_dir):
     return M.stream_merge(M.land(obs, root), root)
 
 
+
+
+@query("src_corpus_files", "SELECT 'json' AS kind, CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS documents, true AS filled, false AS partial")
+def src_corpus_files(spark, sf_dir):
+    at = M.scratch(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(5).write.json(f"{at}/corpus")
+    found = P.scan_corpus(spark, f"{at}/corpus")
+    return found.groupBy("kind").agg(F.count("*").alias("files"), F.count_distinct("document_id").alias("documents"), F.bool_and(F.col("size_bytes") > 0).alias("filled"), F.bool_or("partial").alias("partial"))
+
+
+@query("run_documents", "SELECT run_id, document_id, row_number() OVER (PARTITION BY run_id ORDER BY document_id) AS place FROM {DOC} d")
+def run_documents(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("document_id"))
+    return docs(spark, sf_dir).select("run_id", "document_id", place.cast("long").alias("place"))
