@@ -44,28 +44,37 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree_id, leaf_id, branch (rank from 1), node_id, depth (root: 0) of each node on a chosen path."""
     base = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["tree_id", "node_id"])
     ids = base.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
+    columns = ["tree_id", "node_id", "to", "score", "reach"]
     jump = stash(
         base.join(ids, ["tree_id", "parent_id"], "left").select(
             "tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("to"), "score", F.lit(1).cast("long").alias("reach")
         )
     )
-    levels = [jump.select("tree_id", "node_id", "to")]
-    open_before = None
+    # Nodes whose jump has passed the root are done and join no more, so a long branch costs only itself.
+    done, open_, levels, open_before = [jump.where(F.col("to").isNull())], jump.where(F.col("to").isNotNull()), [], None
     while True:
-        still = jump.where(F.col("to").isNotNull()).count()
+        still = open_.count()
         if not still or still == open_before:  # none left, or loops alone
             break
         open_before = still
-        far = jump.select("tree_id", F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("score").alias("more"), F.col("reach").alias("further"))
+        levels.append(open_.select("tree_id", "node_id", "to"))
+        known = open_
+        for part in done:
+            known = known.unionByName(part)
+        far = known.select("tree_id", F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("score").alias("more"), F.col("reach").alias("further"))
         jump = stash(
-            jump.join(far, ["tree_id", "to"], "left").select(
-                "tree_id", "node_id", F.col("next").alias("to"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("reach") + F.coalesce("further", F.lit(0))).alias("reach"),
+            open_.join(far, ["tree_id", "to"]).select(
+                "tree_id", "node_id", F.col("next").alias("to"), (F.col("score") + F.col("more")).alias("score"), (F.col("reach") + F.col("further")).alias("reach")
             )
         )
-        levels.append(jump.select("tree_id", "node_id", "to"))
-    rooted = jump.where(F.col("to").isNull()).select("tree_id", "node_id", "score", (F.col("reach") - 1).alias("depth"))
-    leaves = rooted.join(levels[0].select("tree_id", F.col("to").alias("node_id")), ["tree_id", "node_id"], "left_anti")
+        done.append(jump.where(F.col("to").isNull()))
+        open_ = jump.where(F.col("to").isNotNull())
+    rooted = done[0].select(columns)
+    for part in done[1:]:
+        rooted = rooted.unionByName(part.select(columns))
+    rooted = rooted.select("tree_id", "node_id", "score", (F.col("reach") - 1).alias("depth"))
+    parents = done[0].limit(0).select("tree_id", "node_id") if not levels else levels[0].select("tree_id", F.col("to").alias("node_id"))
+    leaves = rooted.join(parents, ["tree_id", "node_id"], "left_anti")
     rank = Window.partitionBy("tree_id").orderBy((F.col("score") / (F.col("depth") + 1)).desc(), "node_id")
     picked = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     paths = picked.select("tree_id", F.col("node_id").alias("leaf_id"), "branch", "node_id")
