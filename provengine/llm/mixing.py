@@ -68,7 +68,7 @@ def sainte_lague(targets: DataFrame, blocks: str, shards: int) -> DataFrame:
         F.when(F.col("miss") > 0, F.col("target") / (2 * (F.col("near") + F.col("step")) - 1))
         .when((F.col("miss") < 0) & (F.col("near") >= F.col("step")), -F.col("target") / (2 * (F.col("near") - F.col("step")) + 1)),
     )
-    order = Window.partitionBy("shard").orderBy(F.col("quotient").desc_nulls_last(), "source_rank", "step")
+    order = Window.partitionBy("shard").orderBy(F.col("quotient").desc_nulls_last(), F.when(F.col("miss") > 0, F.col("source_rank")).otherwise(-F.col("source_rank")), "step")
     steps = steps.withColumn("won", (F.col("miss") != 0) & F.col("quotient").isNotNull() & (F.row_number().over(order) <= F.abs("miss")))
     seats = steps.groupBy("source_rank", "shard").agg(
         (F.first("near") + F.signum(F.first("miss")).cast("long") * F.count_if("won")).alias("seats")
