@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_substrings, fuzzy_substrings, jaccard, media, mixing, quality, sharding, tokens
+from . import chat, decontamination, exact_substrings, fuzzy_substrings, jaccard, media, mixing, oracles, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_jaccard": oracles.JACCARD, "op3_chat": oracles.CHAT, "op5_mixing": oracles.MIXING, "op9_decontamination": oracles.DECONTAMINATION}
