@@ -310,7 +310,9 @@ def rank_oa_locations(spark, sf_dir):
     return R.rank_oa_locations(loc).select("document_id", "url", "rank")
 
 
-_WALK = f"(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priority, rank, url) AS step FROM (SELECT *, row_number() OVER (PARTITION BY document_id, url ORDER BY priority, rank) AS seen FROM {_RANKED} r WHERE kind = 'pdf') WHERE seen = 1)"
+#: A url offered twice at one place succeeds if either does.
+_ONCE = "(SELECT document_id, kind, url, source, offered_index, bool_or(succeeds) AS succeeds FROM {CAND} c0 GROUP BY ALL)"
+_WALK = f"(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priority, rank, url) AS step FROM (SELECT *, row_number() OVER (PARTITION BY document_id, url ORDER BY priority, rank) AS seen FROM {_RANKED.replace('{CAND} c0', _ONCE + ' c1')} r WHERE kind = 'pdf') WHERE seen = 1)"
 
 
 @query(
@@ -320,5 +322,6 @@ _WALK = f"(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priori
     LEFT JOIN (SELECT x.document_id, arg_max(x.url, x.step) AS last_error_url FROM {_WALK} x JOIN (SELECT document_id, min(step) FILTER (succeeds) AS at FROM {_WALK} y GROUP BY document_id) z ON z.document_id = x.document_id WHERE z.at IS NULL OR x.step < z.at GROUP BY x.document_id) e ON e.document_id = w.document_id""",
 )
 def fallback_pick(spark, sf_dir):
-    ranked = R.rank_candidates(view(spark, sf_dir, "CAND")).where("kind = 'pdf'")
+    once = view(spark, sf_dir, "CAND").groupBy("document_id", "kind", "url", "source", "offered_index").agg(F.bool_or("succeeds").alias("succeeds"))
+    ranked = R.rank_candidates(once).where("kind = 'pdf'")
     return R.fallback_outcome(ranked, F.col("priority"))
