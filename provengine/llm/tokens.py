@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import prefix_hash, span_hash, stash
 
 MAGIC = b"WVMX1"
 RANK_STEP = 512
@@ -133,59 +133,103 @@ class PieceEncoder:
     """The library's ids, remembered by piece.
 
     The byte-level tokenizer cuts a text by a fixed pattern before merging, so a text's ids are those of its
-    pieces in turn. Each new piece goes to the library once; a full memory starts anew. Texts with
-    characters on which pattern libraries might differ go to the library whole, as do special tokens."""
+    pieces in turn. Pieces are found in numpy for many texts at once, from classes of characters, and known
+    by a fingerprint; each new piece goes to the library, and a full memory starts anew. Texts with
+    characters on which Unicode tables might differ, contractions or special tokens go to the library whole.
+    """
 
-    MOST = 400_000
+    MOST = 1_200_000
+    LETTER, DIGIT, SPACE, OTHER = range(4)
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # Fixed value: the pattern of the byte-level pre-tokenizer, with white space spelt out.
-        self.pieces = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-        ).findall
-        self.odd = regex.compile(r"[^\x00-ӿ‐-‧]|<\|").search
+        # beyond these, or where the pattern knows contractions, or a special token might stand
+        self.odd = regex.compile(r"[^\x00-\u04ff\u2010-\u2027]|<\||'(?:[stmd]|re|ve|ll)").search
+        self.classes = np.full(0x2028, self.OTHER, dtype=np.uint8)
+        for kind, name in ((self.LETTER, "L"), (self.DIGIT, "N"), (self.SPACE, "White_Space")):
+            member = regex.compile(rf"\p{{{name}}}").match
+            self.classes[[c for c in range(0x2028) if member(chr(c))]] = kind
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 20, dtype=np.uint32), np.zeros(self.MOST * 2 + 1, dtype=np.int64), 0
-
-    def _learn(self, new: list[str]):
-        for piece, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            ids = got.ids
-            k = len(self.place)
-            self.place[piece] = k
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.starts[k + 1] = self.used
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.odd(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        pieces = self.pieces(text)
-        out, step = [], 100_000
-        for from_ in range(0, len(pieces), step):
-            part = pieces[from_ : from_ + step]
-            new = set(part) - self.place.keys()
-            if new:
-                if len(self.place) + len(new) > self.MOST:
-                    self.clear()
-                    new = set(part)
-                self._learn(list(new))
-            k = np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))
-            first, size = self.starts[k], self.starts[k + 1] - self.starts[k]
-            ends = np.cumsum(size)
-            take = np.ones(int(ends[-1]), dtype=np.int64)
-            take[0] = first[0]
-            take[ends[:-1]] = first[1:] - (first[:-1] + size[:-1] - 1)
-            out.append(self.flat[np.cumsum(take)])
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+        self.place: dict[int, int] = {}
+        self.flat, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def _starts(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces start: runs of one class, and the last blank of a run of white space goes with what follows."""
+        kinds = self.classes[chars]
+        begins = np.concatenate([[True], kinds[1:] != kinds[:-1]])
+        begins[bounds[:-1][bounds[:-1] < len(chars)]] = True
+        first = np.flatnonzero(begins)
+        end = np.append(first[1:], len(chars))
+        inner = (kinds[first] == self.SPACE) & ~np.isin(end, bounds)  # white space before something in the same text
+        first, end = first[inner], end[inner]
+        begins[end[end - first > 1] - 1] = True
+        begins[end[chars[end - 1] == 32]] = False
+        return np.flatnonzero(begins)
+
+    def _learn(self, keys: list[int], pieces: list[str]):
+        """A line feed between pieces leaves each as it is; pieces that hold one are encoded alone."""
+        lines = [k for k, p in enumerate(pieces) if "\n" not in p and not p.isspace()]
+        ids: list = [None] * len(pieces)
+        for at in range(0, len(lines), 2000):
+            part = lines[at : at + 2000]
+            got = np.array(self.library.encode("\n".join(pieces[k] for k in part), add_special_tokens=False).ids, dtype=np.uint32)
+            cuts = np.flatnonzero(got == self.feed)
+            if len(cuts) == len(part) - 1:
+                for k, own in zip(part, np.split(got, cuts)):
+                    ids[k] = own[1:] if k != part[0] else own
+        for k, own in enumerate(ids):
+            if own is None:
+                ids[k] = np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32)
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        plain, held = [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                out[k] = np.zeros(0, dtype=np.uint32)
+            elif self.odd(text):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                plain.append(k)
+                held += len(text)
+                if held > 500_000:
+                    self._encode(texts, plain, out)
+                    plain, held = [], 0
+        if plain:
+            self._encode(texts, plain, out)
+        return out
+
+    def _encode(self, texts: list[str], chosen: list[int], out: list) -> None:
+        whole = "".join(texts[k] for k in chosen)
+        chars = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        bounds = np.concatenate([[0], np.cumsum([len(texts[k]) for k in chosen])])
+        start = self._starts(chars, bounds)
+        end = np.append(start[1:], len(chars))
+        once, first, which = np.unique(span_hash(prefix_hash(chars), start, end), return_index=True, return_inverse=True)
+        keys = once.tolist()
+        new = [k for k, key in enumerate(keys) if key not in self.place]
+        if len(self.place) + len(new) > self.MOST:
+            self.clear()
+            new = list(range(len(keys)))
+        if new:
+            self._learn([keys[k] for k in new], [whole[start[first[k]] : end[first[k]]] for k in new])
+        place = np.fromiter((self.place[key] for key in keys), dtype=np.int64, count=len(keys))[which]
+        size = self.starts[place + 1] - self.starts[place]
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - size), size)
+        cuts = np.searchsorted(start, bounds[1:-1])
+        for k, ids in zip(chosen, np.split(self.flat[take], np.append(0, ends)[cuts])):
+            out[k] = ids
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -216,8 +260,7 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, shard_tokens: int =
 
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else 0
-            for doc_id, text in zip(batch.column(1), batch.column(2)):
-                ids = encode(text.as_py() or "")
+            for doc_id, ids in zip(batch.column(1), encode(batch.column(2).to_pylist())):
                 docs.append(doc_id.as_py())
                 held += [ids, end]
                 lengths.append(len(ids) + 1)
