@@ -11,9 +11,9 @@ sequence as one. Documents link when |A and B| * 100 >= threshold * |A or B|. Th
 3. In each block the points go into an R-tree (packed by size and coordinates); it is joined with itself
    from the root down. Of two boxes, the sum of the coordinate minima of their upper corners bounds any
    overlap inside, and a pair of boxes is opened only if the bound reaches what the threshold asks of
-   their smallest sizes. Nodes joined by surviving pairs form a candidate group.
-4. Only nodes of candidate groups have their sets built again and brought together; each group is searched
-   breadth first, with exact intersections of the node in hand and all that are not yet reached. So
+   their smallest sizes. All nodes that surviving pairs connect, in any block, form a candidate group.
+4. Only nodes of candidate groups have their sets built again and sent, once, to their group (a group too
+   large for a task: to pairs of tiles of it); each is searched breadth first, with exact intersections of the node in hand and all that are not yet reached. So
    every link across what isn't yet connected is found, and links written are fewer than nodes.
 5. Links become components by least labels with pointer jumping, through written tables.
 
@@ -177,10 +177,14 @@ class _Sets:
 
 
 def _candidates(blocks: DataFrame, groups: int, threshold: int) -> DataFrame:
-    """batch (of a group), node: groups of nodes that surviving pairs of an R-tree connect."""
+    """a, b: from the least node of each group that surviving pairs of an R-tree connect to the others."""
 
     def run(batches):
-        out_group, out_node = [], []
+        first, other = [], []
+
+        def flush():
+            return pa.record_batch([pa.array(np.concatenate(first)), pa.array(np.concatenate(other))], names=["a", "b"])
+
         for _, rows in grouped("block", ["node", "n", "point"])(batches):
             nodes = rows["node"]
             if len(nodes) < 2:
@@ -189,18 +193,25 @@ def _candidates(blocks: DataFrame, groups: int, threshold: int) -> DataFrame:
             sets = _Sets(len(nodes))
             for i, j in RTree(points, rows["n"]).self_join(threshold):
                 sets.join(i, j)
-            labels, counts = np.unique(sets.up, return_counts=True)
-            for label in labels[counts > 1]:
-                own = np.sort(nodes[sets.up == label])
-                out_group.append(np.full(len(own), int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True), dtype=np.int64))
-                out_node.append(own)
-            if sum(map(len, out_node)) > 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(out_group)), pa.array(np.concatenate(out_node))], names=["grp", "node"])
-                out_group, out_node = [], []
-        if out_node:
-            yield pa.record_batch([pa.array(np.concatenate(out_group)), pa.array(np.concatenate(out_node))], names=["grp", "node"])
+            linked = np.flatnonzero(sets.up != np.arange(len(nodes)))
+            if len(linked):
+                first.append(nodes[sets.up[linked]])
+                other.append(nodes[linked])
+            if sum(map(len, other)) > 50_000:
+                yield flush()
+                first, other = [], []
+        if other:
+            yield flush()
+
+    return blocks.select("block", "node", "n", "point").mapInArrow(run, "a long, b long")
 
-    return blocks.select("block", "node", "n", "point").mapInArrow(run, "grp long, node long")
+
+def _tiles(members: DataFrame, block: str, tile_tokens: int) -> DataFrame:
+    """node, `block`: blocks whose sets are too large together become pairs of tiles; a tile meets each tile, itself included."""
+    weights = members.groupBy(block).agg(F.ceil(F.sum("n") / tile_tokens).alias("tiles"))
+    dealt = members.join(weights, block).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    pair = lambda t: F.xxhash64(F.col(block), F.least(t, F.col("tile")), F.greatest(t, F.col("tile")))
+    return dealt.select("node", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), pair)).alias(block))
 
 
 def _reach(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
@@ -269,7 +280,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 64, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 128, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, component (null without a set), row_key: one row a row of `df`."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     rows = stash(_nodes(docs, k, groups))
@@ -281,16 +292,11 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     lists = stash(postings.join(shared, "token").select("token", "node").distinct())
     named = lists.groupBy("token").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("block"))
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
-    weights = members.groupBy("block").agg(F.ceil(F.sum("n") / tile_tokens).alias("tiles"))
-    dealt = members.join(weights, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    # tile t of a block meets each tile, itself included, in the block of that pair
-    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64(F.col("block"), F.least(t, F.col("tile")), F.greatest(t, F.col("tile")))))
-    blocks = dealt.select("node", pairs.alias("block"))
-    blocks = blocks.join(nodes, "node").repartition("block").sortWithinPartitions("block")
-    candidates = stash(_candidates(blocks, groups, threshold).distinct())
-
-    chosen = stash(candidates.select("node").distinct())
-    wanted = stash(rows.join(chosen, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
+    # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
+    candidates = stash(connected_components(stash(_candidates(blocks, groups, threshold).distinct())).join(nodes.select("node", "n"), "node"))
+
+    wanted = stash(rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     texts = docs.join(send_along(wanted.select(F.col("doc_id").alias("wanted_id"))), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def sets(batches):
@@ -300,7 +306,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
                 yield pa.record_batch([pa.array([_node(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())], names=["node", "tokens"])
 
     built = texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
-    brought = candidates.join(built, "node").repartition("grp").sortWithinPartitions("grp")
+    brought = _tiles(candidates.withColumnRenamed("label", "grp"), "grp", tile_tokens).join(built, "node").repartition("grp").sortWithinPartitions("grp")
     labels = connected_components(stash(_links(brought, threshold)))
 
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
