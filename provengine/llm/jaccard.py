@@ -8,8 +8,8 @@ sequence as one. Documents link when |A and B| * 100 >= threshold * |A or B|. Th
 2. Blocks. Ordered by fingerprint, two linked sets share a token among the first n - ceil(t * n) + 1 of
    either. Tokens that one node alone has are dropped; equal lists of nodes become one block. A block
    whose sets are too large together is dealt into pairs of tiles, so a task holds two tiles at most.
-3. In each block the points go into an R-tree (packed by size and coordinates); it is joined with itself
-   from the root down. Of two boxes, the sum of the coordinate minima of their upper corners bounds any
+3. In each block the points go into an R-tree (packed by size and coordinates, boxes over sums of
+   coordinates); it is joined with itself from the root down. Of two boxes, the sum of the coordinate minima of their upper corners bounds any
    overlap inside, and a pair of boxes is opened only if the bound reaches what the threshold asks of
    their smallest sizes. All nodes that surviving pairs connect, in any block, form a candidate group.
 4. Only nodes of candidate groups have their sets built again and sent, once, to their group (a group too
@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,14 @@ def _node(tokens: np.ndarray) -> int | None:
 
 
 def _point(tokens: np.ndarray, groups: int) -> bytes:
-    """Counts by group; the group comes of other bits than the order of step 2."""
-    return np.bincount(((tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype("<u4").tobytes()
+    """Compressed counts by group; the group comes of other bits than the order of step 2."""
+    counts = np.bincount(((tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+    kind = next(k for k in "BHI" if counts.max() <= np.iinfo(k).max)
+    return kind.encode() + zstandard.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _counts(point: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(point[1:]), dtype=chr(point[0]))
 
 
 def _prefixes(df: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -117,18 +124,29 @@ def _needed(a, b, threshold: int):
 
 
 class RTree:
-    """Points packed by size, then by coordinates; `boxes[level]` holds upper corners, level 0 the points."""
+    """Points packed by size, then by coordinates; `boxes[level]` holds upper corners, level 0 the points.
+
+    Boxes are kept for coordinates summed up to `coarse` of them, which bounds overlap as well, if less
+    tightly; points that pass there are bounded by all their coordinates."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 8):
-        order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.order, self.fan = order, fan
-        self.boxes, self.low, self.high = [points[order]], [sizes[order]], [sizes[order]]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 8, coarse: int = 64):
+        few = points.reshape(len(points), coarse, -1).sum(axis=2, dtype=np.int32) if points.shape[1] % coarse == 0 else points
+        order = np.lexsort((few[:, 1], few[:, 0], sizes))
+        self.order, self.fan, self.fine = order, fan, points[order]
+        self.boxes, self.low, self.high = [few[order]], [sizes[order].astype(np.int64)], [sizes[order].astype(np.int64)]
         while len(self.boxes[-1]) > 1:
             at = np.arange(0, len(self.boxes[-1]), fan)
             self.boxes.append(np.maximum.reduceat(self.boxes[-1], at, axis=0))
             self.low.append(np.minimum.reduceat(self.low[-1], at))
             self.high.append(np.maximum.reduceat(self.high[-1], at))
 
+    @staticmethod
+    def _bounded(boxes: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray, step: int = 10_000):
+        """The pairs whose summed minima reach `least`."""
+        keep = [np.minimum(boxes[i[a : a + step]], boxes[j[a : a + step]]).sum(axis=1, dtype=np.int64) >= least[a : a + step] for a in range(0, len(i), step)]
+        keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+        return i[keep], j[keep], least[keep]
+
     def self_join(self, threshold: int, most: int = 200_000):
         """Yield arrays (i, j), i before j, of points whose bound allows a link."""
         waiting = [(len(self.boxes) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
@@ -137,16 +155,15 @@ class RTree:
             if len(i) > most:
                 waiting += [(level, i[most:], j[most:]), (level, i[:most], j[:most])]
                 continue
-            low_i, low_j, high_i, high_j = self.low[level][i], self.low[level][j], self.high[level][i], self.high[level][j]
-            fits = (100 * high_i.astype(np.int64) >= threshold * low_j.astype(np.int64)) & (100 * high_j.astype(np.int64) >= threshold * low_i.astype(np.int64))
+            if level == 0:
+                i, j = i[i < j], j[i < j]
+            low, high = self.low[level], self.high[level]
+            fits = (100 * high[i] >= threshold * low[j]) & (100 * high[j] >= threshold * low[i])
             i, j = i[fits], j[fits]
-            # the least overlap a pair inside may do with; its sizes differ by no more than the threshold allows
-            least = _needed(self.low[level][i].astype(np.int64), self.low[level][j].astype(np.int64), threshold)
-            bound = np.concatenate([np.minimum(self.boxes[level][i[a : a + 20_000]], self.boxes[level][j[a : a + 20_000]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), 20_000)] or [np.zeros(0, dtype=np.int64)])
-            i, j = i[bound >= least], j[bound >= least]
+            i, j, least = self._bounded(self.boxes[level], i, j, _needed(low[i], low[j], threshold))  # no pair inside may do with less
             if level == 0:
-                keep = i < j
-                yield self.order[i[keep]], self.order[j[keep]]
+                i, j, _ = self._bounded(self.fine, i, j, least, 2_000)
+                yield self.order[i], self.order[j]
             elif len(i):
                 size = len(self.boxes[level - 1])
                 a, b = np.divmod(np.arange(self.fan * self.fan), self.fan)
@@ -176,7 +193,7 @@ class _Sets:
                 self.up = further
 
 
-def _candidates(blocks: DataFrame, groups: int, threshold: int) -> DataFrame:
+def _candidates(blocks: DataFrame, threshold: int) -> DataFrame:
     """a, b: from the least node of each group that surviving pairs of an R-tree connect to the others."""
 
     def run(batches):
@@ -189,7 +206,7 @@ def _candidates(blocks: DataFrame, groups: int, threshold: int) -> DataFrame:
             nodes = rows["node"]
             if len(nodes) < 2:
                 continue
-            points = np.frombuffer(b"".join(rows["point"]), dtype="<u4").reshape(len(nodes), groups).astype(np.int32)
+            points = np.stack([_counts(p) for p in rows["point"]])
             sets = _Sets(len(nodes))
             for i, j in RTree(points, rows["n"]).self_join(threshold):
                 sets.join(i, j)
@@ -280,7 +297,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 128, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 1024, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, component (null without a set), row_key: one row a row of `df`."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     rows = stash(_nodes(docs, k, groups))
@@ -294,7 +311,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
     blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
-    candidates = stash(connected_components(stash(_candidates(blocks, groups, threshold).distinct())).join(nodes.select("node", "n"), "node"))
+    candidates = stash(connected_components(stash(_candidates(blocks, threshold).distinct())).join(nodes.select("node", "n"), "node"))
 
     wanted = stash(rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     texts = docs.join(send_along(wanted.select(F.col("doc_id").alias("wanted_id"))), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
