@@ -49,10 +49,7 @@ def normalize_doi(col) -> Column:
     value = strip(col)
 
     def peel(v: Column) -> Column:
-        first, last = F.substring(v, 1, 1), F.right(v, F.lit(1))
-        wrapped = F.lit(False)
-        for opener, closer in WRAPPERS.items():
-            wrapped = wrapped | ((first == opener) & (last == closer))
+        wrapped = F.concat(F.left(v, F.lit(1)), F.right(v, F.lit(1))).isin(*[a + b for a, b in WRAPPERS.items()])
         return F.when(wrapped & (F.length(v) >= 2), strip(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(v)
 
     openers = F.length(F.regexp_extract(value, "^[<(\\[{\"'\\s]*", 0))
