@@ -147,7 +147,7 @@ class RTree:
         keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
         return i[keep], j[keep], least[keep]
 
-    def self_join(self, threshold: int, most: int = 200_000):
+    def self_join(self, threshold: int, most: int = 20_000):
         """Yield arrays (i, j), i before j, of points whose bound allows a link."""
         waiting = [(len(self.boxes) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
         while waiting:
