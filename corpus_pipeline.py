@@ -52,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = taken.select("row_key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("copies"))
     copies = copies.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
     copies = stash(copies.withColumnRenamed("row_key", _KEY))
-    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(copies.where("copies > 0"), _KEY)
+    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(send_along(copies.where("copies > 0")), _KEY)
     once = joined.where("alike = 1")
     if not copies.where("alike > 1").isEmpty():  # rows alike are repeated together
         once = once.unionByName(joined.where("alike > 1").dropDuplicates([_KEY]))
