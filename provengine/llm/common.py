@@ -32,10 +32,13 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def send_along(table: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """A written table as the side of a join that is broadcast if it is counted and found small; a larger
-    one is left to the planner, which then deals both sides by key."""
-    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+def send_along(table: DataFrame, lists: str | None = None, most_rows: int = 200_000, most_items: int = 2_000_000) -> DataFrame:
+    """A written table as the side of a join that is broadcast if it is counted and found small: its rows, and
+    the items in its column `lists`. A larger one is left to the planner, which then deals both sides by key."""
+    small = table.limit(most_rows + 1).count() <= most_rows
+    if small and lists:
+        small = (table.agg(F.sum(F.size(lists))).first()[0] or 0) <= most_items
+    return F.broadcast(table) if small else table
 
 
 def prefix_sums(df: DataFrame, order: list[str], size: str) -> DataFrame:

@@ -114,6 +114,22 @@ def covered(los: np.ndarray, ends: np.ndarray):
     return los[np.concatenate([[0], cut])], far[np.concatenate([cut - 1, [len(far) - 1]])]
 
 
+def _merged(ranges: DataFrame) -> DataFrame:
+    """row_key, los, ends: each text's ranges as maximal runs, so that few are left to send."""
+
+    def run(batches):
+        for batch in batches:
+            los, ends = [], []
+            for lo, end in zip(batch.column(1), batch.column(2)):
+                a, b = covered(lo.values.to_numpy(), end.values.to_numpy())
+                los.append(a)
+                ends.append(b)
+            kind = pa.list_(pa.int32())
+            yield pa.record_batch([batch.column(0), pa.array(los, kind), pa.array(ends, kind)], names=["row_key", "los", "ends"])
+
+    return ranges.select("row_key", "los", "ends").mapInArrow(run, "row_key long, los array<int>, ends array<int>")
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
 
 
@@ -156,9 +172,10 @@ def remove_repeats(df: DataFrame, length: int = 400, span: int = 128, gram: int
     kinds = kinds.join(rest.select("parse").distinct(), "parse", "left_semi").select("one.*")
     edges = rest.select("row_key", "lo", "hi").unionByName(kinds)
     edges = stash(edges.groupBy("row_key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
-    strings = stash(_strings(docs.select("row_key", "raw").join(send_along(edges), "row_key"), length))
+    strings = stash(_strings(docs.select("row_key", "raw").join(send_along(edges, "los"), "row_key"), length))
     repeated = strings.join(twice(strings, "string"), "string").select("row_key", F.col("start").alias("lo"), (F.col("start") + length).alias("end"))
     full = marked.where("full").select("row_key", "lo", (F.col("hi") + length).alias("end"))
-    ranges = stash(full.unionByName(repeated).groupBy("row_key").agg(F.collect_list(F.struct("lo", "end")).alias("all")).select("row_key", F.col("all.lo").alias("los"), F.col("all.end").alias("ends")))
-    out = _cut(docs.join(send_along(ranges), "row_key", "left"), with_text)
+    ranges = full.unionByName(repeated).groupBy("row_key").agg(F.collect_list(F.struct("lo", "end")).alias("all"))
+    ranges = stash(_merged(ranges.select("row_key", F.col("all.lo").alias("los"), F.col("all.end").alias("ends"))))
+    out = _cut(docs.join(send_along(ranges, "los"), "row_key", "left"), with_text)
     return out if with_text else out.drop("kept", "spans")
