@@ -142,12 +142,15 @@ class PieceEncoder:
     LETTER, DIGIT, SPACE, OTHER = range(4)
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's to deal out
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # beyond these, or where the pattern knows contractions, or a special token might stand
-        self.odd = regex.compile(r"[^\x00-\u04ff\u2010-\u2027]|<\||'(?:[stmd]|re|ve|ll)").search
+        self.beyond = regex.compile(r"[^\x00-\u04ff\u2010-\u2027]").search
+        self.contraction = regex.compile(r"'(?:[stmd]|re|ve|ll)").search
         self.classes = np.full(0x2028, self.OTHER, dtype=np.uint8)
         for kind, name in ((self.LETTER, "L"), (self.DIGIT, "N"), (self.SPACE, "White_Space")):
             member = regex.compile(rf"\p{{{name}}}").match
@@ -172,23 +175,32 @@ class PieceEncoder:
         begins[end[chars[end - 1] == 32]] = False
         return np.flatnonzero(begins)
 
-    def _learn(self, keys: list[int], pieces: list[str]):
-        """A line feed between pieces leaves each as it is; pieces that hold one are encoded alone."""
-        lines = [k for k, p in enumerate(pieces) if "\n" not in p and not p.isspace()]
-        ids: list = [None] * len(pieces)
-        for at in range(0, len(lines), 2000):
-            part = lines[at : at + 2000]
-            got = np.array(self.library.encode("\n".join(pieces[k] for k in part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(got == self.feed)
-            if len(cuts) == len(part) - 1:
-                for k, own in zip(part, np.split(got, cuts)):
-                    ids[k] = own[1:] if k != part[0] else own
-        for k, own in enumerate(ids):
-            if own is None:
-                ids[k] = np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32)
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
+    def odd(self, text: str) -> bool:
+        return "<|" in text or ("'" in text and bool(self.contraction(text))) or (not text.isascii() and bool(self.beyond(text)))
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Encode new pieces and return their places. A line feed between pieces leaves each as it is; pieces
+        that hold one, or are white space, are encoded alone."""
+        alone = np.array(["\n" in p or p.isspace() for p in pieces])
+        order, flat, sizes = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]), [], []
+        lines = order[: len(pieces) - int(alone.sum())]
+        texts = ["\n".join([pieces[k] for k in lines[at : at + 2000].tolist()]) for at in range(0, len(lines), 2000)]
+        for got in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(got.ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.feed)
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            flat.append(ids[ids != self.feed])
+        for k in order[len(lines) :].tolist():
+            flat.append(np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32))
+            sizes.append(np.array([len(flat[-1])]))
+        places = np.empty(len(pieces), dtype=np.int64)
+        places[order] = np.arange(len(self.place), len(self.place) + len(pieces))
+        self.place.update(zip(keys.tolist(), places.tolist()))
+        self.flat = np.concatenate([self.flat, *flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        if len(self.starts) != len(self.place) + 1:
+            raise ValueError("pieces and ids differ in number")
+        return places
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -202,7 +214,7 @@ class PieceEncoder:
             else:
                 plain.append(k)
                 held += len(text)
-                if held > 500_000:
+                if held > 1_500_000:
                     self._encode(texts, plain, out)
                     plain, held = [], 0
         if plain:
@@ -216,14 +228,16 @@ class PieceEncoder:
         start = self._starts(chars, bounds)
         end = np.append(start[1:], len(chars))
         once, first, which = np.unique(span_hash(prefix_hash(chars), start, end), return_index=True, return_inverse=True)
-        keys = once.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.place]
-        if len(self.place) + len(new) > self.MOST:
+        known = self.place.get
+        place = np.array([known(key, -1) for key in once.tolist()], dtype=np.int64)
+        if len(self.place) + int((place < 0).sum()) > self.MOST:
             self.clear()
-            new = list(range(len(keys)))
-        if new:
-            self._learn([keys[k] for k in new], [whole[start[first[k]] : end[first[k]]] for k in new])
-        place = np.fromiter((self.place[key] for key in keys), dtype=np.int64, count=len(keys))[which]
+            place[:] = -1
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            at = first[new]
+            place[new] = self._learn(once[new], [whole[x:y] for x, y in zip(start[at].tolist(), end[at].tolist())])
+        place = place[which]
         size = self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - size), size)
