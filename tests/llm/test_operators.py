@@ -238,6 +238,32 @@ def test_fuzzy_substrings(docs, empty):
     assert fuzzy_substrings.shared_passages(empty).count() == 0
 
 
+def test_fuzzy_passages_of_one_chain(spark):
+    rng = random.Random(11)
+    make = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    text, head, foot = make(300), make(60), make(60)
+    rows = [(1, text), (2, text[:150] + make(150) + text[150:]), (3, head + make(250) + foot), (4, head + make(240) + foot)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end, r.n_columns, r.n_equal) for r in fuzzy_substrings.shared_passages(df).collect())
+    assert got == [(2, 1, 0, 150, 0, 150, 150, 150), (2, 1, 300, 450, 150, 300, 150, 150), (4, 3, 0, 60, 0, 60, 60, 60), (4, 3, 300, 360, 310, 370, 60, 60)]
+
+
+def test_fuzzy_alignment_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(0, 4, rng.integers(1, 30))
+        want = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(want[j] + int(x != y), want[j + 1] + 1, row[j] + 1))
+            want = row
+        got = fuzzy_substrings._edits(a, b)
+        assert got[:, 0].sum() == len(a) and got[:, 1].sum() == len(b) and (got[:, 2] == 0).sum() == want[-1]
+    hit = np.array([True] * 60 + [False] * 200 + [True] * 55 + [False] * 30)
+    assert fuzzy_substrings.stretches(hit, 50, 0.8) == [(0, 60), (260, 315)]
+
+
 def test_chain_is_collinear_and_best():
     x, y = np.array([0, 5, 10, 15, 7, 20]), np.array([100, 105, 110, 115, 3, 120])
     best = fuzzy_substrings.chains(x, y, 5)[0]
