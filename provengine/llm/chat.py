@@ -8,9 +8,10 @@ first `branches` of them are chosen; the same jumps, taken from the longest down
 A turn is written `<|turn|>` role `<|text|>` text `<|end|>`; in roles and texts a backslash is doubled and
 `<|` becomes `<\\|`, so no control string is left and reading back is exact.
 
-Null texts and roles count as empty, null scores as 0. A parent that isn't in its tree makes a root. A
-node whose parents form a loop has no root, hence no path. Rows that repeat a node_id in a tree count
-once. An empty table gives no conversations; extra columns are ignored.
+Null texts and roles count as empty, null scores as 0. A null tree_id is a tree like any other; a null node_id
+is a node of its tree that none can reply to, as a null parent_id makes a root. A parent that isn't in its tree
+makes a root. A node whose parents form a loop has no root, hence no path. Rows that repeat a node_id in a tree
+count once. An empty table gives no conversations; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,19 @@ def turns_as_tree(rows: DataFrame) -> DataFrame:
     ).withColumns({"parent_id": F.when(F.col("node_id") > 0, F.col("node_id") - 1), "score": F.lit(0.0)})
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """The ids in structs of one field: those are equal, in joins too, if both fields are null. A null parent_id stays null."""
+    key = lambda c: F.struct(F.col(c).cast(nodes.schema["node_id"].dataType).alias("id"))
+    return nodes.withColumns({"tree_id": F.struct(F.col("tree_id").alias("id")), "node_id": key("node_id"), "parent_id": F.when(F.col("parent_id").isNotNull(), key("parent_id"))})
+
+
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree_id, leaf_id, branch (rank from 1), node_id, depth (root: 0) of each node on a chosen path."""
+    return _paths(_keyed(nodes), branches).withColumns({c: F.col(c)["id"] for c in ("tree_id", "leaf_id", "node_id")})
+
+
+def _paths(nodes: DataFrame, branches: int) -> DataFrame:
+    """The chosen paths of nodes with ids as of `_keyed`."""
     base = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["tree_id", "node_id"])
     ids = base.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     columns = ["tree_id", "node_id", "to", "score", "reach"]
@@ -86,8 +98,9 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_reply_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """conv_id (the tree), branch, leaf_id, formatted, loss_spans (array of start, end in code points of `formatted`)."""
+    nodes = _keyed(nodes)
     texts = nodes.select("tree_id", "node_id", "role", "text").dropDuplicates(["tree_id", "node_id"])
-    turns = chosen_paths(nodes, branches).join(texts, ["tree_id", "node_id"])
+    turns = _paths(nodes, branches).join(texts, ["tree_id", "node_id"])
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
     turns = turns.select("tree_id", "branch", "leaf_id", "depth", F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), escaped(F.col("text")).alias("body"))
     piece = F.concat("head", "body", F.lit(END))
@@ -98,7 +111,7 @@ def format_reply_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "as
         turns.groupBy("tree_id", "branch", "leaf_id")
         .agg(F.sort_array(F.collect_list(F.struct("depth", "piece", "role", "start", "end"))).alias("all"))
         .select(
-            F.col("tree_id").alias("conv_id"), "branch", "leaf_id",
+            F.col("tree_id.id").alias("conv_id"), "branch", F.col("leaf_id.id").alias("leaf_id"),
             F.array_join(F.col("all.piece"), "").alias("formatted"),
             F.transform(F.filter("all", lambda t: t["role"] == loss_role), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_spans"),
         )

@@ -200,6 +200,18 @@ def test_reply_trees(spark):
     assert got == {("t", 1): ["q", "good", "more", "end"], ("t", 2): ["q", "bad"], ("t", 3): ["orphan"]}
 
 
+def test_chat_with_null_ids(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (1, None, "user", "a"), (1, 2, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.texts, r.loss_text) for r in chat.read_back(chat.format_reply_trees(chat.turns_as_tree(df))).collect()}
+    assert got == {None: (["hi", "yes"], "yes"), 1: (["a", "b"], "b")}
+    nodes = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "a", 2.0), ("t", None, None, "user", "no id", 0.0), ("t", 1, None, "user", "root", 1.0), ("t", 2, 1, "user", "leaf", 1.0)]
+    df = spark.createDataFrame(nodes, "tree_id string, node_id long, parent_id long, role string, text string, score double")
+    got = {(r.conv_id, r.branch, r.leaf_id): r.texts for r in chat.read_back(chat.format_reply_trees(df, branches=3)).collect()}
+    assert got == {(None, 1, 2): ["q", "a"], ("t", 1, 2): ["root", "leaf"], ("t", 2, None): ["no id"]}
+    assert {(r.tree_id, r.leaf_id, r.node_id, r.depth) for r in chat.chosen_paths(df).collect()} == {(None, 2, 1, 0), (None, 2, 2, 1), ("t", 2, 1, 0), ("t", 2, 2, 1)}
+
+
 def test_exact_substrings(docs, empty):
     size = 400
     rows = rows_of(docs)
