@@ -13,9 +13,12 @@ sequence as one. Documents link when |A and B| * 100 >= threshold * |A or B|. Th
    overlap inside, and a pair of boxes is opened only if the bound reaches what the threshold asks of
    their smallest sizes. All nodes that surviving pairs connect, in any block, form a candidate group.
 4. Only nodes of candidate groups have their sets built again and sent, once, to their group (a group too
-   large for a task: to pairs of tiles of it); each is searched breadth first, with exact intersections of the node in hand and all that are not yet reached. So
-   every link across what isn't yet connected is found, and links written are fewer than nodes.
-5. Links become components by least labels with pointer jumping, through written tables.
+   large for a task: to pairs of tiles of it). There each pair of nodes whose sizes allow a link is intersected
+   exactly, so every link is found, and found once: pairs inside a tile are left to the tile's meeting with itself.
+   Written are each node's number of links and, for the components, an edge from the first node it is connected to.
+5. These edges become components by least labels with pointer jumping, through written tables.
+6. A document's links are those of its node to other nodes, each as often as the other has copies, and those to
+   its own node's other copies.
 
 One R-tree over the whole corpus can't be dealt out without comparing all boxes: random count vectors lie
 about equally far apart, so the boxes of unrelated sets overlap. Step 2 is exact and loses no link.
@@ -224,58 +227,73 @@ def _candidates(blocks: DataFrame, threshold: int) -> DataFrame:
 
 
 def _tiles(members: DataFrame, block: str, tile_tokens: int) -> DataFrame:
-    """node, `block`: blocks whose sets are too large together become pairs of tiles; a tile meets each tile, itself included."""
+    """node, tile, own, `block`: blocks whose sets are too large together become pairs of tiles; a tile meets each tile, itself included (`own`)."""
     weights = members.groupBy(block).agg(F.ceil(F.sum("n") / tile_tokens).alias("tiles"))
     dealt = members.join(weights, block).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    pair = lambda t: F.xxhash64(F.col(block), F.least(t, F.col("tile")), F.greatest(t, F.col("tile")))
-    return dealt.select("node", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), pair)).alias(block))
+    pair = lambda t: F.struct(F.xxhash64(F.col(block), F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))).alias("pair"), (t == F.col("tile")).alias("own"))
+    met = dealt.select("node", "tile", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), pair)).alias("met"))
+    return met.select("node", "tile", F.col("met.own").alias("own"), F.col("met.pair").alias(block))
 
 
-def _reach(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
-    """The component (its least member) of each of the sets, by breadth-first search with exact intersections.
+def _linked(tokens: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: int, threshold: int):
+    """Yield (i, array of j) of all linked pairs of sets: of any two if `first` is 0, else of those before `first` with the others.
 
-    tokens: all sets' tokens end to end, as small integers; owner: whose each is."""
+    tokens: all sets' tokens end to end, as small integers, set i from begins[i]; sets ordered by size before and from `first`."""
     n = len(sizes)
-    component, open_ = np.full(n, -1), np.ones(n, dtype=bool)
-    begins = np.searchsorted(owner, np.arange(n + 1))
     inside = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, dtype=bool)
-    for seed in range(n):
-        if not open_[seed]:
+    least = first + np.searchsorted(sizes[first:], -(-threshold * sizes // 100), side="left")
+    most = first + np.searchsorted(sizes[first:], 100 * sizes // threshold, side="right")
+    for i in range(first or n):
+        low, high = max(i + 1, int(least[i])), int(most[i])
+        if low >= high:
             continue
-        open_[seed], component[seed], queue = False, seed, [seed]
-        while queue:
-            at = queue.pop()
-            rest = np.flatnonzero(open_ & (100 * sizes >= threshold * sizes[at]) & (100 * sizes[at] >= threshold * sizes))
-            if not len(rest):
-                continue
-            own = tokens[begins[at] : begins[at + 1]]
-            inside[own] = True
-            if len(rest) * 4 > n:
-                common = np.bincount(owner[inside[tokens]], minlength=n)[rest]
-            else:
-                common = np.array([np.count_nonzero(inside[tokens[begins[r] : begins[r + 1]]]) for r in rest])
-            inside[own] = False
-            linked = rest[common >= _needed(sizes[at], sizes[rest], threshold)]
-            open_[linked], component[linked] = False, seed
-            queue += linked.tolist()
-    return component
+        own = tokens[begins[i] : begins[i + 1]]
+        inside[own] = True
+        total = np.concatenate([[0], np.cumsum(inside[tokens[begins[low] : begins[high]]])])
+        inside[own] = False
+        at = begins[low : high + 1] - begins[low]
+        hit = np.flatnonzero(total[at[1:]] - total[at[:-1]] >= _needed(sizes[i], sizes[low:high], threshold))
+        if len(hit):
+            yield i, low + hit
 
 
 def _links(groups: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links from each component's first node in a group to the others."""
+    """a, b, links: of each linked node b, the first node a of its group that it is connected to (may be b), and the number
+    of copies of nodes that it links to. Rows of b from several groups add up."""
 
     def run(batches):
-        for _, rows in grouped("grp", ["node", "tokens"])(batches):
-            nodes, raw = rows["node"], rows["tokens"]
-            sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
-            _, codes, counts = np.unique(np.frombuffer(b"".join(raw), dtype=np.uint64), return_inverse=True, return_counts=True)
+        for _, rows in grouped("grp", ["node", "tokens", "copies", "tile", "own"])(batches):
+            sizes = np.array([len(x) // 8 for x in rows["tokens"]], dtype=np.int64)
+            own = bool(rows["own"][0])
+            order = np.lexsort((sizes, np.zeros(len(sizes)) if own else rows["tile"]))
+            nodes, copies, sizes = rows["node"][order], rows["copies"][order], sizes[order]
+            first = 0 if own else int((rows["tile"] == rows["tile"].min()).sum())
+            if first == len(nodes):  # the other tile is empty
+                continue
+            _, codes, counts = np.unique(np.frombuffer(b"".join([rows["tokens"][i] for i in order]), dtype=np.uint64), return_inverse=True, return_counts=True)
             shared = counts[codes] > 1
-            component = _reach(codes[shared], np.repeat(np.arange(len(nodes)), sizes)[shared], sizes, threshold)
-            other = np.flatnonzero(component != np.arange(len(nodes)))
-            if len(other):
-                yield pa.record_batch([pa.array(nodes[component[other]]), pa.array(nodes[other])], names=["a", "b"])
-
-    return groups.select("grp", "node", "tokens").mapInArrow(run, "a long, b long")
+            begins = np.searchsorted(np.repeat(np.arange(len(nodes)), sizes)[shared], np.arange(len(nodes) + 1))
+            sets, links, held, left, right = _Sets(len(nodes)), np.zeros(len(nodes), dtype=np.int64), 0, [], []
+
+            def flush():
+                if left:
+                    sets.join(np.concatenate(left), np.concatenate(right))
+
+            for i, j in _linked(codes[shared], begins, sizes, first, threshold):
+                links[i] += copies[j].sum()
+                links[j] += copies[i]
+                left.append(np.full(len(j), i))
+                right.append(j)
+                held += len(j)
+                if held > 1_000_000:
+                    flush()
+                    held, left, right = 0, [], []
+            flush()
+            some = np.flatnonzero(links)
+            if len(some):
+                yield pa.record_batch([pa.array(nodes[sets.up[some]]), pa.array(nodes[some]), pa.array(links[some])], names=["a", "b", "links"])
+
+    return groups.select("grp", "node", "tokens", "copies", "tile", "own").mapInArrow(run, "a long, b long, links long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -298,10 +316,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 1024, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, component (null without a set), row_key: one row a row of `df`."""
+    """doc_id, n_shingles, component_id, component (null without a set), row_key, n_links (rows of `df` it links to): one row a row of `df`."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
     rows = stash(_nodes(docs, k, groups))
-    nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")))
+    nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
 
     postings = _prefixes(docs, k, threshold)
     shared = postings.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
@@ -311,7 +329,7 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
     blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
-    candidates = stash(connected_components(stash(_candidates(blocks, threshold).distinct())).join(nodes.select("node", "n"), "node"))
+    candidates = stash(connected_components(stash(_candidates(blocks, threshold).distinct())).join(nodes.select("node", "n", "copies"), "node"))
 
     wanted = stash(rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     texts = docs.join(send_along(wanted.select(F.col("doc_id").alias("wanted_id"))), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
@@ -323,10 +341,13 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
                 yield pa.record_batch([pa.array([_node(t) for t in got], pa.int64()), pa.array([t.tobytes() for t in got], pa.binary())], names=["node", "tokens"])
 
     built = texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
-    brought = _tiles(candidates.withColumnRenamed("label", "grp"), "grp", tile_tokens).join(built, "node").repartition("grp").sortWithinPartitions("grp")
-    labels = connected_components(stash(_links(brought, threshold)))
+    brought = _tiles(candidates.withColumnRenamed("label", "grp"), "grp", tile_tokens).join(candidates.select("node", "copies"), "node").join(built, "node").repartition("grp").sortWithinPartitions("grp")
+    links = stash(_links(brought, threshold))
+    labels = connected_components(links.select("a", "b"))
 
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    linked = nodes.select("node", "copies").join(links.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
+    labelled = labelled.join(linked.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "node", "left")
     least = labelled.where("node IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.select("doc_id", "row_key", "n", "label").join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("label").alias("component"), "row_key")
+    out = labelled.select("doc_id", "row_key", "n", "label", "n_links").join(least, "label", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("label").alias("component"), "row_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

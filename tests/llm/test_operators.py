@@ -167,6 +167,20 @@ def test_jaccard(docs, empty, tile):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4_000_000, 250])
+def test_jaccard_counts_every_link(spark, tile):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base)), (1, " ".join(base)), (None, " ".join(base).upper())]
+    rows += [(10 + m, " ".join(base[m : 100 + m] + [f"t{m}_{i}" for i in range(m % 3)])) for m in range(1, 9)]  # a clique, nearly
+    rows += [(30 + m, " ".join(f"c{i}" for i in range(15 * m, 15 * m + 150))) for m in range(6)]  # a chain
+    rows += [(50, ""), (51, None), (52, "alone here")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile_tokens=tile).collect()
+    sets = [shingles(t) for _, t in rows]
+    want = Counter((d, sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b))) for i, ((d, _), a) in enumerate(zip(rows, sets)))
+    assert sorted(want.elements(), key=str) == sorted(((r.doc_id, r.n_links) for r in got), key=str)
+    assert want[0, 10] == 1 and want[30, 1] == 1 and want[31, 2] == 1 and want[50, 0] == 1
+
+
 def test_rtree_finds_every_pair():
     rng = np.random.default_rng(3)
     points = rng.poisson(3, (200, 128)).astype(np.uint8)
