@@ -136,6 +136,21 @@ def text_chunks(texts: list, most: int = 2_000_000):
         yield first, *_joined(raw[first:])
 
 
+def raw_bytes(column: pa.Array, most: int = 2_000_000):
+    """The same for a column of binary values without nulls, out of its own memory."""
+    n = len(column)
+    if not n:
+        return
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=wide)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]
+        at = to
+
+
 def _joined(raw: list[bytes]):
     offsets = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(t) for t in raw], out=offsets[1:])

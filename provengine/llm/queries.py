@@ -57,7 +57,7 @@ def op6_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.read_shards(tokens.write_shards(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
+    return tokens.read_shards(tokens.write_shards(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2), end_id=2)
 
 
 def op8_fuzzy_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,22 @@
 Texts are range-partitioned and sorted by id (nulls first), encoded, and packed into shards of about
 `shard_tokens` ids that never split a text. A shard's file holds the documents' ids and lengths and the
 wavelet matrix of its token ids: for each bit, from the highest, a plane of the bits in the order that the
-planes above left (zeros first, each half in order). With counts of ones every 512 bits it answers
-access, rank, count and select without decoding the rest. Files are values of a binary column, which
-Spark writes to the shared folder, so that any executor can read them.
+planes above left (zeros first, each half in order). Beside each plane stands its rank directory (ones before
+every 512 bits), and planes are compressed in chunks that can be opened alone. So access, rank, count and
+select read the directory and one chunk a plane, from that one file; `decode` opens all. Files are values of
+a binary column, which Spark writes to the shared folder, so that any executor can read them.
 
 Null texts are empty (their end id alone); null ids come first; texts with the same id stand side by side
-in the order of their bytes; empty tables give no files; other columns are ignored.
+in the order of their bytes; empty tables give no files; other columns are ignored. An id that needs more
+than `bits` bits is an error.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,170 +26,310 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, stash
+from .common import prefix_hash, raw_bytes, span_hash, stash
 
-MAGIC = b"WVMX1"
-RANK_STEP = 512
+MAGIC = b"WVMX2"
+RANK_STEP = 512  # bits between two counts of the rank directory
+CHUNK = 1 << 17  # bits of a plane that are compressed together
 
 
-class WaveletMatrix:
-    """Token ids below 2**bits with access, rank, count and select."""
+def wavelet_planes(ids: np.ndarray, bits: int):
+    """(packed plane, number of zeros) of each bit, from the highest."""
+    left = ids
+    for bit in range(bits - 1, -1, -1):
+        one = (left & np.array(1 << bit, dtype=left.dtype)) != 0
+        zeros, ones = np.flatnonzero(~one), np.flatnonzero(one)
+        yield np.packbits(one), len(zeros)
+        below = np.empty_like(left)
+        np.take(left, zeros, out=below[: len(zeros)], mode="clip")
+        np.take(left, ones, out=below[len(zeros) :], mode="clip")
+        left = below
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n, self.bits = planes, zeros, n, len(planes)
-        self._ranks: list[np.ndarray | None] = [None] * self.bits
 
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
-        planes, zeros, left = [], [], ids
-        for bit in range(bits - 1, -1, -1):
-            one = (left >> np.array(bit, dtype=left.dtype)) & np.array(1, dtype=left.dtype) != 0
-            planes.append(np.packbits(one))
-            first = left[~one]
-            zeros.append(len(first))
-            left = np.concatenate([first, left[one]])
-        return cls(planes, zeros, len(ids))
-
-    def decode(self, dtype=np.uint32) -> np.ndarray:
+def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, bits: int = 16) -> bytes:
+    """A shard's file."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"a token id needs more than {bits} bits")
+    known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
+    index = known.tobytes() + np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes() + np.array(lengths, dtype="<i8").tobytes()
+    press = zstandard.ZstdCompressor(level=1)
+    step, zeros, parts, sizes = RANK_STEP // 8, [], [press.compress(index)], []
+    narrow = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    for plane, empty in wavelet_planes(narrow, bits):
+        ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % step))).reshape(-1, step).sum(axis=1, dtype=np.int64)
+        parts.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
+        chunks = [press.compress(plane[a : a + CHUNK // 8].tobytes()) for a in range(0, len(plane), CHUNK // 8)]
+        zeros.append(empty)
+        sizes += map(len, chunks)
+        parts += chunks
+    head = struct.pack("<5sBQQQ", MAGIC, bits, len(doc_ids), len(ids), len(parts[0]))
+    return b"".join((head, np.array([*zeros, *sizes], dtype="<u8").tobytes(), *parts))
+
+
+class TokenShard:
+    """A shard's file: its documents, and its token ids by access, rank, count and select."""
+
+    HEAD = 30
+
+    def __init__(self, data: bytes):
+        magic, self.bits, self.docs, self.n, index = struct.unpack_from("<5sBQQQ", data)
+        if magic != MAGIC:
+            raise ValueError("not a shard file")
+        self.data, self.press, self.chunks = data, zstandard.ZstdDecompressor(), -(-self.n // CHUNK)
+        numbers = np.frombuffer(data, dtype="<u8", count=self.bits * (1 + self.chunks), offset=self.HEAD).astype(np.int64)
+        self.zeros, sizes = numbers[: self.bits].tolist(), numbers[self.bits :].reshape(self.bits, self.chunks)
+        steps = -(-self.n // RANK_STEP) + 1
+        at = self.HEAD + 8 * len(numbers)
+        self.index, at = (at, index), at + index
+        self.ones, self.places = [], np.zeros((self.bits, self.chunks + 1), dtype=np.int64)
+        for level in range(self.bits):
+            self.ones.append(np.frombuffer(data, dtype="<u4", count=steps, offset=at))  # the rank directory
+            at += 4 * steps
+            self.places[level] = np.concatenate([[at], at + np.cumsum(sizes[level])])
+            at = int(self.places[level, -1])
+        self.opened: dict[tuple[int, int], np.ndarray] = {}
+
+    def documents(self) -> tuple[list, np.ndarray]:
+        """Ids and lengths of the documents, in order."""
+        at, size = self.index
+        raw = self.press.decompress(self.data[at : at + size]) if self.docs else b""
+        known = np.frombuffer(raw, dtype=np.uint8, count=self.docs)
+        names, lengths = np.frombuffer(raw, dtype="<i8", offset=self.docs).reshape(2, self.docs)
+        return [x if k else None for x, k in zip(names.tolist(), known)], lengths
+
+    def chunk(self, level: int, k: int) -> np.ndarray:
+        """The bytes of one chunk of a plane."""
+        if (level, k) not in self.opened:
+            a, b = self.places[level, k : k + 2].tolist()
+            self.opened[level, k] = np.frombuffer(self.press.decompress(self.data[a:b]), dtype=np.uint8)
+        return self.opened[level, k]
+
+    def decode(self) -> np.ndarray:
         """All ids: the planes undone from the lowest."""
-        out = np.zeros(self.n, dtype=dtype)
+        out = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            plane = np.concatenate([self.chunk(level, k) for k in range(self.chunks)]) if self.chunks else np.zeros(0, np.uint8)
+            one = np.unpackbits(plane, count=self.n).view(bool)
+            zeros = self.zeros[level]
+            out[zeros:] |= np.array(1 << (self.bits - 1 - level), dtype=out.dtype)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[level]]
-            above[one] = out[self.zeros[level] :] | np.array(1 << (self.bits - 1 - level), dtype=dtype)
+            above[np.flatnonzero(~one)] = out[:zeros]
+            above[np.flatnonzero(one)] = out[zeros:]
             out = above
         return out
 
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        if self._ranks[level] is None:
-            step = RANK_STEP // 8
-            plane = np.pad(self.planes[level], (0, -len(self.planes[level]) % step))
-            counts = np.bitwise_count(plane).reshape(-1, step).sum(axis=1, dtype=np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(counts)])
+    def _ones_before(self, level: int, i: np.ndarray) -> np.ndarray:
+        """Ones among the first i bits of a plane, for many i: the directory's count, then whole bytes, then bits."""
         block = i // RANK_STEP
-        bits = np.unpackbits(self.planes[level][block * RANK_STEP // 8 : -(-i // 8)])
-        return int(self._ranks[level][block] + bits[: i - block * RANK_STEP].sum())
+        out = self.ones[level][block].astype(np.int64)
+        rest = i - block * RANK_STEP
+        for k in np.unique(i[rest > 0] // CHUNK).tolist():
+            mine = np.flatnonzero((rest > 0) & (i // CHUNK == k))
+            plane = self.chunk(level, k)
+            first = (block[mine] * RANK_STEP - k * CHUNK) // 8
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)]) if len(mine) > 64 else None
+            whole = rest[mine] // 8
+            if before is not None:
+                out[mine] += before[first + whole] - before[first]
+            else:
+                out[mine] += [int(np.bitwise_count(plane[a : a + w]).sum()) for a, w in zip(first.tolist(), whole.tolist())]
+            part = rest[mine] % 8
+            tail = plane[np.minimum(first + whole, len(plane) - 1)] >> (8 - part).astype(np.uint8)
+            out[mine] += np.where(part > 0, np.bitwise_count(tail), 0)
+        return out
 
     def access(self, i: int) -> int:
         out = 0
         for level in range(self.bits):
-            one = self.planes[level][i // 8] >> (7 - i % 8) & 1
-            ones = self._ones(level, i)
+            one = self.chunk(level, i // CHUNK)[i % CHUNK // 8] >> (7 - i % 8) & 1
+            ones = int(self._ones_before(level, np.array([i]))[0])
             i = self.zeros[level] + ones if one else i - ones
             out = out << 1 | int(one)
         return out
 
-    def rank(self, token: int, i: int) -> int:
-        """Occurrences of `token` among the first i ids."""
-        low, high = 0, i
+    def ranks(self, token: int, places: np.ndarray) -> np.ndarray:
+        """Occurrences of `token` among the first i ids, for each i of `places`."""
+        at = np.concatenate([[0], np.asarray(places, dtype=np.int64)])
         for level in range(self.bits):
-            a, b = self._ones(level, low), self._ones(level, high)
-            if token >> (self.bits - 1 - level) & 1:
-                low, high = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                low, high = low - a, high - b
-        return high - low
+            ones = self._ones_before(level, at)
+            at = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else at - ones
+        return at[1:] - at[0]
 
     def count(self, token: int) -> int:
-        return self.rank(token, self.n) if 0 <= token < 1 << self.bits else 0
+        return int(self.ranks(token, np.array([self.n]))[0]) if 0 <= token < 1 << self.bits else 0
 
     def select(self, token: int, k: int) -> int:
-        """Place of occurrence k (from 0) of `token`; -1 if there is none."""
+        """Place of occurrence k (from 0) of `token`; -1 if there is none: down to its run of ids, then up by select in each plane."""
         if not 0 <= k < self.count(token):
             return -1
-        low, high = 0, self.n
-        while high - low > 1:  # the first prefix with k + 1 of them
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid) > k else (mid, high)
-        return low
-
+        low = 0
+        for level in range(self.bits):
+            ones = int(self._ones_before(level, np.array([low]))[0])
+            low = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else low - ones
+        at = low + k
+        for level in range(self.bits - 1, -1, -1):
+            one = at >= self.zeros[level]
+            at = self._bit(level, one, at - self.zeros[level] if one else at)
+        return at
+
+    def _bit(self, level: int, one: bool, k: int) -> int:
+        """Place of the bit k (from 0) of a kind in a plane, by the directory and one chunk."""
+        ones = self.ones[level].astype(np.int64)
+        counts = ones if one else np.arange(len(ones)) * RANK_STEP - ones
+        block = int(np.searchsorted(counts[:-1], k, side="right")) - 1
+        first = block * RANK_STEP % CHUNK // 8
+        bits = np.unpackbits(self.chunk(level, block * RANK_STEP // CHUNK)[first : first + RANK_STEP // 8])
+        return block * RANK_STEP + int(np.flatnonzero(bits == one)[k - int(counts[block])])
+
+
+class _Places:
+    """Places by 64-bit key: open addressing in two arrays, many keys at a time."""
+
+    def __init__(self, size: int = 1 << 18):
+        self.keys, self.values, self.n = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = keys & mask
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
 
-def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, bits: int = 16) -> bytes:
-    """A shard's file."""
-    matrix = WaveletMatrix.build(ids, bits)
-    known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
-    index = known.tobytes() + np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes() + np.array(lengths, dtype="<i8").tobytes()
-    press = zstandard.ZstdCompressor(level=1)
-    parts = [press.compress(x) for x in (index, *[p.tobytes() for p in matrix.planes])]
-    head = struct.pack(f"<5sBQQ{bits}Q{bits + 1}Q", MAGIC, bits, len(doc_ids), matrix.n, *matrix.zeros, *map(len, parts))
-    return head + b"".join(parts)
-
-
-def unpack(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """Document ids, their lengths, and the matrix."""
-    magic, bits, docs, n = struct.unpack_from("<5sBQQ", data)
-    if magic != MAGIC:
-        raise ValueError("not a shard file")
-    numbers = struct.unpack_from(f"<{2 * bits + 1}Q", data, 22)
-    at, parts, press = 22 + 8 * (2 * bits + 1), [], zstandard.ZstdDecompressor()
-    for size in numbers[bits:]:
-        parts.append(press.decompress(data[at : at + size]))
-        at += size
-    known = np.frombuffer(parts[0], dtype=np.uint8, count=docs)
-    names, lengths = np.frombuffer(parts[0], dtype="<i8", offset=docs).reshape(2, docs)
-    ids = [int(x) if k else None for x, k in zip(names, known)]
-    return ids, lengths, WaveletMatrix([np.frombuffer(p, dtype=np.uint8) for p in parts[1:]], list(numbers[:bits]), n)
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in keys that differ and aren't there yet."""
+        self.n += len(keys)
+        if 2 * self.n > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            old = self.keys[full], self.values[full]
+            size = len(self.keys)
+            while 2 * self.n > size:
+                size *= 2
+            self.keys, self.values = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32)
+            self._put(*old)
+        self._put(keys, values)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = keys & mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of those that meet in a slot one stays
+            mine = free & (self.keys[slot] == keys)
+            self.values[slot[mine]] = values[mine]
+            keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + np.uint64(1)) & mask
+
+
+LETTER, DIGIT, SPACE, OTHER = range(4)
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The class of each character up to U+2027."""
+    import regex
+
+    out = np.full(0x2028, OTHER, dtype=np.uint8)
+    for kind, name in ((LETTER, "L"), (DIGIT, "N"), (SPACE, "White_Space")):
+        member = regex.compile(rf"\p{{{name}}}").match
+        out[[c for c in range(0x2028) if member(chr(c))]] = kind
+    return out
 
 
 class PieceEncoder:
     """The library's ids, remembered by piece.
 
     The byte-level tokenizer cuts a text by a fixed pattern before merging, so a text's ids are those of its
-    pieces in turn. Pieces are found in numpy for many texts at once, from classes of characters, and known
-    by a fingerprint; each new piece goes to the library, and a full memory starts anew. Texts with
-    characters on which Unicode tables might differ, contractions or special tokens go to the library whole.
+    pieces in turn. Pieces are found in numpy in the UTF-8 of many texts at once, from classes of characters, and
+    known by a fingerprint; each new piece goes to the library, and a full memory starts anew. Texts with
+    characters on which Unicode tables might differ, contractions or added tokens go to the library whole; so do
+    all texts if the file names another pre-tokenizer, or a normalizer.
     """
 
-    MOST = 1_200_000
-    LETTER, DIGIT, SPACE, OTHER = range(4)
+    MOST = 2_500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's to deal out
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.beyond = regex.compile(r"[^\x00-\u04ff\u2010-\u2027]").search
-        self.contraction = regex.compile(r"'(?:[stmd]|re|ve|ll)").search
-        self.classes = np.full(0x2028, self.OTHER, dtype=np.uint8)
-        for kind, name in ((self.LETTER, "L"), (self.DIGIT, "N"), (self.SPACE, "White_Space")):
-            member = regex.compile(rf"\p{{{name}}}").match
-            self.classes[[c for c in range(0x2028) if member(chr(c))]] = kind
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        told = json.loads(self.library.to_str())
+        cut = told["pre_tokenizer"] or {}
+        self.known_form = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.added = [t["content"].encode() for t in told["added_tokens"]]
+        if self.known_form:  # pieces come cut already, a line feed between two
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.end_id = end_id
         self.clear()
 
     def clear(self):
-        self.place: dict[int, int] = {}
-        self.flat, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def _starts(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Place 0 is the end id."""
+        self.place, self.n = _Places(), 1
+        self.flat, self.starts = np.array([self.end_id], dtype=np.uint32), np.array([0, 1], dtype=np.int64)
+
+    def odd(self, offsets: np.ndarray, data: np.ndarray, raw: bytes) -> np.ndarray:
+        """Texts that the library must cut: with characters beyond U+04FF but for U+2010 to U+2027, contractions, or added tokens."""
+        if not self.known_form:
+            return np.arange(len(offsets) - 1)
+        at = np.flatnonzero(data >= 0xD4)
+        if len(at):
+            two, three = (np.append(data, [0, 0])[at + k].astype(int) for k in (1, 2))
+            at = at[~((data[at] == 0xE2) & (two == 0x80) & (three >= 0x90) & (three <= 0xA7))]
+        quote = np.flatnonzero(data == 39)
+        near = [raw[q + 1 : q + 3] for q in quote.tolist()]
+        short = [q for q, two in zip(quote.tolist(), near) if two[:1] in (b"s", b"t", b"m", b"d") or two in (b"re", b"ve", b"ll")]
+        found = []
+        for token in self.added:
+            spot = raw.find(token)
+            while spot >= 0:
+                found.append(spot)
+                spot = raw.find(token, spot + 1)
+        return np.unique(np.searchsorted(offsets, np.concatenate([at, np.array(short + found, dtype=np.int64)]), side="right") - 1)
+
+    @staticmethod
+    def _starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Where pieces start: runs of one class, and the last blank of a run of white space goes with what follows."""
-        kinds = self.classes[chars]
-        begins = np.concatenate([[True], kinds[1:] != kinds[:-1]])
-        begins[bounds[:-1][bounds[:-1] < len(chars)]] = True
-        first = np.flatnonzero(begins)
-        end = np.append(first[1:], len(chars))
-        inner = (kinds[first] == self.SPACE) & ~np.isin(end, bounds)  # white space before something in the same text
-        first, end = first[inner], end[inner]
-        begins[end[end - first > 1] - 1] = True
-        begins[end[chars[end - 1] == 32]] = False
+        classes = _classes()
+        kinds = classes[:256][data]
+        high = np.flatnonzero(data >= 0xC0)
+        if len(high):  # bytes of one character share its class
+            wide = data[high] >= 0xE0
+            low = high[~wide]
+            kinds[low] = kinds[low + 1] = classes[(data[low].astype(np.int64) & 31) << 6 | data[low + 1] & 63]
+            if wide.any():
+                top = high[wide]
+                kinds[top] = kinds[top + 1] = kinds[top + 2] = classes[0x2000 | data[top + 2].astype(np.int64) & 63]  # U+2010 to U+2027 alone get here
+        begins = np.empty(len(data), dtype=bool)
+        begins[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        space = np.flatnonzero(begins & (kinds == SPACE))
+        every = np.flatnonzero(begins)
+        end = np.append(every, len(data))[np.searchsorted(every, space) + 1]
+        inner = end < len(data)
+        inner[inner] = ~np.isin(end[inner], offsets)  # white space before something in the same text
+        space, end = space[inner], end[inner]
+        size = 1 + (data[end - 1] >= 0x80)  # bytes of its last character: U+0085 and U+00A0 have two
+        begins[(end - size)[end - space > size]] = True
+        begins[end[data[end - 1] == 32]] = False
         return np.flatnonzero(begins)
 
-    def odd(self, text: str) -> bool:
-        return "<|" in text or ("'" in text and bool(self.contraction(text))) or (not text.isascii() and bool(self.beyond(text)))
-
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
-        """Encode new pieces and return their places. A line feed between pieces leaves each as it is; pieces
-        that hold one, or are white space, are encoded alone."""
-        alone = np.array(["\n" in p or p.isspace() for p in pieces])
+        """Encode new pieces and return their places. Pieces that hold a line feed are encoded alone."""
+        alone = np.array(["\n" in p for p in pieces])
         order, flat, sizes = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]), [], []
         lines = order[: len(pieces) - int(alone.sum())]
         texts = ["\n".join([pieces[k] for k in lines[at : at + 2000].tolist()]) for at in range(0, len(lines), 2000)]
-        for got in self.library.encode_batch_fast(texts, add_special_tokens=False):
+        for got in self.pieces.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(got.ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.feed)
             sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
@@ -193,60 +337,60 @@ class PieceEncoder:
         for k in order[len(lines) :].tolist():
             flat.append(np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32))
             sizes.append(np.array([len(flat[-1])]))
-        places = np.empty(len(pieces), dtype=np.int64)
-        places[order] = np.arange(len(self.place), len(self.place) + len(pieces))
-        self.place.update(zip(keys.tolist(), places.tolist()))
+        places = np.empty(len(pieces), dtype=np.int32)
+        places[order] = np.arange(self.n, self.n + len(pieces))
+        self.n += len(pieces)
+        self.place.add(keys, places)
         self.flat = np.concatenate([self.flat, *flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        if len(self.starts) != len(self.place) + 1:
+        if len(self.starts) != self.n + 1:
             raise ValueError("pieces and ids differ in number")
         return places
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list = [None] * len(texts)
-        plain, held = [], 0
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = np.zeros(0, dtype=np.uint32)
-            elif self.odd(text):
-                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            else:
-                plain.append(k)
-                held += len(text)
-                if held > 1_500_000:
-                    self._encode(texts, plain, out)
-                    plain, held = [], 0
-        if plain:
-            self._encode(texts, plain, out)
-        return out
-
-    def _encode(self, texts: list[str], chosen: list[int], out: list) -> None:
-        whole = "".join(texts[k] for k in chosen)
-        chars = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
-        bounds = np.concatenate([[0], np.cumsum([len(texts[k]) for k in chosen])])
-        start = self._starts(chars, bounds)
-        end = np.append(start[1:], len(chars))
-        once, first, which = np.unique(span_hash(prefix_hash(chars), start, end), return_index=True, return_inverse=True)
-        known = self.place.get
-        place = np.array([known(key, -1) for key in once.tolist()], dtype=np.int64)
-        if len(self.place) + int((place < 0).sum()) > self.MOST:
-            self.clear()
-            place[:] = -1
+    def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; their number by text) of texts that lie end to end in `data`."""
+        raw = data.tobytes()
+        strange = self.odd(offsets, data, raw)
+        if not len(strange):
+            return self._encode(offsets, data, raw)
+        parts, sizes, at = [], [], 0
+        for k in [*strange.tolist(), len(offsets) - 1]:
+            if k > at:
+                a, b = int(offsets[at]), int(offsets[k])
+                ids, size = self._encode(offsets[at : k + 1] - a, data[a:b], raw[a:b])
+                parts.append(ids)
+                sizes.append(size)
+            if k < len(offsets) - 1:
+                text = raw[offsets[k] : offsets[k + 1]].decode("utf-8", "replace")
+                parts.append(np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end_id], dtype=np.uint32))
+                sizes.append(np.array([len(parts[-1])]))
+            at = k + 1
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _encode(self, offsets: np.ndarray, data: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        start = self._starts(offsets, data) if len(data) else np.zeros(0, dtype=np.int64)
+        end = np.append(start[1:], len(data))[: len(start)]
+        keys = span_hash(prefix_hash(data), start, end)
+        keys[keys == 0] = 1
+        place = self.place.find(keys)
         new = np.flatnonzero(place < 0)
         if len(new):
-            at = first[new]
-            place[new] = self._learn(once[new], [whole[x:y] for x, y in zip(start[at].tolist(), end[at].tolist())])
-        place = place[which]
+            once, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            if self.n + len(once) > self.MOST:
+                self.clear()
+                new = np.arange(len(keys))
+                once, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            at = new[first]
+            place[new] = self._learn(once, [raw[x:y].decode() for x, y in zip(start[at].tolist(), end[at].tolist())])[which]
+        cuts = np.searchsorted(start, offsets[1:])
+        place = np.insert(place, cuts, 0)  # the end id of each text
         size = self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - size), size)
-        cuts = np.searchsorted(start, bounds[1:-1])
-        for k, ids in zip(chosen, np.split(self.flat[take], np.append(0, ends)[cuts])):
-            out[k] = ids
+        return self.flat[take], np.diff(np.append(0, ends[cuts + np.arange(len(cuts))]))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def write_shards(df: DataFrame, tokenizer: str, end_id: int, shard_tokens: int = 1_000_000, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,31 +406,34 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, shard_tokens: int =
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        if path not in _ENCODERS:  # kept while the worker lives
-            _ENCODERS[path] = PieceEncoder(path)
-        encode, end = _ENCODERS[path], np.array([end_id], dtype=np.uint32)
-        docs, lengths, held, total, shard = [], [], [], 0, 0
-        narrow = np.uint16 if bits <= 16 else np.uint32
+        if (path, end_id) not in _ENCODERS:  # kept while the worker lives
+            _ENCODERS[path, end_id] = PieceEncoder(path, end_id)
+        encode = _ENCODERS[path, end_id]
+        docs, lengths, held, total, shard, part = [], [], [], 0, 0, 0
 
         def flush():
-            file = pack(docs, lengths, np.concatenate(held).astype(narrow), bits)
+            file = pack(docs, np.concatenate(lengths), np.concatenate(held), bits)
             return pa.record_batch([pa.array([part]), pa.array([shard]), pa.array([total]), pa.array([file], pa.binary())], names=["part", "shard", "n_tokens", "file"])
 
         for batch in batches:
-            part = batch.column(0)[0].as_py() if batch.num_rows else 0
-            for doc_id, ids in zip(batch.column(1), encode(batch.column(2).to_pylist())):
-                docs.append(doc_id.as_py())
-                held += [ids, end]
-                lengths.append(len(ids) + 1)
-                total += len(ids) + 1
+            if not batch.num_rows:
+                continue
+            part, names = batch.column(0)[0].as_py(), batch.column(1).to_pylist()
+            for first, offsets, data in raw_bytes(batch.column(2), min(1_000_000, 2 * shard_tokens)):
+                ids, sizes = encode(offsets, data)
+                docs += names[first : first + len(sizes)]
+                held.append(ids)
+                lengths.append(sizes)
+                total += len(ids)
                 if total >= shard_tokens:
                     yield flush()
                     docs, lengths, held, total, shard = [], [], [], 0, shard + 1
         if docs:
             yield flush()
 
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = (
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        df.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
         .select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
@@ -294,28 +441,30 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, shard_tokens: int =
     return stash(rows.mapInArrow(run, "part long, shard long, n_tokens long, file binary"))
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
+def read_shards(shards: DataFrame, end_id: int) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and end_ids (how often `end_id` stands in it, by rank) of every document, from the files alone."""
 
     def run(batches):
         for batch in batches:
             for part, shard, file in zip(batch.column(0), batch.column(1), batch.column(2)):
-                docs, lengths, matrix = unpack(file.as_py())
-                ids = matrix.decode(np.uint16 if matrix.bits <= 16 else np.uint32)
+                held = TokenShard(file.as_py())
+                docs, lengths = held.documents()
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
+                ids = held.decode().astype("<u4")
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                marks = np.diff(held.ranks(end_id, np.append(0, ends)))
                 n = len(docs)
                 yield pa.record_batch(
-                    [pa.array(np.full(n, part.as_py())), pa.array(np.full(n, shard.as_py())), pa.array(docs, pa.int64()), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())],
-                    names=["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, part.as_py())), pa.array(np.full(n, shard.as_py())), pa.array(docs, pa.int64()), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64()), pa.array(marks)],
+                    names=["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32", "end_ids"],
                 )
 
-    docs = shards.select("part", "shard", "file").mapInArrow(run, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "shard", "file").mapInArrow(run, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long, end_ids long")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))  # one row a partition
     parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
     starts = shards.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("shard_start")).join(parts, "part")
     return docs.join(starts, ["part", "shard"]).select(
-        "doc_id", (F.col("part_start") + F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
+        "doc_id", (F.col("part_start") + F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "end_ids"
     )

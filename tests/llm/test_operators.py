@@ -301,26 +301,59 @@ def test_tokens(docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, utf8(r[1])))
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, utf8(r[1])))
     want, start = Counter(), 0
     for d, t, _ in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
-        want[d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())] += 1
+        want[d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids.count(2)] += 1
         start += len(ids)
-    got = tokens.read_shards(tokens.write_shards(docs, "byte_bpe_50k.json", 2, shard_tokens=700)).collect()
-    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
-    assert tokens.read_shards(tokens.write_shards(empty, "byte_bpe_50k.json", 2)).count() == 0
+    got = tokens.read_shards(tokens.write_shards(docs, "byte_bpe_50k.json", 2, shard_tokens=700), 2).collect()
+    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.end_ids) for r in got) == want
+    assert tokens.read_shards(tokens.write_shards(empty, "byte_bpe_50k.json", 2), 2).count() == 0
+
+
+def test_pieces_are_the_librarys():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    signs = ["a", "b", "Z", "é", "Ж", "7", "٣", " ", " ", "  ", "\n", "\t", "\xa0", "\x85", "\u2014", "\u2019", "'", "'s", "'x", ".", "#", "\x1c", "漢", "<|endoftext|>", "\r\n", "\u0300"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["", " ", "\xa0", "\n\n"]
+    raw = [t.encode() for t in texts]
+    encode = tokens.PieceEncoder(path, 2)
+    encode.MOST = 500
+    ids, sizes = encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), dtype=np.uint8))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    # a tokenizer of another form is asked for whole texts
+    other = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert not other.known_form
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    raw = [b"Some Words here", b"", b"more"]
+    ids, sizes = other(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), dtype=np.uint8))
+    assert ids.tolist() == [i for t in raw for i in [*library.encode(t.decode(), add_special_tokens=False).ids, 2]]
 
 
 def test_wavelet_matrix():
-    ids = np.random.default_rng(0).integers(0, 50257, 3000).astype(np.uint16)
+    ids = np.random.default_rng(0).integers(0, 50257, 300_000).astype(np.uint32)
     ids[::7] = 11
-    docs, lengths, m = tokens.unpack(tokens.pack([None, 5], [1000, 2000], ids))
-    assert docs == [None, 5] and lengths.tolist() == [1000, 2000] and (m.decode(np.uint16) == ids).all()
-    assert [m.access(i) for i in (0, 7, 1234, 2999)] == ids[[0, 7, 1234, 2999]].tolist()
-    assert m.rank(11, 1500) == int((ids[:1500] == 11).sum()) and m.count(11) == int((ids == 11).sum())
+    file = tokens.pack([None, 5], [100_000, 200_000], ids)
+    m = tokens.TokenShard(file)
+    assert m.documents()[0] == [None, 5] and m.documents()[1].tolist() == [100_000, 200_000]
+    assert m.access(123_456) == ids[123_456] and len(m.opened) == m.bits < m.bits * m.chunks  # one chunk a plane
+    assert [m.access(i) for i in (0, 7, 131_071, 131_072, 299_999)] == ids[[0, 7, 131_071, 131_072, 299_999]].tolist()
+    places = np.array([0, 1, 511, 512, 1500, 131_072, 200_001, 300_000])
+    for token in (11, int(ids[5]), 50_300):
+        assert m.ranks(token, places).tolist() == [int((ids[:i] == token).sum()) for i in places]
+        assert m.count(token) == int((ids == token).sum())
     where = np.flatnonzero(ids == 11)
-    assert [m.select(11, k) for k in (0, 5, len(where) - 1, len(where))] == [where[0], where[5], where[-1], -1]
+    fresh = tokens.TokenShard(file)
+    assert [fresh.select(11, k) for k in (0, 5, 20_000, len(where) - 1, len(where))] == [where[0], where[5], where[20_000], where[-1], -1]
+    assert fresh.select(int(ids[5]), 0) == np.flatnonzero(ids == ids[5])[0] and fresh.count(70_000) == 0
+    assert (tokens.TokenShard(file).decode() == ids).all()
+    assert tokens.TokenShard(tokens.pack([], [], np.zeros(0, np.uint32))).decode().tolist() == []
+    with pytest.raises(ValueError):
+        tokens.pack([1], [1], np.array([65_536]))
 
 
 def test_media(docs, empty):
