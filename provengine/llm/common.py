@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -16,29 +18,43 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset a local session, as in tests,
+    gets one of its own; a cluster without it is an error, since no machine's own folder will do."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        at = context.getCheckpointDir()
     return at
 
 
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` to a table in the shared folder and read it back: its lineage is cut, and what a
     later job reads is a fact even if executors are lost."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Delete stashed tables. Only for those of which all that was derived is itself stashed, so that no retry reads them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(table))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def send_along(table: DataFrame, lists: str | None = None, most_rows: int = 200_000, most_items: int = 2_000_000) -> DataFrame:
-    """A written table as the side of a join that is broadcast if it is counted and found small: its rows, and
-    the items in its column `lists`. A larger one is left to the planner, which then deals both sides by key."""
-    small = table.limit(most_rows + 1).count() <= most_rows
-    if small and lists:
-        small = (table.agg(F.sum(F.size(lists))).first()[0] or 0) <= most_items
-    return F.broadcast(table) if small else table
+def dealt(table: DataFrame) -> DataFrame:
+    """A side that grows with the corpus, in a join with whole texts: both sides are dealt by key, whatever their size,
+    so what is measured on a small corpus is the plan of a large one."""
+    return table.hint("merge")
 
 
 def prefix_sums(df: DataFrame, order: list[str], size: str) -> DataFrame:

@@ -3,20 +3,23 @@ starts anywhere else.
 
 Triggers cut a text into phrases: the trigger of a string is where the rolling hash of `gram` bytes is
 least among its first `span` places (the leftmost on ties). So each string of `length` bytes has one
-trigger, found from its own bytes alone, and equal strings have it at the same place inside. The strings
-with one trigger are those that start in the phrase before it, and what the parse holds from the trigger
-on orders them. Of the corpus order, depth `length` is all that matters here, and of that only which
-entries are equal; fingerprints of phrase and parse stand for ranks at that depth, in three rounds:
-
-1. By the parse from the trigger on, as far as every string with that trigger reaches (`length - span + 1`
-   bytes). A trigger whose context is nowhere else has no repeated string and is done.
-2. By phrase and parse together (all bytes of all its strings). If that is elsewhere too, each of its
-   strings repeats.
-3. What is left are triggers at the edges of repeats, and one of each kind of round 2 with the same parse:
-   their strings are compared one by one.
-
-Rounds 1 and 2 see one row a phrase, not a byte. Counting is by aggregates that combine before they
-shuffle, and rows go back to counts by joins that can be split, so no key gathers in one task.
+trigger, found from its own bytes alone, and equal strings have it at the same place inside. A string is
+a suffix of the phrase before its trigger, and then what the parse holds from the trigger on; its place in the
+corpus order is that of (parse from the trigger, suffix of the phrase). Only the order to depth `length`
+matters, and in it only which neighbours are equal, so names (64-bit fingerprints) of phrases, of suffixes of
+phrases and of the parse to some depth stand for ranks in the dictionary's and the parse's suffix arrays:
+
+1. The parse's suffixes are sorted over the cluster by the name of what every string of a trigger reaches
+   (`length - span + 1` bytes from the trigger on), then by the name of phrase and parse together (all bytes of
+   all its strings). Neighbours in that order are read once: where the first name stands alone, no string of the
+   trigger repeats; where both names are a neighbour's, all its strings do.
+2. What is left are triggers at the edges of repeats, and one of each kind of full repeat beside them: their
+   strings are put in the corpus order one by one, by the name of suffix and parse together at depth `length`.
+
+The first order has one row a phrase, not a byte. Rows are placed by ranges of (names, row), so a repeat of any
+number of copies is dealt out; a run of names that a range's border cuts is taken for an edge, which step 2
+decides exactly. In step 2 strings that repeat inside a batch are decided there and sent on once a batch.
+The texts are dealt by key once for both uses.
 
 Null texts are empty; texts below `length` bytes lose nothing; null or repeated ids are rows of their own
 (rows alike in id and text repeat each other); an empty table gives no rows; other columns are ignored.
@@ -28,12 +31,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, row_key, send_along, span_hash, stash, text_chunks
+from .common import dealt, mix, prefix_hash, row_key, span_hash, stash, text_chunks
 
 PLACE_BITS = np.uint64(28)
+MOST_BYTES = 1 << 27  # that triggers are sought in at once
 
 
 def triggers(offsets: np.ndarray, data: np.ndarray, length: int, span: int, gram: int, prefix: np.ndarray | None = None):
@@ -41,6 +45,12 @@ def triggers(offsets: np.ndarray, data: np.ndarray, length: int, span: int, gram
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none
+    if len(data) > MOST_BYTES:  # one text, by strings that start in each stretch
+        parts = []
+        for a in range(0, len(data) - length + 1, MOST_BYTES - length):
+            piece = data[a : a + MOST_BYTES - 1]
+            parts.append([x + (a if k else 0) for k, x in enumerate(triggers(np.array([0, len(piece)]), piece, length, span, gram))])
+        return tuple(map(np.concatenate, zip(*parts)))
     prefix = prefix_hash(data) if prefix is None else prefix
     at = np.arange(len(data) - gram + 1)
     keys = (span_hash(prefix, at, at + gram) >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64)
@@ -89,21 +99,85 @@ def _anchors(docs: DataFrame, length: int, span: int, gram: int) -> DataFrame:
     return docs.select("row_key", "raw").mapInArrow(run, "row_key long, lo int, hi int, parse long, whole long")
 
 
+def _neighbours(anchors: DataFrame, most: int = 200_000) -> DataFrame:
+    """row_key, lo, hi, full, edge of the sorted triggers that step 1 doesn't drop, each from its neighbours in the order."""
+
+    def judged(table: pa.Table, cut_before: bool, cut_after: bool, same_before: bool):
+        """Of rows of whole runs; the first or last run may go on elsewhere."""
+        parse, whole = table["parse"].to_numpy(), table["whole"].to_numpy()
+        n = len(parse)
+        new_run = np.concatenate([[True], parse[1:] != parse[:-1]])
+        new_kind = new_run | np.concatenate([[True], whole[1:] != whole[:-1]])
+        kind, run = np.cumsum(new_kind) - 1, np.cumsum(new_run) - 1
+        full = np.bincount(kind)[kind] > 1
+        if same_before:
+            full |= kind == 0
+        open_ = np.zeros(run[-1] + 1, dtype=bool)
+        open_[0], open_[-1] = open_[0] | cut_before, open_[-1] | cut_after
+        near = (np.bincount(run)[run] > 1) | open_[run]
+        left = np.zeros(run[-1] + 1, dtype=bool)
+        left[run[near & ~full]] = True
+        edge = (near & ~full) | (full & new_kind & (left | open_)[run])
+        keep = np.flatnonzero(full | edge)
+        return pa.record_batch([*(table[c].take(pa.array(keep)).combine_chunks() for c in ("row_key", "lo", "hi")), pa.array(full[keep]), pa.array(edge[keep])], names=["row_key", "lo", "hi", "full", "edge"])
+
+    def run(batches):
+        held, last, cut = None, None, True
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows < most:
+                continue
+            parse, whole = held["parse"].to_numpy(), held["whole"].to_numpy()
+            ends = np.flatnonzero(parse[1:] != parse[:-1])
+            inside = not len(ends)  # a run longer than `most`: by kinds, or, if it is of one kind, as it is
+            if inside:
+                ends = np.flatnonzero(whole[1:] != whole[:-1])
+            end = int(ends[-1]) + 1 if len(ends) else len(parse)
+            yield judged(held.slice(0, end), cut, inside, last == (parse[0], whole[0]))
+            last, cut = (parse[end - 1], whole[end - 1]), inside
+            held = held.slice(end) if end < len(parse) else None
+        if held is not None and held.num_rows:
+            yield judged(held, cut, True, last == (held["parse"][0].as_py(), held["whole"][0].as_py()))
+
+    return anchors.mapInArrow(run, "row_key long, lo int, hi int, full boolean, edge boolean")
+
+
 def _strings(edges: DataFrame, length: int) -> DataFrame:
-    """row_key, start, string (fingerprint) of each string that starts in the ranges `los`, `his` of a text."""
+    """string (its name), row_key, lo, end, sure: of the strings that start in the ranges `edges` of a text, those alone in their batch;
+    for others, their ranges (`sure`), and each string once without a row."""
 
     def run(batches):
         for batch in batches:
+            owners, starts, names = [], [], []
             for k in range(batch.num_rows):
                 data = np.frombuffer(batch.column(1)[k].as_py(), dtype=np.uint8)
-                los, his = batch.column(2)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy()
+                edge = batch.column(2)[k].values
+                los, his = edge.field("lo").to_numpy(), edge.field("hi").to_numpy()
                 size = his - los + 1
-                start = np.repeat(los, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = np.unique(start)
-                got = span_hash(prefix_hash(data), start, start + length)
-                yield pa.record_batch([pa.array(np.full(len(start), batch.column(0)[k].as_py())), pa.array(start.astype(np.int32)), pa.array(got.view(np.int64))], names=["row_key", "start", "string"])
-
-    return edges.select("row_key", "raw", "los", "his").mapInArrow(run, "row_key long, start int, string long")
+                start = np.unique(np.repeat(los, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int64)
+                owners.append(np.full(len(start), k))
+                starts.append(start)
+                names.append(span_hash(prefix_hash(data), start, start + length))
+            if not owners:
+                continue
+            owner, start, name = map(np.concatenate, (owners, starts, names))
+            keys = batch.column(0).to_numpy()
+            once, which, times = np.unique(name, return_inverse=True, return_counts=True)
+            many = times[which] > 1
+            one = np.flatnonzero(~many)
+            yield pa.record_batch([pa.array(name[one].view(np.int64)), pa.array(keys[owner[one]]), pa.array(start[one].astype(np.int32)), pa.array((start[one] + length).astype(np.int32)), pa.array(np.zeros(len(one), dtype=bool))], names=NAMES)
+            witness = once[times > 1].view(np.int64)
+            n = len(witness)
+            yield pa.record_batch([pa.array(witness), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, dtype=bool))], names=NAMES)
+            at = np.flatnonzero(many)
+            if len(at):
+                new = np.concatenate([[True], (owner[at][1:] != owner[at][:-1]) | (start[at][1:] != start[at][:-1] + 1)])
+                first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+                spread = mix(keys[owner[first]].view(np.uint64) ^ start[first].astype(np.uint64))  # any name will do
+                yield pa.record_batch([pa.array(spread.view(np.int64)), pa.array(keys[owner[first]]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + length).astype(np.int32)), pa.array(np.ones(len(first), dtype=bool))], names=NAMES)
+
+    NAMES = ["string", "row_key", "lo", "end", "sure"]
+    return edges.select("row_key", "raw", "edges").mapInArrow(run, "string long, row_key long, lo int, end int, sure boolean")
 
 
 def covered(los: np.ndarray, ends: np.ndarray):
@@ -114,37 +188,21 @@ def covered(los: np.ndarray, ends: np.ndarray):
     return los[np.concatenate([[0], cut])], far[np.concatenate([cut - 1, [len(far) - 1]])]
 
 
-def _merged(ranges: DataFrame) -> DataFrame:
-    """row_key, los, ends: each text's ranges as maximal runs, so that few are left to send."""
-
-    def run(batches):
-        for batch in batches:
-            los, ends = [], []
-            for lo, end in zip(batch.column(1), batch.column(2)):
-                a, b = covered(lo.values.to_numpy(), end.values.to_numpy())
-                los.append(a)
-                ends.append(b)
-            kind = pa.list_(pa.int32())
-            yield pa.record_batch([batch.column(0), pa.array(los, kind), pa.array(ends, kind)], names=["row_key", "los", "ends"])
-
-    return ranges.select("row_key", "los", "ends").mapInArrow(run, "row_key long, los array<int>, ends array<int>")
-
-
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
 
 
 def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
-    """Apply the ranges `los`, `ends` (null: none) to each text."""
+    """Take the `ranges` (lo, end; null: none) out of each text."""
 
     def run(batches):
         for batch in batches:
             for from_ in range(0, batch.num_rows, 500):
                 out = []
-                for doc_id, raw, los, ends in zip(*(batch.column(c).slice(from_, 500) for c in range(4))):
+                for doc_id, raw, ranges in zip(*(batch.column(c).slice(from_, 500) for c in range(3))):
                     raw, spans = raw.as_py(), []
                     kept = raw
-                    if los.is_valid and len(los):
-                        a, b = covered(los.values.to_numpy(), ends.values.to_numpy())
+                    if ranges.is_valid and len(ranges):
+                        a, b = covered(ranges.values.field("lo").to_numpy(), ranges.values.field("end").to_numpy())
                         edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(raw)]
                         kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
                         spans = [{"start": x, "end": y} for x, y in zip(edges[1:-1:2], edges[2:-1:2])]
@@ -153,7 +211,7 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
                 yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return rows.select("doc_id", "raw", "los", "ends").mapInArrow(run, RESULT)
+    return rows.select("doc_id", "raw", "ranges").mapInArrow(run, RESULT)
 
 
 def remove_repeats(df: DataFrame, length: int = 400, span: int = 128, gram: int = 12, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,21 +219,15 @@ def remove_repeats(df: DataFrame, length: int = 400, span: int = 128, gram: int
     if length < span + gram:
         raise ValueError("length must be at least span + gram")
     docs = _binary(df, id_col, text_col)
-    anchors = stash(_anchors(docs, length, span, gram))
-    twice = lambda rows, key: rows.groupBy(key).count().where("count > 1").select(key)
-
-    near = stash(anchors.join(twice(anchors, "parse"), "parse"))
-    marked = near.join(twice(near, "whole").withColumn("full", F.lit(True)), "whole", "left")
-    marked = stash(marked.withColumn("full", F.coalesce("full", F.lit(False))))
-    rest = marked.where("NOT full")
-    kinds = marked.where("full").groupBy("parse", "whole").agg(F.min(F.struct("row_key", "lo", "hi")).alias("one"))
-    kinds = kinds.join(rest.select("parse").distinct(), "parse", "left_semi").select("one.*")
-    edges = rest.select("row_key", "lo", "hi").unionByName(kinds)
-    edges = stash(edges.groupBy("row_key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
-    strings = stash(_strings(docs.select("row_key", "raw").join(send_along(edges, "los"), "row_key"), length))
-    repeated = strings.join(twice(strings, "string"), "string").select("row_key", F.col("start").alias("lo"), (F.col("start") + length).alias("end"))
+    order = ["parse", "whole", "row_key", "lo"]
+    anchors = _anchors(docs, length, span, gram).repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = stash(_neighbours(anchors))
+
+    edges = marked.where("edge").groupBy("row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
+    strings = _strings(docs.join(dealt(edges), "row_key"), length)
+    # A string is in as many rows as batches at most.
+    strings = strings.withColumn("times", F.count("*").over(Window.partitionBy("string"))).where("row_key IS NOT NULL AND (sure OR times > 1)")
     full = marked.where("full").select("row_key", "lo", (F.col("hi") + length).alias("end"))
-    ranges = full.unionByName(repeated).groupBy("row_key").agg(F.collect_list(F.struct("lo", "end")).alias("all"))
-    ranges = stash(_merged(ranges.select("row_key", F.col("all.lo").alias("los"), F.col("all.end").alias("ends"))))
-    out = _cut(docs.join(send_along(ranges, "los"), "row_key", "left"), with_text)
+    ranges = full.unionByName(strings.select("row_key", "lo", "end")).groupBy("row_key").agg(F.collect_list(F.struct("lo", "end")).alias("ranges"))
+    out = _cut(docs.join(dealt(ranges), "row_key", "left"), with_text)
     return out if with_text else out.drop("kept", "spans")
