@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, lowered, mix, prefix_hash, row_key, send_along, span_hash, stash, text_chunks, words
+from .common import dealt, grouped, lowered, mix, prefix_hash, row_key, span_hash, stash, text_chunks, words
 
 
 def shingle_sets(texts: list, k: int = 5):
@@ -331,8 +331,8 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
     candidates = stash(connected_components(stash(_candidates(blocks, threshold).distinct())).join(nodes.select("node", "n", "copies"), "node"))
 
-    wanted = stash(rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    texts = docs.join(send_along(wanted.select(F.col("doc_id").alias("wanted_id"))), docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+    wanted = rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
+    texts = docs.select("row_key", "text").join(dealt(wanted), "row_key", "left_semi").select("text")
 
     def sets(batches):
         for batch in batches:
