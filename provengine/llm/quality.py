@@ -166,14 +166,15 @@ def train(df: DataFrame, labels: DataFrame, fit_docs: int = 3000, id_col: str =
     return fit(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([r["quality"] for r in rows]))
 
 
-def score_quality(df: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All of `df`'s columns with `quality_score` added."""
+def score_quality(df: DataFrame, model: dict | None, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """All of `df`'s columns with `score_col` added, in the place of one of that name."""
+    df = df.drop(score_col)
     fields = df.schema.fields
 
     def run(batches):
         for batch in batches:
             scores = score_texts(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), model)
-            yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "quality_score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, score_col])
 
-    schema = type(df.schema)([*fields]).add("quality_score", "double")
+    schema = type(df.schema)([*fields]).add(score_col, "double")
     return df.mapInArrow(run, schema)
