@@ -11,21 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provengine.llm import decontamination, jaccard, mixing, quality, sharding
-from provengine.llm.common import row_key, send_along, stash
+from provengine.llm.common import dealt, row_key, stash
 
-_KEY = "__row_key"
+
+def _key(docs: DataFrame) -> str:
+    """A name that none of the columns has."""
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_key(docs), row_key("doc_id", "text"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """`docs` without the rows whose keys are in `gone` (row_key)."""
-    gone = send_along(stash(gone.select(F.col("row_key").alias(_KEY)).distinct()))
-    return docs.withColumn(_KEY, row_key("doc_id", "text")).join(gone, _KEY, "left_anti").select(docs.columns)
+    gone = gone.select(F.col("row_key").alias(_key(docs))).distinct()
+    return _keyed(docs).join(dealt(gone), _key(docs), "left_anti").select(docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among `docs`, rejects go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("quality_score >= 0.5").select(docs.columns)
+    score = _key(docs)
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +44,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = stash(jaccard.near_duplicates(docs).where("n_shingles > 0"))
     chosen = rows.groupBy("component").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("kept"))
     rest = _without(docs, rows.join(chosen, "component").where("row_key <> kept"))
-    again = stash(rows.groupBy("row_key").count().where("count > 1").select("row_key"))
+    again = stash(rows.groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias(_key(docs))))
     if again.isEmpty():
         return rest
-    twice = rest.withColumn(_KEY, row_key("doc_id", "text")).join(again.withColumnRenamed("row_key", _KEY), _KEY, "left_semi").dropDuplicates([_KEY])
-    return _without(rest, again).unionByName(twice.select(docs.columns))
+    twice = _keyed(rest).join(dealt(again), _key(docs), "left_semi").dropDuplicates([_key(docs)])
+    return _without(rest, again.withColumnRenamed(_key(docs), "row_key")).unionByName(twice.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +59,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole: the words taken by its size, rounded."""
+    key = _key(docs)
     taken = mixing.mix_sources(docs).where("size > 0")
     copies = taken.select("row_key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("copies"))
-    copies = copies.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    copies = stash(copies.withColumnRenamed("row_key", _KEY))
-    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(send_along(copies.where("copies > 0")), _KEY)
-    once = joined.where("alike = 1")
-    if not copies.where("alike > 1").isEmpty():  # rows alike are repeated together
-        once = once.unionByName(joined.where("alike > 1").dropDuplicates([_KEY]))
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(_KEY)).drop(_KEY)
+    copies = stash(copies.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(f"{key}copies"), F.count("*").alias(f"{key}alike")))
+    joined = _keyed(docs).join(dealt(copies.where(F.col(f"{key}copies") > 0)), key)
+    once = joined.where(F.col(f"{key}alike") == 1)
+    if not copies.where(F.col(f"{key}alike") > 1).isEmpty():  # rows alike are repeated together
+        once = once.unionByName(joined.where(F.col(f"{key}alike") > 1).dropDuplicates([key]))
+    times = F.sequence(F.lit(1), F.col(f"{key}copies"))
+    return once.withColumn(f"{key}time", F.explode(times)).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
