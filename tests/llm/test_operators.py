@@ -274,6 +274,88 @@ def test_fuzzy_passages_of_one_chain(spark):
     assert got == [(2, 1, 0, 150, 0, 150, 150, 150), (2, 1, 300, 450, 150, 300, 150, 150), (4, 3, 0, 60, 0, 60, 60, 60), (4, 3, 300, 360, 310, 370, 60, 60)]
 
 
+def scattered(rng):
+    """Two texts with the same 80 words, each 20 of which stand in an earlier text too, many times over."""
+    make = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    passage = make(80)
+    rows = [(k, make(100) + passage[5 * k % 61 : 5 * k % 61 + 20] + make(100)) for k in range(16)]
+    rows += [(20, make(90) + passage + make(70)), (21, make(40) + passage + make(120))]
+    return [(d, " ".join(w)) for d, w in rows]
+
+
+def test_fuzzy_passage_of_scattered_seeds(spark):
+    rows = scattered(random.Random(12))
+    got = [(r.doc_id, r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end, r.n_equal) for r in fuzzy_substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(21, 20, 40, 120, 90, 170, 80)]
+
+
+def brute_passages(a: list, b: list, share: float = 0.8, least: int = 50) -> bool:
+    """Is there a stretch along a diagonal (substitutions alone) of `least` words or more with `share` equal?"""
+    for shift in range(-len(b) + least, len(a) - least + 1):
+        x, y = max(shift, 0), max(-shift, 0)
+        hit = np.array([p == q for p, q in zip(a[x:], b[y:])], dtype=float)
+        if len(hit) >= least and hit.sum() >= share * least:
+            total = np.concatenate([[0], np.cumsum(hit - share)])
+            if (total[least:] - np.minimum.accumulate(total)[: len(total) - least] >= -1e-9).any():
+                return True
+    return False
+
+
+@pytest.mark.parametrize(("identity", "recall"), [(1.0, 1.0), (0.95, 0.97), (0.9, 0.9), (0.85, 0.65)])
+def test_fuzzy_recall(spark, identity, recall):
+    """Passages of 60 to 120 words with words replaced, against every diagonal of the two texts."""
+    rng = random.Random(int(identity * 100))
+    make = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(60):
+        n = rng.choice([60, 80, 120])
+        passage = make(n)
+        changed = passage.copy()
+        for at in rng.sample(range(n), round(n * (1 - identity))):
+            changed[at] = make(1)[0]
+        a, b = make(rng.randrange(80)) + passage + make(50), make(rng.randrange(80)) + changed + make(50)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        if brute_passages(b, a):
+            want.add((2 * k + 1, 2 * k))
+    got = fuzzy_substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.ref_doc_id) for r in got}
+    assert len(want) >= 55 and len(found & want) >= recall * len(want) and all(d == r + 1 for d, r in found)
+    texts = dict(rows)
+    for r in got:  # each reported span against the texts
+        a, b = texts[r.doc_id].split()[r.start : r.end], texts[r.ref_doc_id].split()[r.ref_start : r.ref_end]
+        assert len(a) == len(b) == r.n_columns and sum(x == y for x, y in zip(a, b)) == r.n_equal
+
+
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_met_is_the_same_in_any_chunks(spark, most):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(s), int(c), int(n), int(p)) for s, c, n, p in zip(rng.integers(0, 6, 80), rng.integers(0, 3, 80), rng.integers(0, 9, 80), rng.integers(0, 50, 80))} | {(9, 0, n, 1) for n in range(30)})
+    df = spark.createDataFrame(rows, "seed long, ahead long, node long, place int")
+    order = ["seed", "ahead", "node", "place"]
+    dealt = fuzzy_substrings.stash(fuzzy_substrings._matches(df.repartitionByRange(3, *order).sortWithinPartitions(*order), most))
+    cross = fuzzy_substrings._across(dealt).collect()
+    got = {(r.node, r.place, r.other, r.other_place) for r in dealt.where("rim = 0").collect() + cross}
+    seeds = defaultdict(set)
+    for s, _, n, p in rows:
+        seeds[n, p].add(s)
+    assert all(a < b and seeds[a, p] & seeds[b, q] for a, p, b, q in got)
+    links = defaultdict(set)  # by seed, all nodes hang together
+    for a, p, b, q in got:
+        for s in seeds[a, p] & seeds[b, q]:
+            links[s].add((a, b))
+    for s in {r[0] for r in rows}:
+        group, nodes = {min(r[2] for r in rows if r[0] == s)}, {r[2] for r in rows if r[0] == s}
+        for _ in nodes:
+            group |= {x for pair in links[s] if set(pair) & group for x in pair}
+        assert group == nodes
+
+
+def test_minimizers_by_stretches():
+    codes = np.random.default_rng(7).integers(0, 1 << 62, 5000).astype(np.uint64)
+    for a, b in zip(fuzzy_substrings.minimizers(codes, 5, 12), fuzzy_substrings.minimizers(codes, 5, 12, 300)):
+        assert (a == b).all()
+
+
 def test_fuzzy_alignment_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(60):
