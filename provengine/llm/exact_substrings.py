@@ -177,7 +177,7 @@ def _strings(edges: DataFrame, length: int) -> DataFrame:
                 yield pa.record_batch([pa.array(spread.view(np.int64)), pa.array(keys[owner[first]]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + length).astype(np.int32)), pa.array(np.ones(len(first), dtype=bool))], names=NAMES)
 
     NAMES = ["string", "row_key", "lo", "end", "sure"]
-    return edges.select("row_key", "raw", "edges").mapInArrow(run, "string long, row_key long, lo int, end int, sure boolean")
+    return edges.select("row_key", "raw", "edges", "doc_id").mapInArrow(run, "string long, row_key long, lo int, end int, sure boolean")
 
 
 def covered(los: np.ndarray, ends: np.ndarray):
