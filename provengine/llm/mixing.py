@@ -2,11 +2,13 @@
 
 A text's size is its number of words. Sources in code-point order (null last) weigh 1, 2, 3, repeating,
 unless weights are given by position. A source's target is its weighted share of all words, stopped at
-`most` times its own size; what is over is shared again by weight. Blocks of equal words then go to the
-sources by highest quotients target / (2 * seats + 1), for each cumulative number of output shards (the
-method is monotone in the number of seats, so differences are the quotas of each shard). A source lays
-its texts end to end in a seeded order and is cut into blocks; a quota of q blocks over m takes every
-block q div m times, and a run of q mod m blocks once more from a seeded start, going round at the end.
+`most` times its own size; what is over is shared again by weight. A source lays its texts end to end in a
+seeded order and is cut into equal blocks of words. Blocks go to the sources by highest quotients
+target / (2 * seats + 1), a source having `most` seats for each of its blocks at most: what a full source can't
+take goes to the next quotients. This is done for each cumulative number of output shards (the method is
+monotone in the number of seats, so differences are the integer quotas of each shard). A source's seats, in the
+order of the shards, take its blocks in a seeded order, and begin again when all are taken; so each shard has
+its own seeded choice of blocks, and a text is taken by the words of it that stand in them.
 
 Null or empty texts have size 0 and none taken; repeated rows are texts of their own; a source without
 words has target 0; an empty table gives none. Columns beside the three named ones are ignored.
@@ -51,75 +53,84 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 def sainte_lague(targets: DataFrame, blocks: str, shards: int) -> DataFrame:
     """Quotas: one row for each source and shard, with `seats` of the first (shard + 1) / shards of all blocks,
-    and `quota`, this shard's own. Exact: rounding at the common level gives all but a few seats; the rest go
-    to the highest of the next quotients, or leave from the lowest of the last ones."""
-    house = targets.select("source_rank", "target", F.col(blocks).alias("all_blocks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    and `quota`, this shard's own; no source has more seats than its `most_seats`. Exact: rounding at the common level
+    gives all but a few seats; the rest go to the highest of the next quotients, or leave from the lowest of the last ones."""
+    house = targets.select("source_rank", "target", "most_seats", F.col(blocks).alias("all_blocks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     by_shard = Window.partitionBy("shard")
     house = (
         house.withColumn("seats_all", F.expr(f"all_blocks * (shard + 1) div {int(shards)}"))
         .withColumn("whole", F.sum(F.floor(F.col("target"))).over(by_shard) + F.lit(0.0))
-        .withColumn("near", F.when(F.col("whole") > 0, F.floor(F.col("target") * F.col("seats_all") / F.col("whole") + 0.5)).otherwise(0))
+        .withColumn("near", F.when(F.col("whole") > 0, F.least(F.col("most_seats").cast("double"), F.floor(F.col("target") * F.col("seats_all") / F.col("whole") + 0.5))).otherwise(0))
         .withColumn("miss", F.col("seats_all") - F.sum("near").over(by_shard))
     )
     steps = house.withColumn(
-        "step", F.explode(F.when(F.col("miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs("miss"))))
+        "step", F.explode(F.when(F.col("miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs("miss").cast("long"))))
     ).withColumn(
         "quotient",
-        F.when(F.col("miss") > 0, F.col("target") / (2 * (F.col("near") + F.col("step")) - 1))
+        F.when((F.col("miss") > 0) & (F.col("near") + F.col("step") <= F.col("most_seats")), F.col("target") / (2 * (F.col("near") + F.col("step")) - 1))
         .when((F.col("miss") < 0) & (F.col("near") >= F.col("step")), -F.col("target") / (2 * (F.col("near") - F.col("step")) + 1)),
     )
     order = Window.partitionBy("shard").orderBy(F.col("quotient").desc_nulls_last(), F.when(F.col("miss") > 0, F.col("source_rank")).otherwise(-F.col("source_rank")), "step")
     steps = steps.withColumn("won", (F.col("miss") != 0) & F.col("quotient").isNotNull() & (F.row_number().over(order) <= F.abs("miss")))
     seats = steps.groupBy("source_rank", "shard").agg(
-        (F.first("near") + F.signum(F.first("miss")).cast("long") * F.count_if("won")).alias("seats")
+        (F.first("near") + F.signum(F.first("miss")) * F.count_if("won")).cast("long").alias("seats")
     )
     before = Window.partitionBy("source_rank").orderBy("shard")
     return seats.withColumn("quota", F.col("seats") - F.coalesce(F.lag("seats").over(before), F.lit(0)))
 
 
+def chosen_blocks(plan: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """source_rank, block (its place in the source, from 0), shard: one row a seat, a block of a source taken by a shard."""
+    blocks = plan.where("own_blocks > 0").select("source_rank", "source", "first_block", F.explode(F.expr("sequence(0L, own_blocks - 1)")).alias("block"))
+    name = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("block").cast("string")))
+    drawn = prefix_sums(blocks.select("source_rank", "first_block", "block", name.alias("drawn")).withColumn("one", F.lit(1)), ["source_rank", "drawn", "block"], "one")
+    drawn = drawn.select("source_rank", "block", (F.col("index") - F.col("first_block")).alias("turn"))
+    seats = quotas.join(plan.select("source_rank", "own_blocks"), "source_rank").where("quota > 0")
+    seats = seats.select("source_rank", "shard", "own_blocks", F.explode(F.expr("sequence(seats - quota, seats - 1)")).alias("seat"))
+    return seats.select("source_rank", "shard", F.expr("seat % own_blocks").alias("turn")).join(drawn, ["source_rank", "turn"]).select("source_rank", "block", "shard")
+
+
 def _seeded(seed: int, *cols):
     return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
 
 
 def mix_sources(
-    df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, blocks_in_least: int = 1024, seed: int = 7,
+    df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, blocks_in_least: int = 1024, most_blocks: int = 1 << 22, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), quota (blocks of its source), row_key.
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), quota (blocks of its source), shard_quotas (by
+    shard), shard_taken (words by shard), row_key.
 
     A block is the least non-empty source's words by `blocks_in_least`, one at least, so every source
-    comes within a few blocks of its target."""
+    comes within a few blocks of its target; where that makes more than `most_blocks`, blocks are larger."""
     narrow = stash(
         df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_key(id_col, text_col).alias("row_key"), word_count(F.col(text_col)).alias("size"))
     )
     targets = source_targets(narrow, weights, most)
     every = Window.partitionBy()
+    before = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
     targets = stash(
-        targets.withColumn("block", F.greatest(F.lit(1), F.expr(f"min(CASE WHEN source_size > 0 THEN source_size END) OVER () div {int(blocks_in_least)}")))
-        .withColumn("all_blocks", F.expr("sum(source_size) OVER () div block"))
-        .withColumn("base", F.coalesce(F.sum("source_size").over(Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("grand", F.sum("source_size").over(every))
-    )
-    quotas = sainte_lague(targets, "all_blocks", shards).groupBy("source_rank").agg(F.sum("quota").alias("quota"))
-    plan = stash(
-        targets.join(quotas, "source_rank")
+        targets.withColumn("grand", F.sum("source_size").over(every))
+        .withColumn("block", F.greatest(F.lit(1), F.expr(f"min(CASE WHEN source_size > 0 THEN source_size END) OVER () div {int(blocks_in_least)}"), F.expr(f"grand div {int(most_blocks)}")))
+        .withColumn("all_blocks", F.expr("grand div block"))
+        .withColumn("base", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("own_blocks", F.expr("(source_size + block - 1) div block"))
-        .withColumn("quota", F.least("quota", F.col("own_blocks") * most))
-        .withColumn("rounds", F.expr("CASE WHEN own_blocks > 0 THEN quota div own_blocks ELSE 0 END"))
-        .withColumn("rest", F.col("quota") - F.col("rounds") * F.col("own_blocks"))
-        .withColumn("start", F.expr("CASE WHEN own_blocks > 0 THEN CAST(conv(substr(md5(concat_ws('\x1f', '%d', coalesce(source, ''))), 1, 8), 16, 10) AS BIGINT) %% own_blocks ELSE 0 END" % seed))
-        .select("source_rank", "source", "source_size", "target", "block", "base", "quota", "rounds", F.expr("start * block").alias("lo"), F.expr("(start + rest) * block").alias("hi"), F.expr("greatest((start + rest - own_blocks) * block, 0)").alias("round_end"))
+        .withColumn("most_seats", F.col("own_blocks") * most)
+        .withColumn("first_block", F.coalesce(F.sum("own_blocks").over(before), F.lit(0)))
     )
+    quotas = stash(sainte_lague(targets, "all_blocks", shards))
+    sums = quotas.groupBy("source_rank").agg(F.sum("quota").alias("quota"), F.transform(F.sort_array(F.collect_list(F.struct("shard", "quota"))), lambda q: q["quota"]).alias("shard_quotas"))
+    plan = stash(targets.join(sums, "source_rank").select("source_rank", "source", "source_size", "target", "block", "base", "own_blocks", "first_block", "quota", "shard_quotas"))
     # The table of sources is written, so its size is known: the planner sends it along only if it is small.
     ranked = narrow.join(plan.select("source", "source_rank"), narrow["source"].eqNullSafe(plan["source"])).select(
         "source_rank", "doc_id", "row_key", "size", _seeded(seed, F.col("doc_id"), F.col("size")).alias("seeded")
     )
-    placed = prefix_sums(ranked, ["source_rank", "seeded", "doc_id", "size"], "size").join(plan, "source_rank")
-    at = F.col("before") - F.col("base")
-    end = at + F.col("size")
-    over = lambda lo, hi: F.greatest(F.least(end, hi) - F.greatest(at, lo), F.lit(0))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("rounds") * F.col("size") + over(F.col("lo"), F.least("hi", "source_size")) + over(F.lit(0), F.col("round_end"))).alias("taken"),
-        "quota", "row_key",
+    placed = prefix_sums(ranked, ["source_rank", "seeded", "doc_id", "size"], "size").join(plan.select("source_rank", "block", "base"), "source_rank")
+    placed = stash(placed.select("source_rank", "doc_id", "row_key", "size", "index", "block", (F.col("before") - F.col("base")).alias("at")))
+    parts = placed.where("size > 0").select("source_rank", "index", "at", "size", F.col("block").alias("wide"), F.explode(F.expr("sequence(at div block, (at + size - 1) div block)")).alias("block"))
+    words = F.expr("least(at + size, (block + 1) * wide) - greatest(at, block * wide)")
+    taken = parts.join(chosen_blocks(plan, quotas, seed), ["source_rank", "block"]).groupBy("index", "shard").agg(F.sum(words).alias("words"))
+    taken = taken.groupBy("index").agg(F.sum("words").alias("taken"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("shard", "words")))).alias("shard_taken"))
+    return placed.drop("block").join(taken, "index", "left").join(plan.select("source_rank", "source", "source_size", "target", "quota", "shard_quotas"), "source_rank").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "quota", "shard_quotas", "shard_taken", "row_key"
     )

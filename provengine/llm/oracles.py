@@ -11,8 +11,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
 reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.least, d.doc_id) AS component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) r ON r.x = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.least, d.doc_id) AS component_id, coalesce(k.links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, count(*) AS links FROM link GROUP BY x) k ON k.x = d.doc_id LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
 
 _ESCAPED = "replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<|', '<\\|')"
@@ -36,17 +36,19 @@ s2 AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
        sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, row_number() OVER (ORDER BY cap / weight, rank) AS place FROM s1),
 f AS (SELECT min(place) AS place, arg_min(open_left, place) AS open_left, arg_min(open_weight, place) AS open_weight FROM s2 WHERE open_left * weight <= cap * open_weight),
 s3 AS (SELECT rank, source, source_size, CASE WHEN f.place IS NULL OR s2.place < f.place THEN CAST(cap AS DOUBLE) ELSE CAST(f.open_left AS DOUBLE) * weight / CAST(f.open_weight AS DOUBLE) END AS target,
-       greatest(1, (min(source_size) FILTER (source_size > 0) OVER ()) // 1024) AS block, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s2, f),
-q AS (SELECT rank, count(*) AS seats FROM (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS won, total // block AS house
-      FROM (SELECT *, unnest(range(0, 3 * ((source_size + block - 1) // block) + 2)) AS k FROM s3)) WHERE won <= house GROUP BY rank),
-s4 AS (SELECT s3.*, (source_size + block - 1) // block AS own, least(coalesce(q.seats, 0), 3 * ((source_size + block - 1) // block)) AS quota FROM s3 LEFT JOIN q ON q.rank = s3.rank),
-s5 AS (SELECT *, CASE WHEN own > 0 THEN quota // own ELSE 0 END AS rounds, CASE WHEN own > 0 THEN quota % own ELSE 0 END AS rest,
-       CASE WHEN own > 0 THEN CAST('0x' || left(md5('7' || chr(31) || coalesce(source, '')), 8) AS BIGINT) % own ELSE 0 END AS start FROM s4),
+       greatest(1, (min(source_size) FILTER (source_size > 0) OVER ()) // 1024, CAST(sum(source_size) OVER () AS BIGINT) // 4194304) AS block, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s2, f),
+s4 AS (SELECT *, (source_size + block - 1) // block AS own FROM s3),
+won AS (SELECT rank, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS won, total // block AS house FROM (SELECT *, unnest(range(0, 3 * own)) AS k FROM s4)),
+seat AS (SELECT rank, k, min(r.shard) AS shard FROM won, range(0, 16) AS r(shard) WHERE won <= house * (r.shard + 1) // 16 GROUP BY rank, k),
+q AS (SELECT s4.rank, r.shard, count(seat.k) AS quota FROM s4 CROSS JOIN range(0, 16) AS r(shard) LEFT JOIN seat ON seat.rank = s4.rank AND seat.shard = r.shard GROUP BY ALL),
+s5 AS (SELECT s4.*, CAST(t.quota AS BIGINT) AS quota, t.shard_quotas FROM s4 JOIN (SELECT rank, sum(quota) AS quota, string_agg(CAST(quota AS VARCHAR), ',' ORDER BY shard) AS shard_quotas FROM q GROUP BY rank) t ON t.rank = s4.rank),
+drawn AS (SELECT rank, b, row_number() OVER (PARTITION BY rank ORDER BY md5('7' || chr(31) || coalesce(source, '') || chr(31) || b), b) - 1 AS turn FROM (SELECT rank, source, unnest(range(0, own)) AS b FROM s4)),
+chosen AS (SELECT drawn.rank, drawn.b, count(*) AS times FROM seat JOIN s4 ON s4.rank = seat.rank JOIN drawn ON drawn.rank = seat.rank AND drawn.turn = seat.k % s4.own GROUP BY ALL),
 p AS (SELECT d.doc_id, d.size, s5.*, CAST(sum(d.size) OVER (PARTITION BY s5.rank ORDER BY md5('7' || chr(31) || coalesce(CAST(d.doc_id AS VARCHAR), '') || chr(31) || d.size), d.doc_id, d.size) - d.size AS BIGINT) AS pos
-      FROM d JOIN s5 ON s5.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target, source, quota,
-  rounds * size + greatest(least(pos + size, (start + rest) * block, source_size) - greatest(pos, start * block), 0) + greatest(least(pos + size, greatest((start + rest - own) * block, 0)) - greatest(pos, 0), 0) AS taken
-FROM p
+      FROM d JOIN s5 ON s5.source IS NOT DISTINCT FROM d.source),
+spread AS (SELECT doc_id, rank, pos, size, block, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS b FROM p WHERE size > 0),
+t AS (SELECT doc_id, CAST(sum(times * (least(pos + size, (spread.b + 1) * block) - greatest(pos, spread.b * block))) AS BIGINT) AS taken FROM spread JOIN chosen ON chosen.rank = spread.rank AND chosen.b = spread.b GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target, source, quota, shard_quotas, coalesce(taken, 0) AS taken FROM p LEFT JOIN t ON t.doc_id = p.doc_id
 """
 
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

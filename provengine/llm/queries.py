@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota")
+    by_shard = F.array_join(F.transform("shard_quotas", lambda q: q.cast("string")), ",").alias("shard_quotas")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota", by_shard)
 
 
 def op6_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return exact_substrings.remove_repeats(_table(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,21 +95,33 @@ def test_mixing(docs, empty):
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
         assert 0 <= r.taken <= 3 * r["size"]
+    for r in got:
+        assert r.taken == sum((r.shard_taken or {}).values()) and r.quota == sum(r.shard_quotas)
     for s, want in fill(sizes).items():
         assert all(r.target == pytest.approx(want) for r in got if r.source == s)
         assert abs(taken[s] - want) <= max(5, 0.01 * want)
+        own = [r for r in got if r.source == s]
+        for k, quota in enumerate(own[0].shard_quotas):  # a block is of one word here; each shard takes its own quota
+            assert sum((r.shard_taken or {}).get(k, 0) for r in own) == quota
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
 
 
-def test_sainte_lague_is_by_highest_quotients(spark):
-    targets = {1: 53.0, 2: 24.0, 3: 23.0, 4: 0.0}
-    df = spark.createDataFrame([(k, v, 10) for k, v in targets.items()], "source_rank int, target double, all_blocks long")
-    got = {(r.source_rank, r.shard): r.quota for r in mixing.sainte_lague(df, "all_blocks", 5).collect()}
+def highest_quotients(targets: dict, most: dict, house: int) -> list:
+    """The sources in the order in which they win seats."""
     seats, history = Counter(), []
-    for _ in range(10):
-        best = max(targets, key=lambda s: (targets[s] / (2 * seats[s] + 1), -s))
+    for _ in range(house):
+        best = max((s for s in targets if seats[s] < most[s]), key=lambda s: (targets[s] / (2 * seats[s] + 1), -s))
         seats[best] += 1
         history.append(best)
+    return history
+
+
+@pytest.mark.parametrize("most", [{1: 99, 2: 99, 3: 99, 4: 99}, {1: 3, 2: 99, 3: 1, 4: 0}])
+def test_sainte_lague_is_by_highest_quotients(spark, most):
+    targets = {1: 53.0, 2: 24.0, 3: 23.0, 4: 0.0}
+    df = spark.createDataFrame([(k, v, most[k], 10) for k, v in targets.items()], "source_rank int, target double, most_seats long, all_blocks long")
+    got = {(r.source_rank, r.shard): r.quota for r in mixing.sainte_lague(df, "all_blocks", 5).collect()}
+    history = highest_quotients(targets, most, 10)
     for shard in range(5):
         part = Counter(history[2 * shard : 2 * shard + 2])
         assert {s: got[s, shard] for s in targets} == {s: part[s] for s in targets}
