@@ -462,18 +462,123 @@ def test_media(docs, empty):
 
 
 def test_jpeg_parts():
-    payload = bytes(random.Random(2).randrange(256) for _ in range(64 * 70))
+    payload = bytes(random.Random(2).randrange(256) for _ in range(64 * 70)) + b" " * 64 + b" " * 63 + b"e" + b"e" + b" " * 40 + b"x" + b" " * 22
     data = media.encode(payload)
     image = media.parse(data)
     assert (image["width"], image["height"]) == (512, 16) and media.payload_of(image, media.coefficients(image)) == payload
-    # two blocks with ordinary variable-length codes: DC differences 5 and -3, one AC coefficient each
-    dc, ac = (bytes([0, 2]) + bytes(14), bytes([2, 3])), (bytes([0, 2]) + bytes(14), bytes([0x00, 0x11]))
-    bits = "01" + "101" + "01" + "1" + "00" + "00" + "00" + "01" + "0" + "00"
-    bits += "1" * (-len(bits) % 8)
-    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
-    image = {"width": 16, "height": 8, "parts": [(1, 1, 1, 0)], "tables": {1: (0, 0)}, "huffman": {0: dc, 16: ac}, "restart": 0, "scan": scan, "quant": {0: np.ones(64, int)}}
-    coefs = media.coefficients(image)
-    assert coefs[0, :, 0].tolist() == [5, 2] and coefs[0, 0, 2] == 1 and coefs[0, 1, 2] == -1
+    assert (scalar(image)[0] == media.coefficients(image)).all()
+    texts = [b"a" * 64, payload, b"plain words of a text go here. " * 20 + b" " * 20]
+    files = media.encode_all(texts)
+    assert files[1] == data and [media.payload_of(i, c) for i, c in zip(map(media.parse, files), media.restarted([media.parse(f) for f in files]))] == texts
+    for damaged in (data[:-40] + data[-2:], data.replace(b"\xff\xd1", b"\xff\x00", 1)):
+        with pytest.raises((ValueError, IndexError)):
+            media.coefficients(media.parse(damaged))
+
+
+def scalar(image: dict) -> list[np.ndarray]:
+    """All components' coefficients, bit by bit, as the standard words it."""
+    parts, scan = image["parts"], image["scan"]
+    h, v = (max(p[k] for p in parts) for k in (1, 2))
+    if len(parts) == 1:
+        h = v = 1
+    across, down = -(-image["width"] // (8 * h)), -(-image["height"] // (8 * v))
+    shape = [(1, 1)] if len(parts) == 1 else [p[1:3] for p in parts]
+    out = [np.zeros((down * b, across * a, 64), dtype=int) for a, b in shape]
+    stretches = [x.replace(b"\xff\x00", b"\xff") for x in re.split(b"\xff[\xd0-\xd7]", scan)]
+    tables = {}
+    for k, (counts, symbols) in image["huffman"].items():
+        code, at, tables[k] = 0, 0, {}
+        for n in range(1, 17):
+            for _ in range(counts[n - 1]):
+                tables[k][f"{code:0{n}b}"] = symbols[at]
+                code, at = code + 1, at + 1
+            code *= 2
+    bits, at, last = "", 0, []
+    for unit in range(across * down):
+        if unit == 0 or image["restart"] and unit % image["restart"] == 0:
+            bits, at, last = "".join(f"{x:08b}" for x in stretches.pop(0)), 0, [0] * len(parts)
+        for k, (a, b) in enumerate(shape):
+            dc, ac = image["tables"][parts[k][0]]
+            for y in range(b):
+                for x in range(a):
+                    block, place = out[k][unit // across * b + y, unit % across * a + x], 0
+                    while place < 64:
+                        n = 1
+                        table = tables[dc if place == 0 else 16 | ac]
+                        while bits[at : at + n] not in table:
+                            n += 1
+                            assert n <= 16
+                        symbol = table[bits[at : at + n]]
+                        run, size = symbol >> 4, symbol & 15
+                        value = bits[at + n : at + n + size]
+                        at += n + size
+                        number = 0 if not size else int(value, 2) if value[0] == "1" else int(value, 2) - (1 << size) + 1
+                        if place == 0:
+                            last[k] += number
+                            block[0], place = last[k], 1
+                        elif symbol == 0:
+                            break
+                        else:
+                            place += run
+                            block[place] = number
+                            place += 1
+    return out
+
+
+@pytest.mark.parametrize("restart", [0, 1, 3])
+@pytest.mark.parametrize("shape", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 2), (1, 1)]])
+def test_jpeg_of_any_form(restart, shape):
+    """Random scans: several components, subsampling, restarts, stuffing, codes of every length."""
+    rng = random.Random(restart)
+    dc_table = media.huffman_table({s: rng.random() for s in range(12)})
+    ac_table = media.huffman_table({r << 4 | s: rng.random() ** 3 + 1e-2 for r in range(16) for s in range(1, 11)} | {0: 0.3, 0xF0: 0.01})
+    dc, ac = media.codes(dc_table), media.codes(ac_table)
+    width, height = 45, 37
+    h, v = (max(s[k] for s in shape) for k in (0, 1)) if len(shape) > 1 else (1, 1)
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    scan, bits, last = b"", "", [0] * len(shape)
+    put = lambda table, s, value: format(table[s][1], f"0{table[s][0]}b") + (format(value if value > 0 else value + (1 << (s & 15)) - 1, f"0{s & 15}b") if s & 15 else "")
+    want = [np.zeros((down * b, across * a, 64), dtype=int) for a, b in (shape if len(shape) > 1 else [(1, 1)])]
+    pad = lambda bits: int(bits + "1" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big").replace(b"\xff", b"\xff\x00")
+    for unit in range(across * down):
+        if restart and unit and unit % restart == 0:
+            scan += pad(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, last = "", [0] * len(shape)
+        for k, (a, b) in enumerate(shape if len(shape) > 1 else [(1, 1)]):
+            for y in range(b):
+                for x in range(a):
+                    block = [rng.randrange(-1000, 1000)] + [rng.choice([0, 0, 0, 0, 1, -1, 7, -300]) if rng.random() < 0.3 else 0 for _ in range(63)]
+                    want[k][unit // across * b + y, unit % across * a + x] = block
+                    diff, last[k] = block[0] - last[k], block[0]
+                    bits += put(dc, abs(diff).bit_length(), diff)
+                    run = 0
+                    end = max([i for i in range(1, 64) if block[i]], default=0)
+                    for i in range(1, end + 1):
+                        if not block[i]:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + put(ac, 0xF0, 0), run - 16
+                        bits, run = bits + put(ac, run << 4 | abs(block[i]).bit_length(), block[i]), 0
+                    if end < 63:
+                        bits += put(ac, 0, 0)
+    scan += pad(bits)
+    seg = media._segment
+    parts = b"".join(bytes([k + 1, a << 4 | b, 0]) for k, (a, b) in enumerate(shape))
+    data = b"\xff\xd8" + seg(0xDB, b"\x00" + bytes([3] + [1] * 63)) + seg(0xC0, bytes([8, 0, height, 0, width, len(shape)]) + parts)
+    data += seg(0xC4, b"\x01" + dc_table[0] + dc_table[1]) + seg(0xC4, b"\x12" + ac_table[0] + ac_table[1])
+    data += (seg(0xDD, bytes([0, restart])) if restart else b"") + seg(0xDA, bytes([len(shape)]) + b"".join(bytes([k + 1, 0x12]) for k in range(len(shape))) + bytes([0, 63, 0])) + scan + b"\xff\xd9"
+    image = media.parse(data)
+    got = media.coefficients(image)
+    assert (got == want[0]).all() and all((a == b).all() for a, b in zip(scalar(image), want))
+    thumb = media.thumbnail(image, got)
+    for y in range(thumb.shape[0]):
+        for x in range(thumb.shape[1]):
+            assert thumb[y, x] == min(max((want[0][y, x, 0] * 3 + 4) // 8 + 128, 0), 255)
+    rows, cols = [r * thumb.shape[0] // 8 for r in range(8)], [c * thumb.shape[1] // 8 for c in range(8)]
+    small = [int(thumb[r, c]) for r in rows for c in cols]
+    word = "".join("1" if 64 * x > sum(small) else "0" for x in small)
+    assert media.feature(image, thumb) == f"{width}x{height}:{int(word, 2):016x}:{zlib.crc32(thumb.tobytes()):08x}"
 
 
 def test_quality(spark, docs, empty):
