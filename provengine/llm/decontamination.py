@@ -20,18 +20,44 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_key, stash
 
-GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # of texts in either case
+
+
+def _lowered(word: Column) -> Column:
+    """A-Z in lower case: by lower() where there is nothing else for it to change."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def item_words(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(text), GAP), "")
+    return F.transform(F.array_remove(F.split(text, GAP), ""), _lowered)
+
+
+def _codes(text: Column) -> Column:
+    """Fingerprints of the words, in place order."""
+    return F.transform(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), GAP), ""), lambda w: F.xxhash64(_lowered(w)))
+
+
+def _token(codes: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), *[F.get(codes, at + k) for k in range(size)])
 
 
-def _shingles(words: Column, size: int) -> Column:
+def _shingles(codes: Column, size: int) -> Column:
     """Fingerprints of each run of `size` words, in place order."""
-    at = F.sequence(F.lit(0), F.size(words) - size)
-    return F.when(F.size(words) >= size, F.transform(at, lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])))
+    at = F.sequence(F.lit(0), F.size(codes) - size)
+    return F.when(F.size(codes) >= size, F.transform(at, lambda i: _token(codes, i, size)))
+
+
+def _places(codes: Column, sizes: list[int]) -> Column:
+    """(place, token) of each run of each size, and before them a row of place -1, which every text has."""
+    out = [F.array(F.struct(F.lit(-1).alias("place"), F.lit(None).cast("long").alias("token")))]
+    for k in sizes:
+        at = F.when(F.size(codes) >= k, F.sequence(F.lit(0), F.size(codes) - k)).otherwise(F.array().cast("array<int>"))
+        out.append(F.transform(at, _placed(codes, k)))
+    return F.concat(*out)
+
+
+def _placed(codes: Column, size: int):
+    return lambda i: F.struct(i.alias("place"), _token(codes, i, size).alias("token"))
 
 
 def benchmark_windows(items: DataFrame, window: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -44,12 +70,13 @@ def benchmark_windows(items: DataFrame, window: int, shingle: int, id_col: str,
         "item_id", "length", F.explode(F.array(F.slice("words", F.col("start") + 1, F.col("length")))).alias("words")
     ).withColumn("window_id", F.sha2(F.array_join("words", " "), 256))
     members = stash(each.select("window_id", "item_id").distinct())
+    codes = F.transform("words", lambda w: F.xxhash64(w))
     ladder = None
     for k in range(1, shingle + 1):  # a window shorter than a shingle is one shingle
         fits = (F.col("length") == k) if k < shingle else (F.col("length") >= k)
-        ladder = F.when(fits, _shingles(F.col("words"), k)) if ladder is None else ladder.when(fits, _shingles(F.col("words"), k))
+        ladder = F.when(fits, _shingles(F.col("codes"), k)) if ladder is None else ladder.when(fits, _shingles(F.col("codes"), k))
     windows = stash(
-        each.dropDuplicates(["window_id"]).select("window_id", "length", F.least("length", F.lit(shingle)).alias("size"), ladder.alias("shingles"))
+        each.dropDuplicates(["window_id"]).select("window_id", "length", F.explode(F.array(codes)).alias("codes")).select("window_id", "length", F.least("length", F.lit(shingle)).alias("size"), ladder.alias("shingles"))
     )
     return windows, members
 
@@ -65,17 +92,12 @@ def find_contamination(
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `shingle` numbers
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    # explode() of one array keeps the words as a column, where they would be split anew for each shingle.
-    found = keyed.select("doc_id", "row_key", F.explode(F.array(item_words(F.col("text")))).alias("words"))
-    found = found.select("doc_id", "row_key", F.size("words").alias("n_words"), *[_shingles(F.col("words"), k).alias(f"s{k}") for k in sizes])
-    places = None
-    for k in sizes:
-        part = found.select("doc_id", "row_key", "n_words", F.posexplode(f"s{k}").alias("place", "token"))
-        places = part if places is None else places.unionByName(part)
-    if places is None:  # no item has words
-        places = found.select("doc_id", "row_key", "n_words", F.lit(0).alias("place"), F.lit(0).cast("long").alias("token")).where(F.lit(False))
+    # The one pass over the texts. explode() of one array keeps the fingerprints as a column, where they would be made anew for each shingle.
+    read = keyed.select("doc_id", "row_key", F.explode(F.array(_codes(F.col("text")))).alias("codes"))
+    read = read.select("doc_id", "row_key", F.size("codes").alias("n_words"), F.inline(_places(F.col("codes"), sizes)))
     # The benchmark's tokens are written, so their size is known: sent along only if small, else both sides are dealt by token.
-    places = stash(places.join(tokens, "token"))
+    kept = stash(read.join(tokens.withColumn("there", F.lit(True)), "token", "left").where("there OR place = -1").drop("there"))
+    places = kept.where("place >= 0")
 
     rarity = places.groupBy("token").count()
     prefix = (
@@ -116,7 +138,7 @@ def find_contamination(
         covered.join(by_item, (covered["row_key"] == by_item["row_key"]) & covered["doc_id"].eqNullSafe(by_item["doc_id"]))
         .select(covered["row_key"], covered["doc_id"].alias("hit_id"), "n_hit", "items")
     )
-    counts = keyed.select("doc_id", "row_key", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    counts = kept.where("place = -1").select("doc_id", "row_key", F.col("n_words").cast("long").alias("n_words"))
     return counts.join(verdict, (counts["row_key"] == verdict["row_key"]) & counts["doc_id"].eqNullSafe(verdict["hit_id"]), "left").select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
