@@ -19,12 +19,14 @@ PMC_HOSTS = ("pmc.ncbi.nlm.nih.gov", "www.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov",
 PMCID = "(?i)(?:^|/|=)(PMC[0-9]+)(?:$|[/?&.])"
 LOCAL_NAMES = ("localhost", "localhost.localdomain", "ip6-localhost")
 # Literal addresses that no fetch may reach (private, loopback, link-local, reserved, multicast).
-CLOSED_HOST = (
+CLOSED_V4 = (
     "^(?:(?:0|10|127|22[4-9]|2[34][0-9]|25[0-5])\\.[0-9]+\\.[0-9]+\\.[0-9]+"
     "|169\\.254\\.[0-9]+\\.[0-9]+|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]+\\.[0-9]+|192\\.168\\.[0-9]+\\.[0-9]+"
-    "|192\\.0\\.0\\.(?:[0-7]|17[01])|192\\.0\\.2\\.[0-9]+|198\\.1[89]\\.[0-9]+\\.[0-9]+|198\\.51\\.100\\.[0-9]+|203\\.0\\.113\\.[0-9]+"
-    "|::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$"
+    "|192\\.0\\.0\\.(?!(?:9|10)$)[0-9]+|192\\.0\\.2\\.[0-9]+|198\\.1[89]\\.[0-9]+\\.[0-9]+|198\\.51\\.100\\.[0-9]+|203\\.0\\.113\\.[0-9]+)$"
 )
+# Of IPv6, by its 32 digits: all but 2000::/3 and fec0::/10, and in the former 2001::/23 (with exceptions), 2001:db8::/32, 2002::/16 and 3fff::/20.
+OPEN_V6 = "^(?:2001000100000000000000000000000[12]|20010003|200100040112|2001002|2001003)"
+CLOSED_V6 = "^(?:[0-14-9a-e]|f(?!e[c-f])|2001(?:0[01]|0db8)|2002|3fff0)"
 
 
 def _c(col) -> Column:
@@ -120,17 +122,58 @@ def pmcid_from_urls(urls) -> Column:
     return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))
 
 
+def _dotted(number: Column) -> Column:
+    return F.concat_ws(".", *[F.shiftright(number, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+
+
+def v4_address(host: Column) -> Column:
+    """The dotted form of an IPv4 address in any numeric form (one to four parts, decimal, hexadecimal or octal); else NULL."""
+    parts = F.split(host, "\\.")
+    number = lambda p: (
+        F.when(p.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(p, 3, 8), 16, 10)).when(p.rlike("^0[0-7]{0,11}$"), F.conv(p, 8, 10)).when(p.rlike("^[1-9][0-9]{0,9}$"), p).try_cast("long")
+    )
+    n, size = F.transform(parts, number), F.size(parts)
+    last, total = F.get(n, size - 1), F.lit(0).cast("long")
+    for k in range(3):
+        total = total + F.when(F.lit(k) < size - 1, F.shiftleft(F.get(n, F.lit(k)), 24 - 8 * k)).otherwise(0)
+    fits = (size <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(F.slice(n, 1, F.greatest(size - 1, F.lit(0))), lambda x: x < 256)
+    return F.when(fits & (last < F.pow(F.lit(256), 5 - size)), _dotted(total + last))
+
+
+def v6_digits(host: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in any form; else NULL."""
+    tail = F.regexp_extract(host, ":([0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+)$", 1)
+    octets = F.array_join(F.transform(F.split(tail, "\\."), lambda o: F.lpad(F.lower(F.hex(o.try_cast("long"))), 2, "0")), "")
+    head = F.substring(host, F.lit(1), F.length(host) - F.length(tail))
+    plain = F.regexp_replace(F.when(tail == "", host).otherwise(F.concat(head, F.substring(octets, 1, 4), F.lit(":"), F.substring(octets, 5, 4))), "%.*$", "")
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    short = plain.contains("::")
+    left, right = groups(F.substring_index(plain, "::", 1)), groups(F.when(short, F.substring_index(plain, "::", -1)).otherwise(""))
+    filled = F.concat(left, F.when(short, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))).otherwise(F.array().cast("array<string>")), right)
+    digits = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(plain.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & ~plain.rlike("[0-9a-f]{5}|::.*::|:::") & digits.rlike("^[0-9a-f]{32}$"), digits)
+
+
+def is_closed_host(host: Column) -> Column:
+    """A local name, or a literal address in any form that isn't public. Names aren't resolved."""
+    six, four = v6_digits(host), v4_address(host)
+    mapped = six.startswith("0" * 20 + "ffff")
+    inner = _dotted(F.conv(F.substring(six, 25, 8), 16, 10).cast("long"))
+    closed = F.when(mapped, inner.rlike(CLOSED_V4)).when(six.isNotNull(), six.rlike(CLOSED_V6) & ~six.rlike(OPEN_V6)).when(four.isNotNull(), four.rlike(CLOSED_V4))
+    return host.isin(*LOCAL_NAMES) | F.coalesce(closed, F.lit(False))
+
+
 def url_safety(col) -> Column:
     """'ok' or why a remote URL must not be fetched."""
     url = _c(col)
-    host = F.lower(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), "^\\[|\\]$", ""))
+    host = F.lower(F.regexp_replace(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)", 1), "^\\[|\\]$", ""))
     return (
         F.when(url.isNull() | (url == ""), "empty")
         .when((strip(url) != url) | url.rlike("[\\n\\r\\t]"), "whitespace")
         .when(~F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https"), "scheme")
         .when(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1).contains("@"), "credentials")
         .when(host == "", "no host")
-        .when(host.isin(*LOCAL_NAMES) | host.rlike(CLOSED_HOST), "private target")
+        .when(is_closed_host(host), "private target")
         .otherwise("ok")
     )
 

@@ -1,19 +1,28 @@
 """Controlled vocabularies as dimension tables: a code and a display name, small enough to send along.
 
-A vocabulary over a few hundred entries is data: give its file (two columns, code and name) as a parameter.
+Languages and countries are those of ISO 639-1 and ISO 3166-1, with their English names, as the Java platform that
+Spark runs on lists them. Another vocabulary is data: give its file (two columns, code and name) as a parameter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The codes that the fixture tables use.
-LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
-COUNTRIES = {"AT": "Austria", "DE": "Germany", "FR": "France", "US": "United States"}
 
+def _iso(spark: SparkSession, codes: str, name: str, locale) -> DataFrame:
+    java = spark.sparkContext._jvm.java.util.Locale
+    rows = [(code, getattr(locale(java, code), name)(java.ENGLISH)) for code in getattr(java, codes)()]
+    return spark.createDataFrame(sorted(rows), "code string, name string")
 
-def vocabulary(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(sorted(entries.items()), "code string, name string")
+
+def languages(spark: SparkSession) -> DataFrame:
+    """Two-letter codes in lower case."""
+    return _iso(spark, "getISOLanguages", "getDisplayLanguage", lambda java, code: java(code))
+
+
+def countries(spark: SparkSession) -> DataFrame:
+    """Two-letter codes in upper case."""
+    return _iso(spark, "getISOCountries", "getDisplayCountry", lambda java, code: java("", code))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,12 @@ def normalize_codes(df: DataFrame, codes: str, vocabulary: DataFrame, upper: boo
     return out, unknown
 
 
+def refused(df: DataFrame, key: str, codes: str, unknown: DataFrame) -> DataFrame:
+    """All of `df` with `refused`: a row of normalised codes that names an unknown one is refused whole, never narrowed to the rest."""
+    bad = df.select(key, F.explode(codes).alias("code")).join(unknown, "code").select(F.col(key).alias("_bad")).distinct()
+    return df.join(bad, F.col(key) == F.col("_bad"), "left").withColumn("refused", F.col("_bad").isNotNull()).drop("_bad")
+
+
 def with_names(df: DataFrame, code: str, vocabulary: DataFrame) -> DataFrame:
     """Display names of codes; an unknown code stands for itself."""
     names = vocabulary.select(F.col("code").alias(code), "name")

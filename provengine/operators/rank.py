@@ -27,7 +27,7 @@ def is_challenged(url) -> Column:
 
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates of each (document, kind) in the order to try them, each url once, with `rank` from 1."""
-    keyed = candidates.withColumns({"challenged": is_challenged("url").cast("int"), "priority": _place(F.col("source"), SOURCE_ORDER)})
+    keyed = candidates.repartition("document_id").withColumns({"challenged": is_challenged("url").cast("int"), "priority": _place(F.col("source"), SOURCE_ORDER)})
     order = ["challenged", "priority", "offered_index", "url"]
     best = keyed.withColumn("again", F.row_number().over(Window.partitionBy("document_id", "kind", "url").orderBy(*order))).where("again = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("document_id", "kind").orderBy(*order)).cast("long")).drop("again")
@@ -53,9 +53,11 @@ def fallback_outcome(ranked: DataFrame, stage: Column) -> DataFrame:
     staged = ranked.withColumn("stage", stage)
     order = Window.partitionBy("document_id").orderBy("stage", "rank", "url")
     once = staged.withColumn("seen", F.row_number().over(Window.partitionBy("document_id", "url").orderBy("stage", "rank"))).where("seen = 1")
-    walk = once.withColumn("step", F.row_number().over(order).cast("long"))
-    won = walk.groupBy("document_id").agg(F.min_by(F.struct("step", "url", "stage"), F.when(F.col("succeeds"), F.col("step"))).alias("won"), F.max("step").alias("steps"))
-    tried = F.coalesce(F.col("won.step"), F.col("steps"))
-    errors = walk.join(won.select("document_id", F.col("won.step").alias("at")), "document_id").where(F.col("at").isNull() | (F.col("step") < F.col("at")))
-    last = errors.groupBy("document_id").agg(F.max_by("url", "step").alias("last_error_url"))
-    return won.join(last, "document_id", "left").select("document_id", F.col("won.url").alias("url"), F.col("won.stage").alias("stage"), tried.alias("tried"), "last_error_url")
+    won_at = F.min(F.when(F.col("succeeds"), F.col("step"))).over(Window.partitionBy("document_id"))
+    walk = once.withColumn("step", F.row_number().over(order).cast("long")).withColumn("at", won_at)
+    won, failed = F.col("step") == F.col("at"), F.col("at").isNull() | (F.col("step") < F.col("at"))
+    out = walk.groupBy("document_id").agg(
+        F.min_by("url", F.when(won, F.col("step"))).alias("url"), F.min_by("stage", F.when(won, F.col("step"))).alias("stage"),
+        F.coalesce(F.first("at"), F.max("step")).alias("tried"), F.max_by("url", F.when(failed, F.col("step"))).alias("last_error_url"),
+    )
+    return out.select("document_id", "url", "stage", "tried", "last_error_url")

@@ -254,22 +254,28 @@ def documents_by_failure(documents: DataFrame, failures: DataFrame, category: st
     return documents.where(F.col("status").isin(*FAILED)).join(hit, "document_id", "left_semi").select("document_id").orderBy("document_id").limit(first)
 
 
-def budget(responses: DataFrame, ceiling: int, provider: str = "source", credits: str = "credits", seq: str = "id", remaining: str = "remaining", segments: int = 64) -> DataFrame:
-    """Running credits of each provider in response order; the first response at the ceiling, or with none
-    remaining, suspends it, and later ones are refused.
+def running_credits(responses: DataFrame, provider: str = "source", credits: str = "credits", seq: str = "id", segments: int = 64) -> DataFrame:
+    """`spent`: the running credits of each provider in response order.
 
     A provider is one hot key, so sums are made in two steps: by segment of the sequence, then inside it."""
-    width = responses.agg((F.floor(F.max(seq) / segments) + 1).alias("width"))
-    rows = responses.crossJoin(F.broadcast(width)).withColumn("segment", F.floor(F.col(seq) / F.col("width"))).drop("width")
+    width = responses.agg(F.min(seq).alias("low"), (F.floor((F.max(seq) - F.min(seq)) / segments) + 1).alias("width"))
+    rows = responses.crossJoin(F.broadcast(width)).withColumn("segment", F.floor((F.col(seq) - F.col("low")) / F.col("width"))).drop("width", "low")
     totals = rows.groupBy(provider, "segment").agg(F.sum(credits).alias("sum"))
     before = Window.partitionBy(provider).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col(provider).alias("p"), F.col("segment").alias("s"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy(provider, "segment").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     # one row a provider and segment
     run = rows.join(totals, rows[provider].eqNullSafe(totals["p"]) & (rows["segment"] == totals["s"])).withColumn("spent", F.col("base") + F.sum(credits).over(inside))
+    return run.drop("p", "s", "segment", "base")
+
+
+def budget(responses: DataFrame, ceiling: int, provider: str = "source", credits: str = "credits", seq: str = "id", remaining: str = "remaining", segments: int = 64) -> DataFrame:
+    """Running credits of each provider in response order; the first response at the ceiling, or with none
+    remaining, suspends it, and later ones are refused."""
+    run = running_credits(responses, provider, credits, seq, segments)
     crossed = (F.col("spent") >= ceiling) | (F.coalesce(F.col(remaining), F.lit(1)) <= 0)
-    first = run.where(crossed).groupBy("p").agg(F.min(seq).alias("suspended_at")).withColumnRenamed("p", "q")
-    out = run.join(first, run["p"].eqNullSafe(first["q"]), "left")
+    first = run.where(crossed).groupBy(F.col(provider).alias("q")).agg(F.min(seq).alias("suspended_at"))
+    out = run.join(first, run[provider].eqNullSafe(first["q"]), "left")
     return out.select(
         seq, provider, "spent", F.coalesce(F.col(seq) == F.col("suspended_at"), F.lit(False)).alias("suspends"), F.coalesce(F.col(seq) > F.col("suspended_at"), F.lit(False)).alias("refused")
     )

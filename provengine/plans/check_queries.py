@@ -173,9 +173,18 @@ def classify_payload(spark, sf_dir):
     return p.select("page_id", P.classify_payload(F.lit("pdf"), F.col("content"), 300).alias("pdf_verdict"), P.classify_payload(F.lit("xml"), F.col("content"), 300).alias("xml_verdict"))
 
 
-@query("xml_wellformed")
+_XML = """CASE page_id % 6 WHEN 0 THEN '<article n="' || page_id || '"><p>text</p></article>' WHEN 1 THEN '<article>' || page_id || '<p>cut' WHEN 2 THEN '<!DOCTYPE a [<!ENTITY x "y">]><a>&x;' || page_id || '</a>'
+    WHEN 3 THEN '<?xml version="1.0"?><page>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</page>' WHEN 4 THEN '<a/><b>' || page_id || '</b>' ELSE '' END"""
+
+
+@query(
+    "xml_wellformed",
+    """SELECT page_id, page_id % 6 IN (0, 3) AS well_formed, CASE page_id % 6 WHEN 0 THEN 'article' WHEN 3 THEN 'page' END AS root,
+    CASE page_id % 6 WHEN 0 THEN NULL WHEN 3 THEN NULL WHEN 2 THEN 'unsafe entity' ELSE 'not well-formed' END AS problem FROM {PAGE} p""",
+)
 def xml_wellformed(spark, sf_dir):
-    return P.xml_wellformed(_payloads(spark, sf_dir), "page_id", "content")
+    pages = view(spark, sf_dir, "PAGE").select("page_id", F.expr(_XML).cast("binary").alias("content"))
+    return P.xml_wellformed(pages, "page_id", "content")
 
 
 @query(

@@ -55,20 +55,32 @@ def _digest_sql(name: str, columns: list[str], source: str) -> str:
     return f"SELECT '{name}' AS name, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM (SELECT ('0x' || left(r, 4))::INT % 256 AS b, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM (SELECT {row} AS r FROM {source}) GROUP BY b)"
 
 
-_TABLES = {"artifacts": (["document_id", "kind", "seq", "content_key", "size_bytes", "source"], "ART"), "observations": (["seq", "run_id", "provider", "source_id", "raw_doi", "title"], "OBS")}
+_TABLES = {
+    "artifacts": ("ART", ["document_id", "kind", "seq", "content_key", "size_bytes", "source", "http_status"], "document_id"),
+    "candidates": ("CAND", ["document_id", "offered_index", "kind", "source", "url", "host_type", "version", "succeeds"], "document_id"),
+    "documents": ("DOC", ["document_id", "run_id", "status", "journal", "publication_year", "oa_status", "attempts", "claimed"], "document_id"),
+    "events": ("EVT", ["id", "document_id", "run_id", "operation", "attempt_no", "ok", "category", "http_status", "remaining", "body", "source"], "id"),
+    "observations": ("OBS", ["seq", "run_id", "provider", "source_id", "raw_doi", "title", "journal", "publication_year", "language"], "seq"),
+    "topics": ("PART", ["work_no", "topic_id", "topic_name", "subfield", "field", "domain"], "work_no"),
+}
 
 
-@query("snk_evidence_export", " UNION ALL ".join(_digest_sql(n, c, "{%s} %s" % (v, n[:3])) for n, (c, v) in _TABLES.items()))
+@query("snk_evidence_export", " UNION ALL ".join(_digest_sql(n, c, "{%s} %s" % (v, n[:3])) for n, (v, c, _) in _TABLES.items()))
 def snk_evidence_export(spark, sf_dir):
-    return K.export_manifest({n: view(spark, sf_dir, v).select(*c) for n, (c, v) in _TABLES.items()})
+    """The bundle is written; the manifest is that of what is read back from it."""
+    at = M.scratch(spark)
+    ledger = {n: view(spark, sf_dir, v).select(*c) for n, (v, c, _) in _TABLES.items()}
+    K.export_ledger(ledger, {n: key for n, (_, _, key) in _TABLES.items()}, f"{at}/bundle")
+    return K.export_manifest({n: spark.read.schema(t.schema).json(f"{at}/bundle/{n}") for n, t in ledger.items()})
 
 
-@query("src_evidence_import", "SELECT doc_id, lang, source FROM documents")
+@query("src_evidence_import", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def src_evidence_import(spark, sf_dir):
     at = M.scratch(spark)
-    ledger = {"documents": table(spark, sf_dir, "documents").select("doc_id", "lang", "source")}
-    K.export_ledger(ledger, {"documents": "doc_id"}, f"{at}/bundle")
-    return K.restore_ledger(spark, f"{at}/bundle", {"documents": "doc_id long, lang string, source string"}, f"{at}/restored")["documents"]
+    ledger = {n: table(spark, sf_dir, n) for n in ("documents", "labels")}
+    K.export_ledger(ledger, {"documents": "doc_id", "labels": "doc_id"}, f"{at}/bundle")
+    schemas = {n: ", ".join(f"{c} {kind}" for c, kind in t.dtypes) for n, t in ledger.items()}
+    return K.restore_ledger(spark, f"{at}/bundle", schemas, f"{at}/restored")["documents"]
 
 
 @query(
@@ -95,14 +107,26 @@ def stream_dedup(spark, sf_dir):
     return M.run_to_table(M.stream_dedup(M.land(view(spark, sf_dir, "EVT").select("document_id", "id"), root), "document_id"), root).select("document_id")
 
 
-@query("stream_state_machine")
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, targets in A.ALLOWED.items() for b in targets)
+_STATES = f"""WITH RECURSIVE allowed(a, b) AS (VALUES {_MOVES}),
+m AS (SELECT document_id, id, target_status AS target, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM {{EVT}} e),
+s AS (SELECT document_id, id, k, 'DISCOVERED' AS before, target, target = 'DISCOVERED' OR EXISTS (SELECT 1 FROM allowed WHERE a = 'DISCOVERED' AND b = target) AS accepted FROM m WHERE k = 1
+      UNION ALL
+      SELECT m.document_id, m.id, m.k, CASE WHEN s.accepted THEN s.target ELSE s.before END, m.target,
+             m.target = CASE WHEN s.accepted THEN s.target ELSE s.before END OR EXISTS (SELECT 1 FROM allowed WHERE a = CASE WHEN s.accepted THEN s.target ELSE s.before END AND b = m.target)
+      FROM s JOIN m ON m.document_id = s.document_id AND m.k = s.k + 1),
+t AS (SELECT document_id, id, before, CASE WHEN accepted THEN target ELSE before END AS after, accepted FROM s)
+"""
+
+
+@query("stream_state_machine", _STATES + "SELECT * FROM t")
 def stream_state_machine(spark, sf_dir):
     root = M.scratch(spark)
     moves = view(spark, sf_dir, "EVT").select("document_id", "id", F.col("target_status").alias("target"))
-    return M.run_to_table(M.stream_transitions(M.land(moves, root, files=1)), root).drop("batch_id")
+    return M.run_to_table(M.stream_transitions(M.land_in_order(moves, root, "id", "document_id")), root).drop("batch_id")
 
 
-@query("batch_state_machine")
+@query("batch_state_machine", _STATES + "SELECT document_id, arg_max(after, id) AS status, count(*) FILTER (NOT accepted) AS refused FROM t GROUP BY document_id")
 def batch_state_machine(spark, sf_dir):
     return A.state_after(view(spark, sf_dir, "EVT").select("document_id", "id", F.col("target_status").alias("target")))
 
@@ -118,7 +142,7 @@ def stream_progress(spark, sf_dir):
 def stream_budget(spark, sf_dir):
     root = M.scratch(spark)
     spent = view(spark, sf_dir, "EVT").select("source", "id", F.col("attempt_no").alias("credits"))
-    return M.run_to_table(M.stream_budget(M.land(spent, root, files=1), 400), root).drop("batch_id")
+    return M.stream_budget(M.land_in_order(spent, root, "id", "id"), root, 400).drop("batch_id")
 
 
 @query("stream_merge", f"SELECT * FROM {GOLDEN} g")
@@ -130,12 +154,24 @@ def stream_merge(spark, sf_dir):
 
 
 
-@query("src_corpus_files", "SELECT 'json' AS kind, CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS documents, true AS filled, false AS partial")
+_SUFFIXES = ("json", "pdf", "XML", "part", "txt", "json")
+_SUFFIX = "CASE g % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'pdf' WHEN 2 THEN 'xml' WHEN 3 THEN 'part' WHEN 4 THEN 'txt' ELSE 'json' END"
+
+
+@query("src_corpus_files", f"SELECT 'd' || g AS document_id, {_SUFFIX} AS kind, true AS filled, g % 6 = 3 AS partial FROM (SELECT DISTINCT doc_id // 20 AS g FROM documents) WHERE g % 6 <> 4")
 def src_corpus_files(spark, sf_dir):
+    """A file for every 20 documents, of each suffix in turn, written by Spark and then given its name."""
     at = M.scratch(spark)
-    table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(5).write.json(f"{at}/corpus")
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", "text")
+    rows.repartition("g").write.partitionBy("g").json(f"{at}/written")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{at}/corpus"))
+    for file in fs.globStatus(path(f"{at}/written/g=*/part-*")):
+        g = int(file.getPath().getParent().getName().removeprefix("g="))
+        fs.rename(file.getPath(), path(f"{at}/corpus/d{g}.{_SUFFIXES[g % 6]}"))
     found = P.scan_corpus(spark, f"{at}/corpus")
-    return found.groupBy("kind").agg(F.count("*").alias("files"), F.count_distinct("document_id").alias("documents"), F.bool_and(F.col("size_bytes") > 0).alias("filled"), F.bool_or("partial").alias("partial"))
+    return found.select("document_id", "kind", (F.col("size_bytes") > 0).alias("filled"), "partial")
 
 
 @query("run_documents", "SELECT run_id, document_id, row_number() OVER (PARTITION BY run_id ORDER BY document_id) AS place FROM {DOC} d")

@@ -142,23 +142,28 @@ def open_url_list(spark, sf_dir):
     return found.select("document_id", F.array_join("c.url", ",").alias("urls"))
 
 
-@query("content_urls", "SELECT page_id, test_url = 'https://content.openalex.org/works/W' || page_id || '.pdf' AS ok, false AS other FROM {PAGE} p")
+@query("content_urls", "SELECT page_id, test_url = 'https://content.openalex.org/works/W' || page_id || '.pdf' AS ok, page_id % 10 = 2 AS other FROM {PAGE} p")
 def content_urls(spark, sf_dir):
     p = view(spark, sf_dir, "PAGE")
     own = F.concat(F.lit("W"), F.col("page_id").cast("string"))
-    return p.select("page_id", P.content_url_ok(F.col("test_url"), own, "pdf").alias("ok"), P.content_url_ok(F.col("test_url"), F.lit("W0x"), "pdf").alias("other"))
+    return p.select("page_id", P.content_url_ok(F.col("test_url"), own, "pdf").alias("ok"), P.content_url_ok(F.when(F.col("page_id") % 10 == 2, F.col("test_url")).otherwise(F.concat(F.lit("https://content.openalex.org/works/W9"), own, F.lit(".pdf"))), own, "pdf").alias("other"))
 
 
-@query("vocab_validate", "SELECT seq, list_sort(list_distinct(list_filter([upper(country_1), upper(country_2)], lambda x: x IS NOT NULL))) AS codes, CAST(0 AS BIGINT) AS unknown FROM {OBS} o")
+@query(
+    "vocab_validate",
+    """SELECT seq, list_sort(list_distinct(list_filter([upper(country_1), upper(country_2), bad], lambda x: x IS NOT NULL))) AS codes, bad IS NOT NULL AS refused, count(DISTINCT bad) OVER () AS unknown
+    FROM (SELECT seq, country_1, country_2, CASE seq % 50 WHEN 7 THEN 'ZZ' WHEN 9 THEN 'GER' WHEN 11 THEN '49' END AS bad FROM {OBS} o)""",
+)
 def vocab_validate(spark, sf_dir):
-    o = view(spark, sf_dir, "OBS").select("seq", F.concat_ws("|", F.lower("country_1"), F.lit(" "), "country_2", "country_1").alias("codes"))
-    rows, unknown = D.normalize_codes(o, "codes", V.vocabulary(spark, V.COUNTRIES), upper=True)
-    return rows.crossJoin(F.broadcast(unknown.agg(F.count("*").alias("unknown"))))
+    bad = F.when(F.col("seq") % 50 == 7, "zz").when(F.col("seq") % 50 == 9, "Ger").when(F.col("seq") % 50 == 11, "49")
+    o = view(spark, sf_dir, "OBS").select("seq", F.concat_ws("|", F.lower("country_1"), F.lit(" "), "country_2", bad, "country_1").alias("codes"))
+    rows, unknown = D.normalize_codes(o, "codes", V.countries(spark), upper=True)
+    return D.refused(rows, "seq", "codes", unknown).crossJoin(F.broadcast(unknown.agg(F.count("*").alias("unknown"))))
 
 
 @query("vocab_name", "SELECT seq, language, CASE language WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' ELSE language END AS name FROM {OBS} o")
 def vocab_name(spark, sf_dir):
-    return D.with_names(view(spark, sf_dir, "OBS").select("seq", "language"), "language", V.vocabulary(spark, V.LANGUAGES))
+    return D.with_names(view(spark, sf_dir, "OBS").select("seq", "language"), "language", V.languages(spark))
 
 
 def _works(spark, sf_dir):

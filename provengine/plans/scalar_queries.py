@@ -61,12 +61,20 @@ def pmcid_from_urls(spark, sf_dir):
     return urls.select("document_id", S.pmcid_from_urls("urls").alias("pmcid"))
 
 
+_LITERAL = """CASE page_id % 12 WHEN 0 THEN '[::ffff:10.' || k || '.0.1]' WHEN 1 THEN '[2001:db8::' || k || ']' WHEN 2 THEN '[2001:4860::' || k || ']' WHEN 3 THEN '[0:0:0:0:0:0:0:1]' WHEN 4 THEN '[::ffff:8.8.' || k || '.8]'
+    WHEN 5 THEN '[fd12:' || k || '::]' WHEN 6 THEN '2130706433' WHEN 7 THEN '0x8.8.' || k || '.010' WHEN 8 THEN '10.' || k || '.1' WHEN 9 THEN '[fe80::' || k || ']' WHEN 10 THEN '100.64.' || k || '.1' ELSE '240.0.' || k || '.1' END"""
+
+
 @query(
     "url_safety",
-    "SELECT page_id, CASE WHEN test_url IS NULL OR test_url = '' THEN 'empty' WHEN regexp_matches(test_url, '\\s') THEN 'whitespace' WHEN NOT regexp_matches(lower(test_url), '^https?:') THEN 'scheme' WHEN contains(regexp_extract(test_url, '^[a-zA-Z]+://([^/?#]*)', 1), '@') THEN 'credentials' WHEN regexp_extract(test_url, '^[a-zA-Z]+://([^/?#]*)', 1) = '127.0.0.1' THEN 'private target' ELSE 'ok' END AS reason FROM {PAGE} p",
+    """SELECT page_id, CASE WHEN test_url IS NULL OR test_url = '' THEN 'empty' WHEN regexp_matches(test_url, '\\s') THEN 'whitespace' WHEN NOT regexp_matches(lower(test_url), '^https?:') THEN 'scheme'
+    WHEN contains(regexp_extract(test_url, '^[a-zA-Z]+://([^/?#]*)', 1), '@') THEN 'credentials' WHEN regexp_extract(test_url, '^[a-zA-Z]+://([^/?#]*)', 1) = '127.0.0.1' THEN 'private target' ELSE 'ok' END AS reason,
+    CASE WHEN page_id % 12 IN (2, 4, 7, 10) THEN 'ok' ELSE 'private target' END AS literal FROM {PAGE} p""",
 )
 def url_safety(spark, sf_dir):
-    return view(spark, sf_dir, "PAGE").select("page_id", S.url_safety("test_url").alias("reason"))
+    p = view(spark, sf_dir, "PAGE").select("page_id", "test_url", (F.col("page_id") % 200).cast("string").alias("k"))
+    literal = F.concat(F.lit("http://"), F.expr(_LITERAL), F.lit("/x"))
+    return p.select("page_id", S.url_safety("test_url").alias("reason"), S.url_safety(literal).alias("literal"))
 
 
 @query(

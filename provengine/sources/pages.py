@@ -30,17 +30,22 @@ def read_ledger(spark: SparkSession, root: str, table: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+KINDS = ("pdf", "xml", "json")
+
+
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """document_id, kind, size_bytes, path, partial: the corpus folder's files, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.{pdf,xml,json,part}").load(root)
+    """document_id, kind, size_bytes, path, partial: the corpus folder's files, without reading them. Suffixes are known
+    in either case; files with others are none of the corpus's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    return files.select(
-        F.regexp_extract(name, "^(.*)\\.[^.]+$", 1).alias("document_id"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("kind"), F.col("length").alias("size_bytes"), "path", name.endswith(".part").alias("partial")
+    kind = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))
+    return files.where(kind.isin(*KINDS, "part")).select(
+        F.regexp_extract(name, "^(.*)\\.[^.]+$", 1).alias("document_id"), kind.alias("kind"), F.col("length").alias("size_bytes"), "path", (kind == "part").alias("partial")
     )
 
 
 def digest_files(spark: SparkSession, root: str, most_bytes: int = 1 << 30) -> DataFrame:
     """document_id, kind, sha256 of files up to `most_bytes` (a file is one value; larger ones are kept back at the source)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,xml,json}").load(root).where(F.col("length") <= most_bytes)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[pP][dD][fF],[xX][mM][lL],[jJ][sS][oO][nN]}").load(root).where(F.col("length") <= most_bytes)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     return files.select(F.regexp_extract(name, "^(.*)\\.[^.]+$", 1).alias("document_id"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("kind"), F.sha2("content", 256).alias("sha256"))

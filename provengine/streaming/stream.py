@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.audit import ALLOWED
 from ..operators.ledger import FIRST_WINS, first_values
+from ..operators.stats import running_credits
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space of the cluster; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the shared scratch space that spark.checkpoint.dir names; a local one only for a local session without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     return f"{root}/{uuid.uuid4().hex}"
 
 
@@ -40,6 +46,17 @@ def land(df: DataFrame, root: str, files: int = 4) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
 
 
+def land_in_order(df: DataFrame, root: str, order: str, key: str, batches: int = 4, files: int = 2) -> DataFrame:
+    """The same, arriving in ranges of `order`, one after the other; the rows of a key and a range are in one file, so
+    batches bring them in order wherever they are cut."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // batches + 1
+    for k in range(batches):
+        part = df.where(F.floor((F.col(order) - (low or 0)) / step) == k)
+        part.repartition(files, key).write.mode("append").parquet(f"{root}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+
+
 def stream_discover(pages: DataFrame, root: str, split) -> DataFrame:
     """Pages to ledger records: the checkpoint moves on after a batch's rows are written."""
     records, _ = split(pages)
@@ -77,36 +94,31 @@ def stream_progress(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.max("ts").alias("last_activity_at"))
 
 
-def stream_budget(stream: DataFrame, ceiling: int) -> DataFrame:
-    """Running credits of each provider in order of arrival; once the ceiling is reached all is refused."""
-
-    def step(key, frames, state):
-        spent, suspended = state.get if state.exists else (0, False)
-        rows = pd.concat(list(frames)).sort_values("id")
-        out = []
-        for i, credits in zip(rows["id"], rows["credits"]):
-            refused = suspended
-            spent += int(credits)
-            suspended = suspended or spent >= ceiling
-            out.append((key[0], int(i), spent, refused))
-        state.update((spent, suspended))
-        yield pd.DataFrame(out, columns=["source", "id", "spent", "refused"])
-
-    return stream.groupBy("source").applyInPandasWithState(step, "source string, id long, spent long, refused boolean", "spent long, suspended boolean", "append", GroupStateTimeout.NoTimeout)
+def stream_budget(stream: DataFrame, root: str, ceiling: int) -> DataFrame:
+    """Running credits of each provider in order of arrival; once the ceiling is reached all is refused.
 
-
-def stream_merge(stream: DataFrame, root: str) -> DataFrame:
-    """Golden records kept current: each batch folds the observations of the documents it touches, with all
-    of theirs before, into the next version; untouched documents stay in the version they are in."""
+    Inside a batch sums are made in two steps (`running_credits`); what is carried from batch to batch is one
+    row a provider, in a table of each batch's end, so a batch that is replayed starts from the same sums."""
     spark = stream.sparkSession
+    totals = "source string, spent long"
 
     def fold(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/observations/batch_id={number}")
-        seen = spark.read.schema(stream.schema).parquet(f"{root}/observations")
-        touched = seen.join(batch.select("document_id").distinct(), "document_id", "left_semi")
-        first_values(touched).write.mode("overwrite").parquet(f"{root}/golden/batch_id={number}")
+        base = spark.read.schema(totals).parquet(f"{root}/totals/batch_id={number - 1}") if number else spark.createDataFrame([], totals)
+        before = base.select(F.col("source").alias("p"), F.col("spent").alias("base"))
+        run = running_credits(batch)
+        run = run.join(before, run["source"].eqNullSafe(before["p"]), "left").withColumn("spent", F.coalesce("base", F.lit(0)) + F.col("spent"))
+        run = run.select("source", "id", F.col("spent").cast("long").alias("spent"), (F.col("spent") - F.col("credits") >= ceiling).alias("refused"))
+        run.write.mode("overwrite").parquet(f"{root}/table/batch_id={number}")
+        ends = base.unionByName(batch.select("source", F.col("credits").cast("long").alias("spent"))).groupBy("source").agg(F.sum("spent").alias("spent"))
+        ends.write.mode("overwrite").parquet(f"{root}/totals/batch_id={number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(fold).start()
     query.awaitTermination()
-    versions = spark.read.parquet(f"{root}/golden")
+    return spark.read.schema("source string, id long, spent long, refused boolean, batch_id long").parquet(f"{root}/table")
+
+
+def stream_merge(stream: DataFrame, root: str) -> DataFrame:
+    """Golden records kept current: the first filled value of each field, with its place, is the state of a document;
+    a batch changes the documents it touches and writes those anew."""
+    versions = run_to_table(first_values(stream), root, "update")
     return versions.groupBy("document_id").agg(F.max_by(F.struct(*FIRST_WINS), "batch_id").alias("r")).select("document_id", "r.*")

@@ -96,13 +96,67 @@ def test_tampered_bundle_is_refused(spark, tmp_path):
 def test_stream_is_batch(spark, tmp_path):
     moves = spark.createDataFrame([(1, 1, "NORMALIZED"), (1, 2, "COMPLETED"), (1, 3, "QUEUED"), (2, 4, "QUEUED"), (2, 5, "SKIPPED")], "document_id long, id long, target string")
     root = f"file://{tmp_path}"
-    live = stream.run_to_table(stream.stream_transitions(stream.land(moves, root, files=1)), root)
+    live = stream.run_to_table(stream.stream_transitions(stream.land_in_order(moves, root, "id", "document_id", batches=3)), root)
+    assert live.select("batch_id").distinct().count() == 3  # the state goes from batch to batch
     last = {r.document_id: r.after for r in live.orderBy("id").collect()}
     batch = audit.state_after(moves).collect()
     assert last == {r.document_id: r.status for r in batch} == {1: "QUEUED", 2: "SKIPPED"}
     assert {r.document_id: r.refused for r in batch} == {1: 1, 2: 1}
 
 
+def test_budget_goes_from_batch_to_batch(spark, tmp_path):
+    rows = [(k, "ab"[k % 2] if k % 5 else None, k % 4) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, credits int")
+    live = stream.stream_budget(stream.land_in_order(df, f"file://{tmp_path}", "id", "id", batches=5), f"file://{tmp_path}", 20)
+    assert live.select("batch_id").distinct().count() == 5
+    spent, want = {}, set()
+    for k, source, credits in rows:
+        before = spent.get(source, 0)
+        spent[source] = before + credits
+        want.add((k, source, spent[source], before >= 20))
+    assert {(r.id, r.source, r.spent, r.refused) for r in live.collect()} == want
+
+
+def test_merge_goes_from_batch_to_batch(spark, tmp_path):
+    rows = [(str(k % 3), 50 - k, None if k % 4 else f"t{k}") for k in range(50)]
+    obs = spark.createDataFrame(rows, "document_id string, seq long, title string")
+    for name in ledger.FIRST_WINS:
+        if name != "title":
+            obs = obs.withColumn(name, F.lit(None).cast("string"))
+    live = stream.stream_merge(stream.land(obs, f"file://{tmp_path}", files=6), f"file://{tmp_path}")
+    assert sorted(map(tuple, live.select("document_id", "title").collect())) == sorted(map(tuple, ledger.first_values(obs).select("document_id", "title").collect()))
+
+
+def test_literal_addresses(spark):
+    """Every form against the standard library's judgement."""
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    hosts = ["::1", "::", "::ffff:127.0.0.1", "::ffff:8.8.8.8", "2001:db8::1", "0:0:0:0:0:0:0:1", "2606:4700::1111", "fe80::1", "fec0::1", "2002::1", "64:ff9b::1", "ff02::1", "2001:4:112::5", "192.0.0.9", "192.0.0.8", "100.64.0.1"]
+    hosts += [str(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 64, 96, 3]))) for _ in range(150)] + [str(ipaddress.IPv6Address((0x2001 << 112) | rng.getrandbits(rng.choice([112, 100, 90])))) for _ in range(60)]
+    hosts += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(150)]
+    got = {r.h: r.c for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", scalar.is_closed_host(F.col("h")).alias("c")).collect()}
+    for h in hosts:
+        a = ipaddress.ip_address(h)
+        a = getattr(a, "ipv4_mapped", None) or a
+        assert got[h] == bool(a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified), h
+    odd = [("127.1", True), ("0x7f.1", True), ("017700000001", True), ("2130706433", True), ("8.8.2056", False), ("1.2.3.4.5", False), ("300.1.1.1", False), ("1:2", False), ("::1::", False), ("12345::", False), ("example.org", False), ("", False)]
+    got = {r.h: r.c for r in spark.createDataFrame(odd, "h string, w boolean").select("h", scalar.is_closed_host(F.col("h")).alias("c")).collect()}
+    assert got == dict(odd)
+
+
+def test_unknown_codes_are_refused(spark):
+    from provengine.functions import vocabulary
+    from provengine.operators import discover
+
+    df = spark.createDataFrame([(1, "de,en"), (2, "de, xx"), (3, "klingon"), (4, "de-DE|12"), (5, ""), (6, None)], "k int, codes string")
+    rows, unknown = discover.normalize_codes(df, "codes", vocabulary.languages(spark), upper=False)
+    assert {r.code for r in unknown.collect()} == {"xx", "klingon", "de-de", "12"}
+    assert {r.k: r.refused for r in discover.refused(rows, "k", "codes", unknown).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: False}
+    assert vocabulary.languages(spark).count() >= 180 and vocabulary.countries(spark).count() >= 240
+
+
 def test_partition_count_changes_nothing(spark):
     obs = spark.range(300).select((F.col("id") % 7).cast("string").alias("document_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("title"))
     seen = set()
