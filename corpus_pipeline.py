@@ -15,10 +15,10 @@ from provengine.llm.common import dealt, row_key, stash
 
 
 def _key(docs: DataFrame) -> str:
-    """A name that none of the columns has."""
+    """A name that none of the columns begins with."""
     name = "__row_key"
-    while name in docs.columns:
-        name += "_"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
     return name
 
 
