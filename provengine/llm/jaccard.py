@@ -228,7 +228,7 @@ def _candidates(blocks: DataFrame, threshold: int) -> DataFrame:
 
 def _tiles(members: DataFrame, block: str, tile_tokens: int) -> DataFrame:
     """node, tile, own, `block`: blocks whose sets are too large together become pairs of tiles; a tile meets each tile, itself included (`own`)."""
-    weights = members.groupBy(block).agg(F.ceil(F.sum("n") / tile_tokens).alias("tiles"))
+    weights = stash(members.groupBy(block).agg(F.ceil(F.sum("n") / tile_tokens).alias("tiles")))  # written: a large block's rows can then be split in the join
     dealt = members.join(weights, block).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     pair = lambda t: F.struct(F.xxhash64(F.col(block), F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))).alias("pair"), (t == F.col("tile")).alias("own"))
     met = dealt.select("node", "tile", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), pair)).alias("met"))
@@ -322,10 +322,11 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
 
     postings = _prefixes(docs, k, threshold)
-    shared = postings.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    # Counts are written, so that the join with them is one of two plain exchanges, in which a frequent token's rows can be split.
+    shared = stash(postings.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"))
     # Lists of nodes: a token's list is known by its length and the combined hash of its nodes.
     lists = stash(postings.join(shared, "token").select("token", "node").distinct())
-    named = lists.groupBy("token").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("block"))
+    named = stash(lists.groupBy("token").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("block")))
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
     blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
