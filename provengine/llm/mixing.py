@@ -63,9 +63,10 @@ def sainte_lague(targets: DataFrame, blocks: str, shards: int) -> DataFrame:
         .withColumn("near", F.when(F.col("whole") > 0, F.least(F.col("most_seats").cast("double"), F.floor(F.col("target") * F.col("seats_all") / F.col("whole") + 0.5))).otherwise(0))
         .withColumn("miss", F.col("seats_all") - F.sum("near").over(by_shard))
     )
-    steps = house.withColumn(
-        "step", F.explode(F.when(F.col("miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs("miss").cast("long"))))
-    ).withColumn(
+    # Rounding is off by half a seat a source, so none is off by more than its share of twice as many seats as there are sources.
+    far = F.ceil(2 * F.count("*").over(by_shard) * F.col("target") / F.greatest("whole", F.lit(1.0))) + 3
+    house = house.withColumn("far", F.least(F.abs("miss"), far).cast("long"))
+    steps = house.withColumn("step", F.explode(F.when(F.col("miss") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("far"))))).withColumn(
         "quotient",
         F.when((F.col("miss") > 0) & (F.col("near") + F.col("step") <= F.col("most_seats")), F.col("target") / (2 * (F.col("near") + F.col("step")) - 1))
         .when((F.col("miss") < 0) & (F.col("near") >= F.col("step")), -F.col("target") / (2 * (F.col("near") - F.col("step")) + 1)),
