@@ -11,7 +11,9 @@ A turn is written `<|turn|>` role `<|text|>` text `<|end|>`; in roles and texts
 Null texts and roles count as empty, null scores as 0. A null tree_id is a tree like any other; a null node_id
 is a node of its tree that none can reply to, as a null parent_id makes a root. A parent that isn't in its tree
 makes a root. A node whose parents form a loop has no root, hence no path. Rows that repeat a node_id in a tree
-count once. An empty table gives no conversations; extra columns are ignored.
+count once; of turns of a conversation that tie in their number, the lesser role and text come first. A branch's
+turns are put together in one value, as the format asks, so a conversation is bounded by what a value holds (2 GB);
+texts of any length up to that are whole. An empty table gives no conversations; extra columns are ignored.
 """
 
 from __future__ import annotations

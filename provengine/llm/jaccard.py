@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, grouped, lowered, mix, prefix_hash, row_key, span_hash, stash, text_chunks, words
+from .common import dealt, grouped, lowered, mix, prefix_hash, row_key, span_hash, stash, text_chunks, unstash, words
 
 
 def shingle_sets(texts: list, k: int = 5):
@@ -330,7 +330,9 @@ def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
     blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
-    candidates = stash(connected_components(stash(_candidates(blocks, threshold).distinct())).join(nodes.select("node", "n", "copies"), "node"))
+    pairs = stash(_candidates(blocks, threshold).distinct())
+    unstash(shared, named, lists, members)
+    candidates = stash(connected_components(pairs).join(nodes.select("node", "n", "copies"), "node"))
 
     wanted = rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
     texts = docs.select("row_key", "text").join(dealt(wanted), "row_key", "left_semi").select("text")

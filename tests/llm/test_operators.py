@@ -122,6 +122,11 @@ def test_sainte_lague_is_by_highest_quotients(spark, most):
     df = spark.createDataFrame([(k, v, most[k], 10) for k, v in targets.items()], "source_rank int, target double, most_seats long, all_blocks long")
     got = {(r.source_rank, r.shard): r.quota for r in mixing.sainte_lague(df, "all_blocks", 5).collect()}
     history = highest_quotients(targets, most, 10)
+    rng = random.Random(3)
+    many = {k: rng.choice([0.5, 1.0, 3.0, 40.0, 900.0]) * rng.random() for k in range(1, 41)}
+    df = spark.createDataFrame([(k, v, 60, 300) for k, v in many.items()], "source_rank int, target double, most_seats long, all_blocks long")
+    own = {r.source_rank: r.seats for r in mixing.sainte_lague(df, "all_blocks", 2).where("shard = 1").collect()}
+    assert own == {k: Counter(highest_quotients(many, dict.fromkeys(many, 60), 300))[k] for k in many}
     for shard in range(5):
         part = Counter(history[2 * shard : 2 * shard + 2])
         assert {s: got[s, shard] for s in targets} == {s: part[s] for s in targets}
@@ -596,6 +601,26 @@ def test_quality(spark, docs, empty):
     assert quality.train(table, labels.limit(0)) is None and quality.score_quality(empty, None).count() == 0
 
 
+def test_score_is_the_weighted_mean_of_marginals():
+    rng = np.random.default_rng(6)
+    texts = ["A plain line.\nBUY!! NOW 123\n\nA plain line.", "", None, "\n\n", "one", "é ü\n" * 5]
+    model = {"mean": rng.normal(size=quality.FEATURES), "scale": rng.random(quality.FEATURES) + 0.5, "weights": rng.normal(size=3 * quality.FEATURES + 1), "moves": rng.normal(size=(2, 2))}
+    got = quality.score_texts(texts, model)
+    for text, score in zip(texts, got):
+        lines = (text or "").encode().split(b"\n")
+        x, _, n = quality.line_features(np.array([0, len((text or "").encode())]), np.frombuffer((text or "").encode(), dtype=np.uint8))
+        assert n.tolist() == [len(lines)]
+        z = (x - model["mean"]) / model["scale"]
+        none = np.zeros(quality.FEATURES)
+        emit = [np.concatenate([z[t], z[t - 1] if t else none, z[t + 1] if t + 1 < len(z) else none, [1]]) @ model["weights"] for t in range(len(z))]
+        total, good = 0.0, np.zeros(len(z))
+        for path in np.ndindex(*[2] * len(z)):
+            w = np.exp(sum(e * c for e, c in zip(emit, path)) + sum(model["moves"][a, b] for a, b in zip(path, path[1:])))
+            total, good = total + w, good + w * np.array(path)
+        weight = np.array([len(line) for line in lines]) if any(lines) else np.ones(len(lines))
+        assert score == pytest.approx(float((good / total * weight).sum() / weight.sum()), abs=1e-5)
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     lines, moves = np.array([3, 1, 4]), rng.normal(size=(2, 2))
