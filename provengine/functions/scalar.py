@@ -194,12 +194,21 @@ def redact_url(col) -> Column:
     return F.when(query == "", F.concat(base, tail)).otherwise(F.concat(base, F.lit("?"), F.array_join(F.transform(pairs, pair), "&"), tail))
 
 
+# What is masked in any text, and by what.
+SCRUBBED = (
+    ("(?i)((?:api_key|apikey|access_token|token|key)=)([^&\\s\"']+)", "$1REDACTED"),
+    ("(?i)(email=)([^&\\s\"']+)", "$1REDACTED"),
+    ("(?i)(mailto:)([^\\s\"'<>)]+)", "$1REDACTED"),
+    ("(?U)\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b", "REDACTED"),
+)
+
+
 def scrub(col) -> Column:
     """Mask secrets and addresses in any text."""
-    out = F.regexp_replace(_c(col), "(?i)((?:api_key|apikey|access_token|token|key)=)([^&\\s\"']+)", "$1REDACTED")
-    out = F.regexp_replace(out, "(?i)(email=)([^&\\s\"']+)", "$1REDACTED")
-    out = F.regexp_replace(out, "(?i)(mailto:)([^\\s\"'<>)]+)", "$1REDACTED")
-    return F.regexp_replace(out, "(?U)\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b", "REDACTED")
+    out = _c(col)
+    for pattern, mask in SCRUBBED:
+        out = F.regexp_replace(out, pattern, mask)
+    return out
 
 
 def scrub_nested(df: DataFrame, keys: tuple[str, ...] = SECRET_PARAMS, secrets: tuple[str, ...] = ()) -> DataFrame:

@@ -31,13 +31,18 @@ def missing(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     return artifacts.join(files.select("document_id", "kind"), ["document_id", "kind"], "left_anti")
 
 
-def ledger_digest(table: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+def ledger_digest(table: DataFrame, columns: list[str], buckets: int | None = None, bucket_rows: int = 1 << 18) -> DataFrame:
     """(rows, digest): row digests, then one for each bucket over its sorted row digests, then one over the buckets.
 
-    A bucket holds 64 characters a row; take as many buckets as keep one in a task's memory."""
+    A bucket holds 64 characters a row. Unless their number is given there are 256, doubled until `bucket_rows` rows
+    fit in one on average; the number follows from that of the rows, which stands beside the digest."""
+    if buckets is None:
+        n, buckets = table.count(), 256
+        while n > buckets * bucket_rows:
+            buckets *= 2
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
     rows = table.select(F.sha2(text, 256).alias("row"))
-    bucket = F.pmod(F.conv(F.substring("row", 1, 4), 16, 10).cast("int"), F.lit(buckets))
+    bucket = F.pmod(F.conv(F.substring("row", 1, 8), 16, 10).cast("long"), F.lit(buckets))
     each = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ","), 256).alias("d"), F.count("*").alias("n"))
     whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda b: b["d"]), ","), 256)
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), whole.alias("digest"))

@@ -45,7 +45,7 @@ _ROWS = "(SELECT sha256(concat_ws(chr(31), CAST(seq AS VARCHAR), provider, coale
 
 @query(
     "ledger_digest",
-    f"SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM (SELECT b, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM (SELECT r, ('0x' || left(r, 4))::INT % 256 AS b FROM {_ROWS} x) GROUP BY b)",
+    f"SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM (SELECT b, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM (SELECT r, ('0x' || left(r, 8))::BIGINT % 256 AS b FROM {_ROWS} x) GROUP BY b)",
 )
 def ledger_digest(spark, sf_dir):
     return A.ledger_digest(view(spark, sf_dir, "OBS"), ["seq", "provider", "title"])

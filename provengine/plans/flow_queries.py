@@ -52,7 +52,7 @@ def snk_sidecars(spark, sf_dir):
 
 def _digest_sql(name: str, columns: list[str], source: str) -> str:
     row = "sha256(concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in sorted(columns)) + "))"
-    return f"SELECT '{name}' AS name, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM (SELECT ('0x' || left(r, 4))::INT % 256 AS b, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM (SELECT {row} AS r FROM {source}) GROUP BY b)"
+    return f"SELECT '{name}' AS name, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM (SELECT ('0x' || left(r, 8))::BIGINT % 256 AS b, sha256(string_agg(r, ',' ORDER BY r)) AS d, count(*) AS n FROM (SELECT {row} AS r FROM {source}) GROUP BY b)"
 
 
 _TABLES = {

@@ -146,6 +146,12 @@ def test_literal_addresses(spark):
     assert got == dict(odd)
 
 
+def test_digest_takes_more_buckets(spark):
+    df = spark.range(3000).select(F.col("id"), F.lit("x").alias("v"))
+    one, other = (audit.ledger_digest(df, ["id", "v"], bucket_rows=n).first() for n in (1 << 18, 3))
+    assert one["rows"] == other["rows"] == 3000 and one.digest != other.digest == audit.ledger_digest(df.repartition(5), ["id", "v"], buckets=1024).first().digest
+
+
 def test_unknown_codes_are_refused(spark):
     from provengine.functions import vocabulary
     from provengine.operators import discover
