@@ -308,20 +308,23 @@ class PieceEncoder:
             if wide.any():
                 top = high[wide]
                 kinds[top] = kinds[top + 1] = kinds[top + 2] = classes[0x2000 | data[top + 2].astype(np.int64) & 63]  # U+2010 to U+2027 alone get here
-        begins = np.empty(len(data), dtype=bool)
-        begins[0] = True
-        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-        space = np.flatnonzero(begins & (kinds == SPACE))
+        begins = np.empty(len(data) + 1, dtype=bool)
+        begins[0] = begins[-1] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:-1])
+        begins[offsets] = True
         every = np.flatnonzero(begins)
-        end = np.append(every, len(data))[np.searchsorted(every, space) + 1]
-        inner = end < len(data)
-        inner[inner] = ~np.isin(end[inner], offsets)  # white space before something in the same text
+        space = np.flatnonzero(kinds[every[:-1]] == SPACE)
+        space, end = every[space], every[space + 1]
+        border = np.zeros(len(data) + 1, dtype=bool)
+        border[offsets] = True
+        inner = np.flatnonzero(~border[end])  # white space before something in the same text
         space, end = space[inner], end[inner]
         size = 1 + (data[end - 1] >= 0x80)  # bytes of its last character: U+0085 and U+00A0 have two
-        begins[(end - size)[end - space > size]] = True
-        begins[end[data[end - 1] == 32]] = False
-        return np.flatnonzero(begins)
+        last = (end - size)[end - space > size]
+        goes_on = end[data[end - 1] == 32]
+        begins[last] = True
+        begins[goes_on] = False
+        return np.flatnonzero(begins[:-1])
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
         """Encode new pieces and return their places. Pieces that hold a line feed are encoded alone."""
@@ -419,7 +422,7 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, shard_tokens: int =
             if not batch.num_rows:
                 continue
             part, names = batch.column(0)[0].as_py(), batch.column(1).to_pylist()
-            for first, offsets, data in raw_bytes(batch.column(2), min(1_000_000, 2 * shard_tokens)):
+            for first, offsets, data in raw_bytes(batch.column(2), min(700_000, 2 * shard_tokens)):
                 ids, sizes = encode(offsets, data)
                 docs += names[first : first + len(sizes)]
                 held.append(ids)
