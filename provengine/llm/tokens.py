@@ -227,6 +227,15 @@ class _Places:
             keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + np.uint64(1)) & mask
 
 
+def appended(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """`array`, of which `used` values count, with `more` after them: in place while there is room."""
+    if used + len(more) > len(array):
+        array, old = np.empty(2 * (used + len(more)), dtype=array.dtype), array
+        array[:used] = old[:used]
+    array[used : used + len(more)] = more
+    return array
+
+
 LETTER, DIGIT, SPACE, OTHER = range(4)
 
 
@@ -273,7 +282,7 @@ class PieceEncoder:
 
     def clear(self):
         """Place 0 is the end id."""
-        self.place, self.n = _Places(), 1
+        self.place, self.n, self.used = _Places(), 1, 1
         self.flat, self.starts = np.array([self.end_id], dtype=np.uint32), np.array([0, 1], dtype=np.int64)
 
     def odd(self, offsets: np.ndarray, data: np.ndarray, raw: bytes) -> np.ndarray:
@@ -340,14 +349,14 @@ class PieceEncoder:
         for k in order[len(lines) :].tolist():
             flat.append(np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32))
             sizes.append(np.array([len(flat[-1])]))
+        ids, ends = np.concatenate(flat), self.used + np.cumsum(np.concatenate(sizes))
+        if len(ends) != len(pieces):
+            raise ValueError("pieces and ids differ in number")
         places = np.empty(len(pieces), dtype=np.int32)
         places[order] = np.arange(self.n, self.n + len(pieces))
-        self.n += len(pieces)
         self.place.add(keys, places)
-        self.flat = np.concatenate([self.flat, *flat])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        if len(self.starts) != self.n + 1:
-            raise ValueError("pieces and ids differ in number")
+        self.flat, self.starts = appended(self.flat, self.used, ids), appended(self.starts, self.n + 1, ends)
+        self.n, self.used = self.n + len(pieces), self.used + len(ids)
         return places
 
     def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
