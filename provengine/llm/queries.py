@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_substrings, fuzzy_substrings, jaccard, media, mixing, oracles, quality, sharding, tokens
+from . import (
+    chat,
+    chunked_bpe,
+    decontamination,
+    exact_substrings,
+    fuzzy_substrings,
+    jaccard,
+    media,
+    mixing,
+    oracles,
+    periodic_runs,
+    quality,
+    sharding,
+    tokens,
+    whitening,
+)
+from .common import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +90,49 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = whitening.on_grid(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return whitening.whiten(grid, whitening.fit_whitening(grid)).withColumnRenamed("id", "vec_id")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by the checksum of its id is given a run first: from word a on, p words repeat."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(check % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(check / 10).alias("g"), words.alias("words"))
+    n, g, a, p = F.size("words"), F.col("g"), F.col("a"), F.col("p")
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - a) / (3 + g % 8)))
+    cycle = F.slice("words", (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int"))), 1, (n - a).cast("int"))
+    planted = F.array_join(F.concat(F.slice("words", 1, a.cast("int")), tail), " ")
+    runs = periodic_runs.find_runs(docs.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("often"))))
+    return runs.withColumn("best", best).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.often")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.often")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = chunked_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return chunked_bpe.decode(encoded, ranks).select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_jaccard": op2_jaccard,
@@ -85,6 +144,9 @@ QUERIES = {
     "op8_fuzzy_substrings": op8_fuzzy_substrings,
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
+    "op11_whitening": op11_whitening,
+    "op12_runs": op12_runs,
+    "op13_chunked_bpe": op13_chunked_bpe,
 }
 
 ORACLES = {"op2_jaccard": oracles.JACCARD, "op3_chat": oracles.CHAT, "op5_mixing": oracles.MIXING, "op9_decontamination": oracles.DECONTAMINATION}
