@@ -63,11 +63,15 @@ def audit_counts(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame
     return counts.join(manifest, "name", "full_outer").where(~F.col("found").eqNullSafe(F.col("n")))
 
 
+def good_json(text: Column, root: str, nullable: bool = False) -> Column:
+    """Whether a JSON text parses and has the declared root (OBJECT, ARRAY, or any)."""
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith(root), F.lit(False))
+    return F.when(text.isNull(), F.lit(nullable)).otherwise(good)
+
+
 def audit_json(df: DataFrame, column: str, root: str, nullable: bool = False) -> Column:
-    """Whether a JSON text parses and has the declared root (OBJECT or ARRAY)."""
-    kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    good = F.coalesce(kind.startswith(root), F.lit(False))
-    return F.when(F.col(column).isNull(), F.lit(nullable)).otherwise(good)
+    """`good_json` of a column."""
+    return good_json(F.col(column), root, nullable)
 
 
 def audit_raw_sha(raw: Column, recorded: Column) -> Column:

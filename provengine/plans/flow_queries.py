@@ -9,9 +9,12 @@ from ..operators import audit as A
 from ..operators import ledger as L
 from ..sources import pages as P
 from ..sources import sinks as K
+from ..streaming import cursors as C
+from ..streaming import golden as G
+from ..streaming import machine
 from ..streaming import stream as M
 from .fixtures import table, view
-from .ledger_queries import GOLDEN, observations
+from .ledger_queries import FULL, observations
 from .project_queries import works_json
 from .registry import query
 from .stats_queries import ARTIFACTS, FAILS, artifacts, docs, failures
@@ -74,13 +77,32 @@ def snk_evidence_export(spark, sf_dir):
     return K.export_manifest({n: spark.read.schema(t.schema).json(f"{at}/bundle/{n}") for n, t in ledger.items()})
 
 
-@query("src_evidence_import", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def evidence(spark, sf_dir):
+    """(tables, shape) of a ledger: documents, their labels, and observations with the raw record, every fifth without."""
+    documents = table(spark, sf_dir, "documents")
+    raw = F.when(F.col("doc_id") % 5 != 0, F.to_json(F.struct("doc_id", "lang")))
+    observed = documents.select(F.col("doc_id").alias("seq"), "doc_id", raw.alias("raw_json"), F.sha2(raw, 256).alias("raw_sha256"), F.to_json(F.array("lang", "source")).alias("tags_json"))
+    tables = {"documents": documents, "labels": table(spark, sf_dir, "labels"), "observations": observed}
+    shape = K.LedgerShape(
+        {n: ", ".join(f"{c} {kind}" for c, kind in t.dtypes) for n, t in tables.items()},
+        {"documents": "doc_id", "labels": "doc_id", "observations": "seq"},
+        {"observations": {"raw_json": "OBJECT", "tags_json": "ARRAY"}},
+        {"observations": ("raw_json", "raw_sha256")},
+        [("labels", "doc_id", "documents", "doc_id"), ("observations", "doc_id", "documents", "doc_id")],
+    )
+    return tables, shape
+
+
+@query(
+    "src_evidence_import",
+    "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, CASE WHEN d.doc_id % 5 <> 0 THEN sha256('{\"doc_id\":' || d.doc_id || ',\"lang\":\"' || d.lang || '\"}') END AS raw_sha256 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
 def src_evidence_import(spark, sf_dir):
     at = M.scratch(spark)
-    ledger = {n: table(spark, sf_dir, n) for n in ("documents", "labels")}
-    K.export_ledger(ledger, {"documents": "doc_id", "labels": "doc_id"}, f"{at}/bundle")
-    schemas = {n: ", ".join(f"{c} {kind}" for c, kind in t.dtypes) for n, t in ledger.items()}
-    return K.restore_ledger(spark, f"{at}/bundle", schemas, f"{at}/restored")["documents"]
+    tables, shape = evidence(spark, sf_dir)
+    K.export_ledger(tables, shape.keys, f"{at}/bundle")
+    out = K.restore_ledger(spark, f"{at}/bundle", shape, f"{at}/restored")
+    return out["documents"].join(out["labels"].select("doc_id", "quality"), "doc_id", "left").join(out["observations"].select("doc_id", "raw_sha256"), "doc_id")
 
 
 @query(
@@ -94,17 +116,66 @@ def snk_run_report(spark, sf_dir):
     return out.select("run_id", "attempts", "failure_total", F.coalesce(text, F.lit("")).alias("failures"))
 
 
-@query("stream_discover", f"SELECT page, place, id FROM ({_RECORDS}) WHERE seq % 10 <> 0 AND page % 7 NOT IN (3, 5)")
+def cursor_pages(spark, sf_dir):
+    """Pages of five works, ten pages a run, some landed twice. By run (modulo 5) a chain of cursors ends at its last page with one
+    page broken at first (0), goes round (1), meets an empty page (2), has a limit (3), or names itself as the next (4)."""
+    works = works_json(spark, sf_dir).withColumn("raw", F.when(F.col("seq") % 10 == 0, F.lit('{"id":null}')).otherwise(F.col("raw")))
+    rows = works.groupBy(F.floor(F.col("seq") / 5).alias("p")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "raw"))), lambda x: x["raw"]), ",").alias("body"))
+    rows = rows.withColumns({"run": F.floor(F.col("p") / 10), "k": F.col("p") % 10})
+    kind, k = F.col("run") % 5, F.col("k")
+    following = F.when(k == 9, None).when((kind == 1) & (k == 6), "c2").when((kind == 4) & (k == 3), "c3").otherwise(F.concat(F.lit("c"), (k + 1).cast("string")))
+    body = F.when((kind == 2) & (k == 4), "").otherwise(F.col("body"))
+    meta = F.to_json(F.struct(following.alias("next_cursor")))
+    raw = F.concat(F.lit('{"results":['), body, F.lit('],"meta":'), meta, F.lit("}"))
+    landed = rows.withColumn("raw", F.explode(F.when((kind == 0) & (k == 7), F.array(F.lit("[1"), raw)).when(k == 2, F.array(raw, raw)).otherwise(F.array(raw))))
+    cursor = F.when(k == 0, "*").otherwise(F.concat(F.lit("c"), k.cast("string")))
+    return landed.select(F.concat(F.lit("run-"), F.col("run").cast("string")).alias("run_id"), cursor.alias("cursor"), F.when(kind == 3, 17).alias("most"), "raw")
+
+
+@query(
+    "stream_discover",
+    """WITH RECURSIVE r AS (SELECT seq // 5 AS p, row_number() OVER (PARTITION BY seq // 5 ORDER BY seq) - 1 AS place, 'https://openalex.org/' || source_id AS id, seq % 10 <> 0 AS usable FROM {OBS} o),
+    pg AS (SELECT p // 10 AS run, p % 10 AS k, p, count(*) * (p // 10 % 5 <> 2 OR p % 10 <> 4)::INT AS raw_count, count(*) FILTER (usable) * (p // 10 % 5 <> 2 OR p % 10 <> 4)::INT AS n, CASE WHEN p // 10 % 5 = 3 THEN 17 END AS most FROM r GROUP BY p),
+    lk AS (SELECT *, CASE WHEN k = 0 THEN '*' ELSE 'c' || k END AS cur, CASE WHEN k = 9 THEN NULL WHEN run % 5 = 1 AND k = 6 THEN 'c2' WHEN run % 5 = 4 AND k = 3 THEN 'c3' ELSE 'c' || (k + 1) END AS nxt FROM pg),
+    w AS (SELECT run, p, 1 AS page, nxt, least(n, coalesce(most, n)) AS taken, least(n, coalesce(most, n)) AS seen, [cur] AS been,
+            CASE WHEN n >= most THEN 'limit reached' WHEN nxt IS NULL THEN 'no next cursor' WHEN raw_count = 0 THEN 'empty page' WHEN nxt = cur THEN 'cursor repeated' END AS stopped FROM lk WHERE cur = '*'
+          UNION ALL
+          SELECT lk.run, lk.p, w.page + 1, lk.nxt, least(lk.n, coalesce(lk.most - w.seen, lk.n)), w.seen + least(lk.n, coalesce(lk.most - w.seen, lk.n)), list_append(w.been, lk.cur),
+            CASE WHEN w.seen + lk.n >= lk.most THEN 'limit reached' WHEN lk.nxt IS NULL THEN 'no next cursor' WHEN lk.raw_count = 0 THEN 'empty page' WHEN list_contains(list_append(w.been, lk.cur), lk.nxt) THEN 'cursor repeated' END
+          FROM w JOIN lk ON lk.run = w.run AND lk.cur = w.nxt WHERE w.stopped IS NULL)
+    SELECT 'run-' || run AS run_id, page, place, id FROM (SELECT w.run, w.page, w.taken, r.place, r.id, row_number() OVER (PARTITION BY w.run, w.page ORDER BY r.place) AS nth FROM w JOIN r ON r.p = w.p WHERE r.usable) WHERE nth <= taken
+    UNION ALL SELECT 'run-' || run, max(page), -1, arg_max(coalesce(stopped, 'waits for ' || nxt) || ' after ' || seen, page) FROM w GROUP BY run""",
+)
 def stream_discover(spark, sf_dir):
+    """The records in the order of each run's cursors, and where each run stands (place -1)."""
     root = M.scratch(spark)
-    out = M.stream_discover(M.land(pages(spark, sf_dir), root), root, P.split_pages)
-    return out.select("page", "place", F.get_json_object("record", "$.id").alias("id"))
+    records, at = C.stream_discover(M.land(cursor_pages(spark, sf_dir), root, 8), root, P.usable_records)
+    stands = F.concat(F.coalesce("stopped", F.concat(F.lit("waits for "), "next_cursor")), F.lit(" after "), F.col("seen").cast("string"))
+    return records.select("run_id", "page", "place", F.get_json_object("record", "$.id").alias("id")).unionByName(at.select("run_id", "page", F.lit(-1).alias("place"), stands.alias("id")))
+
+
+_SEEN = "concat_ws('/', document_id, http_status, remaining)"
 
 
-@query("stream_dedup", "SELECT DISTINCT document_id FROM {EVT} e")
+@query(
+    "stream_dedup",
+    f"""SELECT 'ever' AS mode, {_SEEN} AS key, 1 AS n FROM {{EVT}} e GROUP BY key
+    UNION ALL SELECT 'window', {_SEEN} AS key, 1 + (max(id % 10) >= min(id % 10) + 6)::INT FROM {{EVT}} f WHERE id % 17 <> 0 OR id % 10 < 6 GROUP BY key""",
+)
 def stream_dedup(spark, sf_dir):
-    root = M.scratch(spark)
-    return M.run_to_table(M.stream_dedup(M.land(view(spark, sf_dir, "EVT").select("document_id", "id"), root), "document_id"), root).select("document_id")
+    """Ten batches, an hour each. Without a watermark each key comes once. With a delay of two hours the watermark of a batch lies
+    three hours before it, and a key is forgotten when the watermark passes its time by two: after five batches it comes again.
+    From batch 6 on every 17th event is five hours late, which is before the watermark, and is dropped."""
+    batch = F.col("id") % 10
+    hour = batch - F.when((F.col("id") % 17 == 0) & (batch >= 6), 5).otherwise(0)
+    seen = view(spark, sf_dir, "EVT").select(F.expr(_SEEN).alias("key"), batch.alias("batch"), F.timestamp_seconds(F.lit(1_700_000_000) + hour * 3600).alias("at"))
+    out = None
+    for mode, rule in (("ever", ()), ("window", ("at", "2 hours"))):
+        root = M.scratch(spark)
+        once = M.run_to_table(M.stream_dedup(M.land_in_order(seen, root, "batch", None, 10), "key", *rule), root)
+        one = once.groupBy("key").agg(F.count("*").cast("int").alias("n")).select(F.lit(mode).alias("mode"), "key", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _MOVES = ", ".join(f"('{a}', '{b}')" for a, targets in A.ALLOWED.items() for b in targets)
@@ -123,7 +194,7 @@ t AS (SELECT document_id, id, before, CASE WHEN accepted THEN target ELSE before
 def stream_state_machine(spark, sf_dir):
     root = M.scratch(spark)
     moves = view(spark, sf_dir, "EVT").select("document_id", "id", F.col("target_status").alias("target"))
-    return M.run_to_table(M.stream_transitions(M.land_in_order(moves, root, "id", "document_id")), root).drop("batch_id")
+    return M.run_to_table(machine.stream_transitions(M.land_in_order(moves, root, "id", "document_id")), root).drop("batch_id")
 
 
 @query("batch_state_machine", _STATES + "SELECT document_id, arg_max(after, id) AS status, count(*) FILTER (NOT accepted) AS refused FROM t GROUP BY document_id")
@@ -145,14 +216,50 @@ def stream_budget(spark, sf_dir):
     return M.stream_budget(M.land_in_order(spent, root, "id", "id"), root, 400).drop("batch_id")
 
 
-@query("stream_merge", f"SELECT * FROM {GOLDEN} g")
-def stream_merge(spark, sf_dir):
-    root = M.scratch(spark)
-    obs = observations(spark, sf_dir).select("document_id", "seq", *L.FIRST_WINS)
-    return M.stream_merge(M.land(obs, root), root)
+_RICH = f"""(SELECT *, list_filter([language, country_1, country_2], lambda x: x IS NOT NULL) AS domain_tags,
+    [{{'url': 'https://h' || seq % 3 || '.example/' || source_id, 'kind': CASE seq % 2 WHEN 0 THEN 'pdf' ELSE 'xml' END, 'by': provider}}, {{'url': 'https://h0.example/' || source_id, 'kind': 'pdf', 'by': 'seq ' || seq}}] AS candidates,
+    [{{'id': 'T' || seq % 3, 'name': 'seq ' || seq}}] AS topics, CASE WHEN provider <> 'openalex' THEN [{{'source': provider, 'note': journal || seq}}] ELSE [] END AS cross_checks FROM {FULL} f0)"""
+
 
+def rich_observations(spark, sf_dir):
+    """Observations with all 15 merged fields."""
+    seq = F.col("seq").cast("string")
+    at = lambda n: F.concat(F.lit("https://h"), n, F.lit(".example/"), F.col("source_id"))
+    one = lambda url, kind, by: F.struct(url.alias("url"), kind.alias("kind"), by.alias("by"))
+    check = F.struct(F.col("provider").alias("source"), F.concat("journal", seq).alias("note"))
+    return observations(spark, sf_dir).select(
+        "document_id", "seq", *L.FIRST_WINS, "authors", "discovered_via", "identifiers", F.array_compact(F.array("language", "country_1", "country_2")).alias("domain_tags"),
+        F.array(one(at((F.col("seq") % 3).cast("string")), F.when(F.col("seq") % 2 == 0, "pdf").otherwise("xml"), F.col("provider")), one(at(F.lit("0")), F.lit("pdf"), F.concat(F.lit("seq "), seq))).alias("candidates"),
+        F.array(F.struct(F.concat(F.lit("T"), (F.col("seq") % 3).cast("string")).alias("id"), F.concat(F.lit("seq "), seq).alias("name"))).alias("topics"),
+        F.when(F.col("provider") != "openalex", F.array(check)).alias("cross_checks"),
+    )
 
 
+def _merged_sql() -> str:
+    parts = [f"SELECT document_id, '{f}' AS field, CAST(arg_min({f}, seq) FILTER (coalesce(CAST({f} AS VARCHAR), '') <> '') AS VARCHAR) AS value FROM rich GROUP BY document_id" for f in L.FIRST_WINS]
+    each = "SELECT document_id, seq, unnest({0}) AS v, generate_subscripts({0}, 1) AS i FROM rich"
+    first = "SELECT document_id, '{0}' AS field, string_agg({1}, '|' ORDER BY pos) AS value FROM (SELECT document_id, arg_min(v, seq * 100 + i) AS v, min(seq * 100 + i) AS pos FROM ({2}) GROUP BY document_id, {3}) GROUP BY document_id"
+    parts += [first.format(f, "v", each.format(f), "v") for f in L.UNIONS]
+    parts.append(first.format("candidates", "v.url || ' ' || v.kind || ' ' || v.\"by\"", each.format("candidates"), "v.url, v.kind"))
+    parts.append(first.format("topics", "v.id || ' ' || v.name", each.format("topics"), "v.id"))
+    parts.append("SELECT document_id, 'identifiers', string_agg(k || '=' || v, '|' ORDER BY k) FROM (SELECT document_id, k, arg_min(v, seq) AS v FROM (SELECT document_id, seq, 'doi' AS k, doi AS v FROM rich UNION ALL SELECT document_id, seq, provider, source_id FROM rich) WHERE v IS NOT NULL GROUP BY document_id, k) GROUP BY document_id")
+    parts.append(f"SELECT document_id, 'cross_checks', string_agg(v.source || ' ' || v.note, '|' ORDER BY v.source) FROM (SELECT document_id, arg_max(v, seq) AS v FROM ({each.format('cross_checks')}) GROUP BY document_id, v.source) GROUP BY document_id")
+    return f"WITH rich AS (SELECT * FROM {_RICH} r0) SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL"
+
+
+@query("stream_merge", _merged_sql())
+def stream_merge(spark, sf_dir):
+    """All 15 fields after four batches and more, each fact as text."""
+    root = M.scratch(spark)
+    out = G.stream_merge(M.land(rich_observations(spark, sf_dir), root, 12), root, 4)
+    texts = {f: F.col(f).cast("string") for f in L.FIRST_WINS} | {f: F.array_join(f, "|") for f in L.UNIONS}
+    joined = lambda column, of: F.array_join(F.transform(column, of), "|")
+    texts["identifiers"] = joined(F.array_sort(F.map_entries("identifiers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    texts["candidates"] = joined("candidates", lambda c: F.concat_ws(" ", c["url"], c["kind"], c["by"]))
+    texts["topics"] = joined("topics", lambda t: F.concat_ws(" ", t["id"], t["name"]))
+    texts["cross_checks"] = joined(F.array_sort("cross_checks"), lambda c: F.concat_ws(" ", c["source"], c["note"]))
+    return out.select("document_id", *[t.alias(f) for f, t in texts.items()]).unpivot(["document_id"], list(texts), "field", "value").where("value <> ''")
+
 
 _SUFFIXES = ("json", "pdf", "XML", "part", "txt", "json")
 _SUFFIX = "CASE g % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'pdf' WHEN 2 THEN 'xml' WHEN 3 THEN 'part' WHEN 4 THEN 'txt' ELSE 'json' END"

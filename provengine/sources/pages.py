@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,14 @@ def split_pages(pages: DataFrame, id_path: str = "$.id") -> tuple[DataFrame, Dat
     return good.where(known).select(*keep, "place", F.to_json("node").alias("record")), seen.where("reason IS NOT NULL").select(*keep, "reason")
 
 
+def usable_records(raw: str, id_path: str = "$.id") -> Column:
+    """The records of a page that are objects with an id, as an array of (place, record); NULL if the page has no list of results."""
+    nodes = F.try_variant_get(F.try_parse_json(raw), "$.results", "array<variant>")
+    known = lambda n: F.coalesce(F.schema_of_variant(n).startswith("OBJECT"), F.lit(False)) & (F.coalesce(F.try_variant_get(n, id_path, "string"), F.lit("")) != "")
+    placed = F.transform(nodes, lambda n, k: F.struct(k.alias("place"), n.alias("node")))
+    return F.transform(F.filter(placed, lambda x: known(x["node"])), lambda x: F.struct(x["place"].alias("place"), F.to_json(x["node"]).alias("record")))
+
+
 def read_ledger(spark: SparkSession, root: str, table: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{root}/{table}.parquet")
     return df.select(*columns) if columns else df

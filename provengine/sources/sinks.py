@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import redact_url
-from ..operators.audit import audit_columns, ledger_digest
+from ..operators.audit import audit_foreign_keys, audit_raw_sha, audit_unique, good_json, ledger_digest
+from .versions import current, drop_unused, publish
 
 
 def build_sidecars(documents: DataFrame, artifacts: DataFrame, urls: DataFrame | None = None) -> DataFrame:
@@ -54,20 +59,78 @@ def export_ledger(tables: dict[str, DataFrame], keys: dict[str, str], out: str)
     return manifest
 
 
-def restore_ledger(spark: SparkSession, bundle: str, schemas: dict[str, str], dest: str) -> dict[str, DataFrame]:
-    """All or nothing: every audit passes before anything is written, and the destination must be empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dest)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hadoop) and len(fs.listStatus(hadoop)):
+@dataclass(frozen=True)
+class LedgerShape:
+    """What a bundle must hold: the columns of each table (DDL) and its key; JSON columns with the root that each must have
+    (OBJECT, ARRAY or "" for any); of a table, the column of raw JSON and that of its digest; and references."""
+
+    schemas: dict[str, str]
+    keys: dict[str, str]
+    json: dict[str, dict[str, str]] = field(default_factory=dict)
+    raw: dict[str, tuple[str, str]] = field(default_factory=dict)
+    references: list[tuple[str, str, str, str]] = field(default_factory=list)
+
+
+def _read_lines(spark: SparkSession, at: str, name: str, shape: LedgerShape) -> DataFrame:
+    """A table of the bundle with `problem`, what is wrong with a row in itself."""
+    lines = spark.read.text(f"{at}/{name}").select(F.from_json("value", shape.schemas[name]).alias("r"), F.from_json("value", "map<string, string>").alias("all"))
+    columns = lines.select("r.*").columns
+    key, of = shape.keys[name], lambda c: F.col("r").getField(c)
+    problem = F.when(F.col("all").isNull(), "no JSON object").when(F.array_sort(F.map_keys("all")) != F.array(*[F.lit(c) for c in sorted(columns)]), "other columns")
+    problem = problem.when(of(key).isNull() | (of(key).cast("string") == ""), f"empty {key}")
+    raw, digest = shape.raw.get(name, (None, None))
+    for column, root in shape.json.get(name, {}).items():
+        problem = problem.when(~good_json(of(column), root, nullable=column == raw), f"{column} is no JSON {root or 'text'}")
+    if raw:
+        problem = problem.when(audit_raw_sha(of(raw), of(digest)).isNotNull(), audit_raw_sha(of(raw), of(digest)))
+    return lines.select("r.*", problem.alias(PROBLEM))
+
+
+#: A column of staged tables; readers of a restored ledger never see it.
+PROBLEM = "__problem"
+
+
+def restore_ledger(spark: SparkSession, bundle: str, shape: LedgerShape, dest: str) -> dict[str, DataFrame]:
+    """All or nothing, into an empty ledger. Each try stages the tables in a folder of its own, audits what it staged
+    (columns, keys, JSON, raw digests, manifest, references), and only then names that folder the ledger's version. So readers
+    (`read_restored`) see nothing or all, and after a crash or a refusal a new try starts clean."""
+    if current(spark, f"{dest}/versions")[0] >= 0:
         raise ValueError(f"{dest} is not empty")
-    tables = {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{bundle}/{name}") for name, schema in schemas.items()}
-    if problems := audit_columns({n: spark.read.json(f"{bundle}/{n}") for n in schemas}, {n: t.columns for n, t in tables.items()}):
+    attempt = uuid.uuid4().hex
+    staged = {}
+    for name in sorted(shape.schemas):
+        _read_lines(spark, bundle, name, shape).write.parquet(f"{dest}/attempts/{attempt}/{name}.parquet")
+        staged[name] = spark.read.parquet(f"{dest}/attempts/{attempt}/{name}.parquet")
+    if problems := _problems(spark, bundle, shape, staged):
         raise ValueError("; ".join(problems))
+    publish(spark, f"{dest}/versions", 0, [attempt])
+    drop_unused(spark, f"{dest}/versions", f"{dest}/attempts")
+    return read_restored(spark, shape, dest)
+
+
+def _problems(spark: SparkSession, bundle: str, shape: LedgerShape, staged: dict[str, DataFrame]) -> list[str]:
+    """What is wrong, a line for each kind: a few strings a table, never rows."""
+    counts = reduce(DataFrame.unionByName, [t.where(F.col(PROBLEM).isNotNull()).groupBy(F.lit(n).alias("name"), F.col(PROBLEM).alias("what")).count() for n, t in staged.items()])
+    out = [f"{r['name']}: {r['what']} in {r['count']} rows" for r in counts.orderBy("name", "what").collect()]
+    if out:
+        return out
+    tables = {n: t.drop(PROBLEM) for n, t in staged.items()}
     recorded = {r["name"]: (r["rows"], r["digest"]) for r in spark.read.json(f"{bundle}/manifest").collect()}  # one row a table
+    out += [f"unknown table {n}" for n in sorted(recorded.keys() - tables.keys())]
     found = {r["name"]: (r["rows"], r["digest"]) for r in export_manifest(tables).collect()}
-    if recorded != found:
-        raise ValueError(f"manifest differs for {sorted(k for k in recorded.keys() | found.keys() if recorded.get(k) != found.get(k))}")
-    for name, table in tables.items():
-        table.write.parquet(f"{dest}.staging/{name}.parquet")
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{dest}.staging"), hadoop)
-    return {name: spark.read.parquet(f"{dest}/{name}.parquet") for name in tables}
+    out += [f"manifest differs for {n}" for n in sorted(tables) if recorded.get(n) != found[n]]
+    for n, t in tables.items():
+        twice = audit_unique(t, [shape.keys[n]]).count()
+        out += [f"{n}: {twice} keys stand more than once"] if twice else []
+    if shape.references:
+        broken = audit_foreign_keys(tables, shape.references).groupBy("reference").agg(F.sum("rows").alias("n"))
+        out += [f"broken references of {r['reference']} in {r['n']} rows" for r in broken.orderBy("reference").collect()]
+    return out
+
+
+def read_restored(spark: SparkSession, shape: LedgerShape, dest: str) -> dict[str, DataFrame]:
+    """The tables of a restored ledger; an error if no restore has been completed."""
+    number, parts = current(spark, f"{dest}/versions")
+    if number < 0:
+        raise ValueError(f"{dest} holds no ledger")
+    return {n: spark.read.parquet(f"{dest}/attempts/{parts[0]}/{n}.parquet").drop(PROBLEM) for n in shape.schemas}

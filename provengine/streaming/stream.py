@@ -5,14 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.audit import ALLOWED
-from ..operators.ledger import FIRST_WINS, first_values
 from ..operators.stats import running_credits
 
 
@@ -26,8 +23,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on the executors' disks with changelogs in the checkpoint, so it may outgrow memory."""
+    store = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in store}
+    try:
+        for k, v in store.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that has arrived. Each batch overwrites its own part of the table, so a replayed
+    """Run a stream over all that has arrived, its state in RocksDB. Each batch overwrites its own part of the table, so a replayed
     batch changes nothing; for update and complete modes the caller reads the latest row of each key."""
     spark = stream.sparkSession
     schema = stream.schema
@@ -35,8 +49,9 @@ def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFram
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/table/batch_id={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
     return spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.names else schema).parquet(f"{root}/table")
 
 
@@ -46,49 +61,25 @@ def land(df: DataFrame, root: str, files: int = 4) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
 
 
-def land_in_order(df: DataFrame, root: str, order: str, key: str, batches: int = 4, files: int = 2) -> DataFrame:
+def land_in_order(df: DataFrame, root: str, order: str, key: str | None, batches: int = 4, files: int = 2) -> DataFrame:
     """The same, arriving in ranges of `order`, one after the other; the rows of a key and a range are in one file, so
-    batches bring them in order wherever they are cut."""
+    batches bring them in order wherever they are cut. Without a key a range is dealt evenly."""
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = ((high or 0) - (low or 0)) // batches + 1
     for k in range(batches):
         part = df.where(F.floor((F.col(order) - (low or 0)) / step) == k)
-        part.repartition(files, key).write.mode("append").parquet(f"{root}/in")
+        (part.repartition(files, key) if key else part.repartition(files)).write.mode("append").parquet(f"{root}/in")
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
 
 
-def stream_discover(pages: DataFrame, root: str, split) -> DataFrame:
-    """Pages to ledger records: the checkpoint moves on after a batch's rows are written."""
-    records, _ = split(pages)
-    return run_to_table(records, root).drop("batch_id")
-
-
 def stream_dedup(stream: DataFrame, key: str, event_time: str | None = None, within: str | None = None) -> DataFrame:
-    """The first arrival of each key; with a time and a delay the keys remembered are bounded."""
+    """The first arrival of each key. With a time and a delay a key is forgotten once the watermark passes its time by the delay, and
+    rows from before the watermark are dropped; without them all keys are remembered, in RocksDB and not in memory."""
     if event_time and within:
         return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
     return stream.dropDuplicates([key])
 
 
-def stream_transitions(stream: DataFrame, start: str = "DISCOVERED") -> DataFrame:
-    """Per document, moves in order (id) against its state: accepted, or refused with the state unchanged."""
-
-    def step(key, frames, state):
-        status = state.get[0] if state.exists else start
-        rows = pd.concat(list(frames)).sort_values("id")
-        before, after, good = [], [], []
-        for target in rows["target"]:
-            ok = target == status or target in ALLOWED.get(status, ())
-            before.append(status)
-            status = target if ok else status
-            after.append(status)
-            good.append(ok)
-        state.update((status,))
-        yield pd.DataFrame({"document_id": key[0], "id": rows["id"].to_numpy(), "before": before, "after": after, "accepted": good})
-
-    return stream.groupBy("document_id").applyInPandasWithState(step, "document_id long, id long, before string, after string, accepted boolean", "status string", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_progress(stream: DataFrame) -> DataFrame:
     """Counters of each run, kept up to date (update mode)."""
     return stream.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.max("ts").alias("last_activity_at"))
@@ -116,9 +107,3 @@ def stream_budget(stream: DataFrame, root: str, ceiling: int) -> DataFrame:
     query.awaitTermination()
     return spark.read.schema("source string, id long, spent long, refused boolean, batch_id long").parquet(f"{root}/table")
 
-
-def stream_merge(stream: DataFrame, root: str) -> DataFrame:
-    """Golden records kept current: the first filled value of each field, with its place, is the state of a document;
-    a batch changes the documents it touches and writes those anew."""
-    versions = run_to_table(first_values(stream), root, "update")
-    return versions.groupBy("document_id").agg(F.max_by(F.struct(*FIRST_WINS), "batch_id").alias("r")).select("document_id", "r.*")
