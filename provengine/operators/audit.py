@@ -117,17 +117,31 @@ def state_after(history: DataFrame, key: str = "document_id", order: str = "id",
 
 
 def verify(documents: DataFrame, artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """(document_id, kind, problem): state against files (document_id, kind, sha256; sidecars are kind json)."""
-    done = documents.where("status = 'COMPLETED'").select("document_id")
-    say = lambda df, problem, kind: df.select("document_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(problem).alias("problem"))
-    of = lambda df, kind: df.where(F.col("kind") == kind).select("document_id")
-    no_sidecar = say(done.join(of(files, "json"), "document_id", "left_anti"), "missing sidecar", "json")
-    no_pdf = say(done.join(of(artifacts, "pdf"), "document_id", "left_anti"), "completed without pdf", "pdf")
-    paired = artifacts.select("document_id", "kind", F.col("sha256").alias("recorded")).join(files.select("document_id", "kind", "sha256", F.lit(True).alias("present")), ["document_id", "kind"], "left")
-    wrong = F.when(F.col("present").isNull(), "missing file").when(F.col("recorded") != F.col("sha256"), "sha256 mismatch")
-    bad = paired.select("document_id", "kind", wrong.alias("problem")).where("problem IS NOT NULL")
-    stray = say(files.join(documents.select("document_id"), "document_id", "left_anti"), "orphan", F.col("kind"))
-    return reduce(DataFrame.unionByName, [no_sidecar, no_pdf, bad, stray])
+    """(document_id, kind, problem): state against files (document_id, kind, sha256; sidecars are kind json). One shuffle: all
+    that is known of a document meets in its group, which holds its few artifacts and files."""
+    row = lambda df, of, **given: df.select("document_id", F.lit(of).alias("of"), *[given.get(c, F.lit(None)).cast("string").alias(c) for c in ("status", "kind", "sha256")])
+    fact = {"kind": F.col("kind"), "sha256": F.col("sha256")}
+    every = row(documents, "document", status=F.col("status")).unionByName(row(artifacts, "artifact", **fact)).unionByName(row(files, "file", **fact))
+    listed = lambda of: F.collect_list(F.when(F.col("of") == of, F.struct("kind", "sha256")))
+    known = every.groupBy("document_id").agg(
+        F.bool_or(F.col("of") == "document").alias("known"), F.bool_or(F.coalesce(F.col("status") == "COMPLETED", F.lit(False))).alias("done"), listed("artifact").alias("artifacts"), listed("file").alias("files")
+    )
+    say = lambda kind, problem: F.struct(kind.alias("kind"), F.lit(problem).alias("problem"))
+    lacks = lambda of, kind: F.col("done") & ~F.exists(of, lambda x: F.coalesce(x["kind"] == kind, F.lit(False)))
+
+    def against_files(artifact: Column) -> Column:
+        mine = F.filter("files", lambda f: f["kind"] == artifact["kind"])
+        wrong = F.transform(F.filter(mine, lambda f: f["sha256"] != artifact["sha256"]), lambda f: say(f["kind"], "sha256 mismatch"))
+        return F.when(F.size(mine) == 0, F.array(say(artifact["kind"], "missing file"))).otherwise(wrong)
+
+    none = F.array().cast("array<struct<kind: string, problem: string>>")
+    problems = F.concat(
+        F.when(lacks("files", "json"), F.array(say(F.lit("json"), "missing sidecar"))).otherwise(none),
+        F.when(lacks("artifacts", "pdf"), F.array(say(F.lit("pdf"), "completed without pdf"))).otherwise(none),
+        F.flatten(F.transform("artifacts", against_files)),
+        F.when(~F.col("known"), F.transform("files", lambda f: say(f["kind"], "orphan"))).otherwise(none),
+    )
+    return known.select("document_id", F.explode(problems).alias("p")).select("document_id", "p.*")
 
 
 def verify_history(verifications: DataFrame, n: int) -> DataFrame:

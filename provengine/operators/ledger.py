@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,40 +99,101 @@ def merge_mask(obs: DataFrame, path: str = "path") -> DataFrame:
     return obs.withColumns({f"masked_{f}": F.when(allowed(f), F.col(f)) for f in MERGE_FIELDS if f in obs.columns})
 
 
-def merge_decisions(obs: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+def merge_decisions(obs: DataFrame, fields: tuple[str, ...] | None = None, values: bool = False) -> DataFrame:
     """One row for each observation and field: decision, policy, and the observation the value now rests on.
 
-    Running windows give what stood before; where obs has masked_<field>, that is what may change it, while
-    the record's own value is what is compared. Scalars take the first filled value, arrays an ordered
-    unique union (whose prefixes are built per row: use golden records where no explanation is asked)."""
+    Where obs has masked_<field>, that is what may change a value, while the record's own value is what is compared.
+    Scalars take the first filled value, arrays an ordered unique union. An element's place in that union never changes, so a
+    record is judged by the places of its own elements and by how many were there before: linear in the observations of
+    a document. `values` adds existing, incoming and chosen as JSON; unions are then built for every row."""
     fields = fields or tuple(f for f in MERGE_FIELDS if f in obs.columns)
-    before = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = []
+    arrays = [f for f in fields if obs.schema[f].dataType.simpleString().startswith("array")]
+    parts = [_scalar_steps(obs, [f for f in fields if f not in arrays])] if len(arrays) < len(fields) else []
+    parts += [_union_steps(obs, arrays)] if arrays else []
+    keeps, takes, agrees = F.col("keeps"), F.col("takes"), F.col("agrees")
+    decision = (
+        F.when(F.col("no_old") & F.col("no_new"), "NO_VALUE").when(F.col("no_old") & takes, "SELECTED").when(keeps & agrees, "CONFIRMED")
+        .when(keeps, "RETAINED").when(takes, "SELECTED").otherwise("COMBINED")
+    )
+    rows = reduce(DataFrame.unionByName, parts).withColumns({"policy": _policy(fields), "decision": decision}).drop("no_old", "no_new", "keeps", "takes", "agrees")
+    out = _rests_on(rows)
+    return out.join(_merged_values(obs, fields), ["document_id", "seq", "field_name"]) if values else out
+
+
+def _policy(fields: tuple[str, ...]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for f in fields for x in (f, POLICIES[f])]), F.col("field_name"))
+
+
+def _used(obs: DataFrame, field: str) -> str:
+    return f"masked_{field}" if f"masked_{field}" in obs.columns else field
+
+
+def _before():
+    return Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _scalar_values(obs: DataFrame, f: str) -> tuple[Column, Column, Column]:
+    """(existing, incoming, chosen) of a scalar field."""
+    use = _used(obs, f)
+    own = F.when(filled(obs, use), F.col(use))
+    existing = F.first(own, ignorenulls=True).over(_before())
+    return existing, F.when(filled(obs, f), F.col(f)), F.coalesce(existing, own)
+
+
+def _steps(obs: DataFrame, structs: list[Column]) -> DataFrame:
+    wide = obs.select("document_id", "seq", *[s.alias(f"f{k}") for k, s in enumerate(structs)])
+    return wide.select("document_id", "seq", F.explode(F.array(*[f"f{k}" for k in range(len(structs))])).alias("d")).select("document_id", "seq", "d.*")
+
+
+def _scalar_steps(obs: DataFrame, fields: list[str]) -> DataFrame:
+    structs = []
+    for f in fields:
+        old, new, chosen = _scalar_values(obs, f)
+        tests = {"no_old": old.isNull(), "no_new": new.isNull(), "keeps": chosen.eqNullSafe(old), "takes": chosen.eqNullSafe(new), "agrees": new.eqNullSafe(old)}
+        structs.append(F.struct(F.lit(f).alias("field_name"), *[t.alias(n) for n, t in tests.items()]))
+    return _steps(obs, structs)
+
+
+def _union_steps(obs: DataFrame, fields: list[str]) -> DataFrame:
+    """Of each element the place in its document's union: by its first appearance, and the same ever after. One pass: a row an
+    element of what may change the union (own) and of what is compared with it, and one for the observation itself."""
+
+    def listed(of: str, column: str) -> Column:
+        elements = F.coalesce(column, F.array().cast(obs.schema[column].dataType))
+        return F.transform(elements, lambda v, k: F.struct(F.lit(of).alias("of"), k.alias("i"), F.to_json(F.struct(v.alias("v"))).alias("element")))
+
+    itself = F.array(F.struct(F.lit("row").alias("of"), F.lit(0).alias("i"), F.lit("").alias("element")))
+    structs = [F.struct(F.lit(f).alias("field_name"), F.concat(itself, listed("own", _used(obs, f)), listed("offered", f)).alias("all")) for f in fields]
+    one = ["document_id", "field_name"]
+    each = _steps(obs, structs).select(*one, "seq", F.explode("all").alias("x")).select(*one, "seq", "x.*")
+    at = F.struct("seq", "i")
+    first = F.min(F.when(F.col("of") == "own", at)).over(Window.partitionBy(*one, "element"))
+    place = F.dense_rank().over(Window.partitionBy(*one).orderBy(F.col("first").asc_nulls_last())) - 1
+    placed = each.withColumn("first", first).withColumn("place", F.when(F.col("first").isNotNull(), place))
+    fits = F.when(F.col("of") == "offered", F.coalesce(F.col("place") == F.col("i"), F.lit(False)))
+    rows = placed.groupBy(*one, "seq").agg(
+        F.count_if((F.col("of") == "own") & (F.col("first") == at)).alias("more"), F.count_if(F.col("of") == "offered").alias("n"), F.coalesce(F.bool_and(fits), F.lit(True)).alias("ordered")
+    )
+    after = F.sum("more").over(Window.partitionBy(*one).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("after", after).withColumn("before", F.col("after") - F.col("more"))
+    same = lambda size: F.col("ordered") & (F.col("n") == F.col(size))
+    tests = {"no_old": F.col("before") == 0, "no_new": F.col("n") == 0, "keeps": F.col("more") == 0, "takes": same("after"), "agrees": same("before")}
+    return out.select("document_id", "seq", "field_name", *[t.alias(n) for n, t in tests.items()])
+
+
+def _merged_values(obs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """existing, incoming and chosen of each observation and field as JSON: whole prefixes, quadratic for arrays."""
+    structs = []
     for f in fields:
-        use = f"masked_{f}" if f"masked_{f}" in obs.columns else f
-        text = lambda c: F.to_json(F.struct(c.alias("v")))  # noqa: E731  one type for all fields
         if obs.schema[f].dataType.simpleString().startswith("array"):
-            none = F.array().cast(obs.schema[f].dataType)
-            existing = F.array_distinct(F.flatten(F.collect_list(F.coalesce(use, none)).over(before)))
-            incoming, own = F.coalesce(f, none), F.coalesce(use, none)
-            chosen = F.array_distinct(F.concat(existing, own))
-            no_old, no_new = F.size(existing) == 0, F.size(incoming) == 0
+            none, use = F.array().cast(obs.schema[f].dataType), _used(obs, f)
+            old = F.array_distinct(F.flatten(F.collect_list(F.coalesce(use, none)).over(_before())))
+            new, chosen = F.coalesce(f, none), F.array_distinct(F.concat(old, F.coalesce(use, none)))
         else:
-            value = F.when(filled(obs, use), F.col(use))
-            existing = F.first(value, ignorenulls=True).over(before)
-            incoming = F.when(filled(obs, f), F.col(f))
-            chosen = F.coalesce(existing, value)
-            no_old, no_new = existing.isNull(), incoming.isNull()
-        parts.append(F.struct(F.lit(f).alias("field_name"), text(existing).alias("existing"), text(incoming).alias("incoming"), text(chosen).alias("chosen"), no_old.alias("no_old"), no_new.alias("no_new"), F.lit(POLICIES[f]).alias("policy")))
-    rows = obs.select("document_id", "seq", *[p.alias(f"f{k}") for k, p in enumerate(parts)])
-    rows = rows.select("document_id", "seq", F.explode(F.array(*[f"f{k}" for k in range(len(parts))])).alias("d")).select("document_id", "seq", "d.*")
-    same = lambda a, b: F.col(a) == F.col(b)
-    rows = rows.withColumn(
-        "decision",
-        F.when(F.col("no_old") & F.col("no_new"), "NO_VALUE").when(F.col("no_old") & same("chosen", "incoming"), "SELECTED").when(same("chosen", "existing") & same("incoming", "existing"), "CONFIRMED")
-        .when(same("chosen", "existing"), "RETAINED").when(same("chosen", "incoming"), "SELECTED").otherwise("COMBINED"),
-    )
-    return _rests_on(rows).drop("no_old", "no_new")
+            old, new, chosen = _scalar_values(obs, f)
+        text = lambda c: F.to_json(F.struct(c.alias("v")))  # noqa: E731  one type for all fields
+        structs.append(F.struct(F.lit(f).alias("field_name"), text(old).alias("existing"), text(new).alias("incoming"), text(chosen).alias("chosen")))
+    return _steps(obs, structs)
 
 
 def _rests_on(rows: DataFrame) -> DataFrame:
@@ -195,15 +258,33 @@ def apply_fallback(canon: DataFrame, record: DataFrame, source: str = "unpaywall
     )
 
 
+# Identifiers that records are paired by, first the strongest, and the order in which matches are named.
+PAIRED_BY = ("doi", "pmcid", "pmid")
+MATCHED_ON = ("doi", "pmid", "pmcid")
+AVAILABILITY = ("is_open_access", "in_epmc", "has_pdf", "has_fulltext_xml", "candidate_count")
+
+
 def cross_check(canon: DataFrame, other: DataFrame, compare, fields: tuple[str, ...]) -> DataFrame:
-    """Each canonical record against the other provider's record of the same DOI: what they agree and differ on."""
-    theirs = other.select(F.col("doi"), F.lit(True).alias("known"), *[F.col(f).alias(f"their_{f}") for f in fields])
-    differ = lambda f: F.when(filled(canon, f) & F.col(f"their_{f}").isNotNull() & (F.col(f"their_{f}").cast("string") != "") & (compare(F.col(f).cast("string")) != compare(F.col(f"their_{f}").cast("string"))), F.lit(f))
-    joined = canon.join(theirs, "doi", "left")
+    """One row a canonical record (document_id, identifiers, fields): the other provider's record (record_id, identifiers, fields, and
+    what it has of AVAILABILITY) that shares an identifier with it, by the strongest kind, then the least record_id.
+
+    matched_on names all identifiers that both hold alike, differences the fields that both fill and that differ once
+    `compare` has normalised them. Identifiers of all kinds are joined at once, against one record for each value, so a
+    value that many records hold pairs no record twice."""
+    kinds = F.array(*[F.lit(k) for k in PAIRED_BY])
+    each = lambda df, *rest: df.select(*rest, F.posexplode(kinds).alias("strength", "kind"), "identifiers").withColumn("value", F.try_element_at("identifiers", F.col("kind"))).where("value <> ''")
+    available = F.struct(*[F.col(c) if c in other.columns else F.lit(None).alias(c) for c in AVAILABILITY])
+    theirs = other.select(F.struct("record_id", "identifiers", *fields, available.alias("availability")).alias("theirs"), "identifiers")
+    by_value = each(theirs, "theirs").groupBy("kind", "value").agg(F.min_by("theirs", "theirs.record_id").alias("theirs"))
+    found = each(canon, "document_id").join(by_value, ["kind", "value"]).groupBy("document_id").agg(F.min_by("theirs", "strength").alias("theirs"))
+    joined = canon.join(found, "document_id", "left")
+    same = lambda k: F.try_element_at("identifiers", F.lit(k)) == F.try_element_at("theirs.identifiers", F.lit(k))
+    text = lambda f: F.nullif(F.col(f).cast("string"), F.lit(""))
+    differ = lambda f: F.when(compare(text(f)) != compare(text(f"theirs.{f}")), F.struct(F.lit(f).alias("field"), text(f).alias("ours"), text(f"theirs.{f}").alias("theirs")))
     return joined.select(
-        "document_id", "doi", F.coalesce("known", F.lit(False)).alias("known_to_provider"), F.when(F.col("known"), F.array(F.lit("doi"))).otherwise(F.array().cast("array<string>")).alias("matched_on"),
-        F.array_compact(F.array(*[differ(f) for f in fields])).alias("differences"),
-    )
+        "document_id", F.col("theirs.record_id").alias("record_id"), F.col("theirs").isNotNull().alias("known_to_provider"),
+        F.array_compact(F.array(*[F.when(same(k), k) for k in MATCHED_ON])).alias("matched_on"), F.array_compact(F.array(*[differ(f) for f in fields])).alias("differences"), F.col("theirs.availability").alias("availability"),
+    )
 
 
 def resolve_chain(canon: DataFrame, other: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 # Document states, and their groups as reports use them.
 STATUSES = ("DISCOVERED", "NORMALIZED", "QUEUED", "ACQUIRING", "VALIDATING", "COMPLETED", "FAILED_RETRYABLE", "FAILED_PERMANENT", "SKIPPED")
 MOVING = ("DISCOVERED", "NORMALIZED", "QUEUED", "ACQUIRING", "VALIDATING")
@@ -254,12 +256,16 @@ def documents_by_failure(documents: DataFrame, failures: DataFrame, category: st
     return documents.where(F.col("status").isin(*FAILED)).join(hit, "document_id", "left_semi").select("document_id").orderBy("document_id").limit(first)
 
 
-def running_credits(responses: DataFrame, provider: str = "source", credits: str = "credits", seq: str = "id", segments: int = 64) -> DataFrame:
+def running_credits(responses: DataFrame, provider: str = "source", credits: str = "credits", seq: str = "id", segment_rows: int = 1 << 18) -> DataFrame:
     """`spent`: the running credits of each provider in response order.
 
-    A provider is one hot key, so sums are made in two steps: by segment of the sequence, then inside it."""
-    width = responses.agg(F.min(seq).alias("low"), (F.floor((F.max(seq) - F.min(seq)) / segments) + 1).alias("width"))
-    rows = responses.crossJoin(F.broadcast(width)).withColumn("segment", F.floor((F.col(seq) - F.col("low")) / F.col("width"))).drop("width", "low")
+    A provider is one hot key, so rows are dealt out by rank of (provider, seq), about `segment_rows` to a segment however
+    they are spread, and written; sums are made by segment and provider first, then inside a segment."""
+    segments = max(1, -(-responses.count() // segment_rows))
+    dealt = responses.repartitionByRange(segments, provider, seq).sortWithinPartitions(provider, seq).withColumn("segment", F.spark_partition_id())
+    at = scratch(responses.sparkSession)
+    dealt.write.parquet(at)
+    rows = responses.sparkSession.read.schema(dealt.schema).parquet(at)
     totals = rows.groupBy(provider, "segment").agg(F.sum(credits).alias("sum"))
     before = Window.partitionBy(provider).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col(provider).alias("p"), F.col("segment").alias("s"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
@@ -269,10 +275,10 @@ def running_credits(responses: DataFrame, provider: str = "source", credits: str
     return run.drop("p", "s", "segment", "base")
 
 
-def budget(responses: DataFrame, ceiling: int, provider: str = "source", credits: str = "credits", seq: str = "id", remaining: str = "remaining", segments: int = 64) -> DataFrame:
+def budget(responses: DataFrame, ceiling: int, provider: str = "source", credits: str = "credits", seq: str = "id", remaining: str = "remaining", segment_rows: int = 1 << 18) -> DataFrame:
     """Running credits of each provider in response order; the first response at the ceiling, or with none
     remaining, suspends it, and later ones are refused."""
-    run = running_credits(responses, provider, credits, seq, segments)
+    run = running_credits(responses, provider, credits, seq, segment_rows)
     crossed = (F.col("spent") >= ceiling) | (F.coalesce(F.col(remaining), F.lit(1)) <= 0)
     first = run.where(crossed).groupBy(F.col(provider).alias("q")).agg(F.min(seq).alias("suspended_at"))
     out = run.join(first, run[provider].eqNullSafe(first["q"]), "left")

@@ -219,18 +219,40 @@ def merge_unpaywall(spark, sf_dir):
 _CMP = "regexp_replace(replace(lower(nullif(trim(regexp_replace(CAST({0} AS VARCHAR), '[\\s\\p{{Z}}]+', ' ', 'g')), '')), 'ß', 'ss'), '[.]+$', '')"
 
 
+_CHECKED = ("title", "journal", "publication_year")
+_CHECK_CANON = f"(SELECT g.*, CASE WHEN pub % 3 = 0 THEN 'p' || pub END AS pmid, CASE WHEN pub % 4 = 0 THEN 'PMC' || pub END AS pmcid FROM {GOLDEN} g JOIN (SELECT document_id, min(pub_no) AS pub FROM {IDENTIFIED} i2 GROUP BY document_id) USING (document_id))"
+_CHECK_OTHER = f"(SELECT seq, title, journal, publication_year, is_oa, CASE WHEN seq % 2 = 0 THEN doi END AS doi, CASE WHEN seq % 5 <> 0 THEN 'p' || pub_no END AS pmid, CASE WHEN seq % 7 <> 0 THEN 'PMC' || pub_no END AS pmcid FROM {IDENTIFIED} i WHERE provider = 'europe_pmc')"
+_CHECK_DIFFER = ", ".join(f"CASE WHEN coalesce(CAST(c.{f} AS VARCHAR), '') <> '' AND coalesce(CAST(o.{f} AS VARCHAR), '') <> '' AND {_CMP.format('c.' + f)} <> {_CMP.format('o.' + f)} THEN '{f}' END" for f in _CHECKED)
+_CHECK_MATCHED = ", ".join(f"CASE WHEN c.{k} = o.{k} THEN '{k}' END" for k in L.MATCHED_ON)
+
+
 @query(
     "cross_check",
-    f"""SELECT c.document_id, c.doi, o.doi IS NOT NULL AS known_to_provider, CASE WHEN o.doi IS NOT NULL THEN 'doi' ELSE '' END AS matched_on,
-    array_to_string(list_filter([{', '.join(f"CASE WHEN coalesce(CAST(c.{f} AS VARCHAR), '') <> '' AND coalesce(CAST(o.{f} AS VARCHAR), '') <> '' AND {_CMP.format('c.' + f)} <> {_CMP.format('o.' + f)} THEN '{f}' END" for f in ('title', 'journal', 'publication_year'))}], lambda x: x IS NOT NULL), ',') AS differences
-    FROM {GOLDEN} c LEFT JOIN (SELECT doi, arg_min_null(title, seq) AS title, arg_min_null(journal, seq) AS journal, arg_min_null(publication_year, seq) AS publication_year FROM {IDENTIFIED} i WHERE provider = 'europe_pmc' AND doi IS NOT NULL GROUP BY doi) o ON o.doi = c.doi""",
+    f"""WITH c AS (SELECT * FROM {_CHECK_CANON} c0), o AS (SELECT * FROM {_CHECK_OTHER} o0),
+    hits AS ({' UNION ALL '.join(f"SELECT c.document_id, {p} AS p, min(o.seq) AS r FROM c JOIN o ON o.{k} = c.{k} GROUP BY c.document_id" for p, k in enumerate(L.PAIRED_BY))}),
+    best AS (SELECT document_id, arg_min(r, p) AS r FROM hits GROUP BY document_id)
+    SELECT c.document_id, best.r AS record_id, best.r IS NOT NULL AS known_to_provider, array_to_string(list_filter([{_CHECK_MATCHED}], lambda x: x IS NOT NULL), ',') AS matched_on,
+    array_to_string(list_filter([{_CHECK_DIFFER}], lambda x: x IS NOT NULL), ',') AS differences, o.is_oa AS is_open_access, o.seq % 2 = 0 AS in_epmc, o.seq % 3 = 0 AS has_pdf, o.pmcid IS NOT NULL AND o.is_oa IS TRUE AND best.r IS NOT NULL AS has_fulltext_xml, o.seq % 4 AS candidate_count
+    FROM c LEFT JOIN best USING (document_id) LEFT JOIN o ON o.seq = best.r""",
 )
 def cross_check(spark, sf_dir):
+    """Publications against the other provider's records, several of which may be of one publication, by DOI, PMCID or PMID."""
     obs = observations(spark, sf_dir)
-    fields = ("title", "journal", "publication_year")
-    other = obs.where("provider = 'europe_pmc' AND doi IS NOT NULL").groupBy("doi").agg(*[F.min_by(f, "seq").alias(f) for f in fields])
-    out = L.cross_check(L.first_values(obs), other, S.norm_cmp, fields)
-    return out.select("document_id", "doi", "known_to_provider", F.array_join("matched_on", ",").alias("matched_on"), F.array_join("differences", ",").alias("differences"))
+    given = lambda **ids: F.map_filter(F.create_map(*[x for k, v in ids.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    tag = lambda p, n: F.concat(F.lit(p), F.col(n).cast("string"))
+    pubs = obs.groupBy("document_id").agg(F.min("pub_no").alias("pub"))
+    canon = L.first_values(obs).join(pubs, "document_id")
+    canon = canon.withColumn("identifiers", given(doi=F.col("doi"), pmid=F.when(F.col("pub") % 3 == 0, tag("p", "pub")), pmcid=F.when(F.col("pub") % 4 == 0, tag("PMC", "pub"))))
+    seq, pmcid = F.col("seq"), F.when(F.col("seq") % 7 != 0, tag("PMC", "pub_no"))
+    other = obs.where("provider = 'europe_pmc'").select(
+        seq.alias("record_id"), *_CHECKED, given(doi=F.when(seq % 2 == 0, F.col("doi")), pmid=F.when(seq % 5 != 0, tag("p", "pub_no")), pmcid=pmcid).alias("identifiers"),
+        F.col("is_oa").alias("is_open_access"), (seq % 2 == 0).alias("in_epmc"), (seq % 3 == 0).alias("has_pdf"), (pmcid.isNotNull() & F.coalesce("is_oa", F.lit(False))).alias("has_fulltext_xml"), (seq % 4).alias("candidate_count"),
+    )
+    out = L.cross_check(canon, other, S.norm_cmp, _CHECKED)
+    return out.select(
+        "document_id", "record_id", "known_to_provider", F.array_join("matched_on", ",").alias("matched_on"), F.array_join(F.transform("differences", lambda d: d["field"]), ",").alias("differences"),
+        "availability.is_open_access", "availability.in_epmc", "availability.has_pdf", F.coalesce("availability.has_fulltext_xml", F.lit(False)).alias("has_fulltext_xml"), "availability.candidate_count",
+    )
 
 
 _CANON = "(SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'd' || document_id END AS doi, CASE WHEN document_id % 4 = 0 THEN 'PMC' || document_id END AS pmcid, CASE WHEN document_id % 5 = 0 THEN 'PMC' || document_id END AS url_pmcid, 'p' || document_id AS pmid FROM {DOC} d)"

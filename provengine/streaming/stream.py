@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import running_credits
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space that spark.checkpoint.dir names; a local one only for a local session without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root}/{uuid.uuid4().hex}"
+from ..session import scratch  # noqa: F401  queries name it from here
 
 
 @contextmanager
