@@ -64,9 +64,14 @@ def audit_counts(tables: dict[str, DataFrame], manifest: DataFrame) -> DataFrame
 
 
 def good_json(text: Column, root: str, nullable: bool = False) -> Column:
-    """Whether a JSON text parses and has the declared root (OBJECT, ARRAY, or any)."""
-    good = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith(root), F.lit(False))
-    return F.when(text.isNull(), F.lit(nullable)).otherwise(good)
+    """Whether a text is one JSON value and no more, with the declared root (OBJECT, ARRAY, or any).
+
+    The parser stops after a value and says nothing of what follows. So the text must also be the one element of a list
+    and the one value of an object: what follows a value can't continue both."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    good = (F.size(listed) == 1) & inside.isNotNull() & F.schema_of_variant(F.get(listed, F.lit(0))).startswith(root)
+    return F.when(text.isNull(), F.lit(nullable)).otherwise(F.coalesce(good, F.lit(False)))
 
 
 def audit_json(df: DataFrame, column: str, root: str, nullable: bool = False) -> Column:

@@ -59,10 +59,17 @@ def audit_columns(spark, sf_dir):
     return A.audit_counts(tables, manifest).withColumn("problems", F.lit(";".join(A.audit_columns(tables, expected))))
 
 
-@query("audit_json", "SELECT event_id, true AS good, false AS broken, false AS wrong_root FROM events")
+_BAD_JSON = ("", "null", "[1]", '"text"', "7", "{", '{"a":}', "{'a':1}", '{"a":1}}', "[1,", "nul", "\ufeff{}")
+_JSON_KINDS = {"OBJECT": "k = 12", "ARRAY": "k = 2", "": "k IN (1, 2, 3, 4, 12)"}
+
+
+@query("audit_json", f"SELECT event_id, {', '.join(f'coalesce({rule}, {nullable})::BOOLEAN AS {name}' for name, rule, nullable in (('is_object', _JSON_KINDS['OBJECT'], 'false'), ('is_array', _JSON_KINDS['ARRAY'], 'false'), ('is_json', _JSON_KINDS[''], 'true')))} FROM (SELECT event_id, CASE WHEN event_id % 14 < 13 THEN event_id % 14 END AS k FROM events)")
 def audit_json(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").withColumn("cut", F.left("props", F.length("props") - 1))
-    return ev.select("event_id", A.audit_json(ev, "props", "OBJECT").alias("good"), A.audit_json(ev, "cut", "OBJECT").alias("broken"), A.audit_json(ev, "props", "ARRAY").alias("wrong_root"))
+    """Texts of every kind: empty, of other roots, cut short, with too much, in other quotes, NULL, and good objects (place 12)."""
+    k = F.col("event_id") % 14
+    bad = F.get(F.array(*[F.lit(t) for t in _BAD_JSON]), k.cast("int"))
+    ev = table(spark, sf_dir, "events").withColumn("raw", F.when(k < 12, bad).when(k == 12, F.col("props")))
+    return ev.select("event_id", A.audit_json(ev, "raw", "OBJECT").alias("is_object"), A.audit_json(ev, "raw", "ARRAY").alias("is_array"), A.audit_json(ev, "raw", "", nullable=True).alias("is_json"))
 
 
 @query("audit_raw_sha", "SELECT seq, CASE WHEN title IS NULL AND seq % 2 = 0 THEN 'digest without raw text' WHEN title IS NULL THEN NULL WHEN seq % 2 = 1 THEN 'raw text without digest' WHEN seq % 4 = 0 THEN 'digest mismatch' END AS problem FROM {OBS} o")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -265,20 +267,27 @@ _SUFFIXES = ("json", "pdf", "XML", "part", "txt", "json")
 _SUFFIX = "CASE g % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'pdf' WHEN 2 THEN 'xml' WHEN 3 THEN 'part' WHEN 4 THEN 'txt' ELSE 'json' END"
 
 
-@query("src_corpus_files", f"SELECT 'd' || g AS document_id, {_SUFFIX} AS kind, true AS filled, g % 6 = 3 AS partial FROM (SELECT DISTINCT doc_id // 20 AS g FROM documents) WHERE g % 6 <> 4")
+@query("src_corpus_files", f"SELECT 'd' || g AS document_id, {_SUFFIX} AS kind, n AS size_bytes, g % 6 = 3 AS partial FROM (SELECT doc_id // 20 AS g, sum(strlen(text)) AS n FROM documents GROUP BY g) WHERE g % 6 <> 4")
 def src_corpus_files(spark, sf_dir):
-    """A file for every 20 documents, of each suffix in turn, written by Spark and then given its name."""
+    """A file for every 20 documents, of each suffix in turn, written and named by tasks."""
     at = M.scratch(spark)
-    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("g"), "doc_id", "text")
-    rows.repartition("g").write.partitionBy("g").json(f"{at}/written")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path(f"{at}/corpus"))
-    for file in fs.globStatus(path(f"{at}/written/g=*/part-*")):
-        g = int(file.getPath().getParent().getName().removeprefix("g="))
-        fs.rename(file.getPath(), path(f"{at}/corpus/d{g}.{_SUFFIXES[g % 6]}"))
-    found = P.scan_corpus(spark, f"{at}/corpus")
-    return found.select("document_id", "kind", (F.col("size_bytes") > 0).alias("filled"), "partial")
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("g")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "").alias("content"))
+    suffix = F.get(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("g") % 6).cast("int"))
+    K.write_files(rows.select(F.concat(F.lit("d"), F.col("g").cast("string"), F.lit("."), suffix).alias("name"), F.col("content").cast("binary").alias("content")), f"{at}/corpus")
+    return P.scan_corpus(spark, f"{at}/corpus").select("document_id", "kind", "size_bytes", "partial")
+
+
+@query(
+    "src_ledger_lookup",
+    "SELECT d.document_id, d.status, count(a.document_id) AS artifacts, max(a.size_bytes) AS largest FROM {DOC} d LEFT JOIN {ART} a ON a.document_id = d.document_id WHERE d.status <> 'SKIPPED' GROUP BY ALL",
+)
+def src_ledger_lookup(spark, sf_dir):
+    """Two ledger tables in buckets, joined where they lie."""
+    at, tag = M.scratch(spark), uuid.uuid4().hex
+    documents = P.write_ledger(docs(spark, sf_dir), at, f"documents_{tag}", buckets=8)
+    files = P.write_ledger(view(spark, sf_dir, "ART").select("document_id", "kind", "size_bytes"), at, f"artifacts_{tag}", buckets=8)
+    by_document = files.groupBy("document_id").agg(F.count("*").alias("artifacts"), F.max("size_bytes").alias("largest"))
+    return documents.where("status <> 'SKIPPED'").join(by_document.hint("merge"), "document_id", "left").select("document_id", "status", F.coalesce("artifacts", F.lit(0)).alias("artifacts"), "largest")
 
 
 @query("run_documents", "SELECT run_id, document_id, row_number() OVER (PARTITION BY run_id ORDER BY document_id) AS place FROM {DOC} d")

@@ -151,12 +151,13 @@ def content_urls(spark, sf_dir):
 
 @query(
     "vocab_validate",
-    """SELECT seq, list_sort(list_distinct(list_filter([upper(country_1), upper(country_2), bad], lambda x: x IS NOT NULL))) AS codes, bad IS NOT NULL AS refused, count(DISTINCT bad) OVER () AS unknown
-    FROM (SELECT seq, country_1, country_2, CASE seq % 50 WHEN 7 THEN 'ZZ' WHEN 9 THEN 'GER' WHEN 11 THEN '49' END AS bad FROM {OBS} o)""",
+    """SELECT seq, list_sort(list_distinct(list_filter([upper(country_1), upper(country_2), bad, fine], lambda x: x IS NOT NULL))) AS codes, bad IS NOT NULL AS refused, count(DISTINCT bad) OVER () AS unknown
+    FROM (SELECT seq, country_1, country_2, CASE seq % 50 WHEN 7 THEN 'ZZ' WHEN 9 THEN 'GER' WHEN 11 THEN '49' WHEN 13 THEN 'EH' END AS bad, CASE seq % 50 WHEN 15 THEN 'XK' END AS fine FROM {OBS} o)""",
 )
 def vocab_validate(spark, sf_dir):
-    bad = F.when(F.col("seq") % 50 == 7, "zz").when(F.col("seq") % 50 == 9, "Ger").when(F.col("seq") % 50 == 11, "49")
-    o = view(spark, sf_dir, "OBS").select("seq", F.concat_ws("|", F.lower("country_1"), F.lit(" "), "country_2", bad, "country_1").alias("codes"))
+    bad = F.when(F.col("seq") % 50 == 7, "zz").when(F.col("seq") % 50 == 9, "Ger").when(F.col("seq") % 50 == 11, "49").when(F.col("seq") % 50 == 13, "eh")
+    fine = F.when(F.col("seq") % 50 == 15, "xk")
+    o = view(spark, sf_dir, "OBS").select("seq", F.concat_ws("|", F.lower("country_1"), F.lit(" "), "country_2", bad, fine, "country_1").alias("codes"))
     rows, unknown = D.normalize_codes(o, "codes", V.countries(spark), upper=True)
     return D.refused(rows, "seq", "codes", unknown).crossJoin(F.broadcast(unknown.agg(F.count("*").alias("unknown"))))
 

@@ -38,12 +38,23 @@ def read_ledger(spark: SparkSession, root: str, table: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def write_ledger(df: DataFrame, root: str, table: str, key: str = "document_id", buckets: int = 64, bloom: tuple[str, ...] = ("document_id", "doi")) -> DataFrame:
+    """A ledger table laid out for joins and lookups, below `root` and in the session's catalog as `table`: bucketed and sorted by
+    `key`, so that tables with as many buckets join without a shuffle and a lookup reads one bucket, with Bloom filters on
+    columns that are looked up, so that row groups without the value are skipped. Give about a bucket for each GB."""
+    out = df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{table}").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in (c for c in bloom if c in df.columns):
+        out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    out.mode("errorifexists").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 KINDS = ("pdf", "xml", "json")
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """document_id, kind, size_bytes, path, partial: the corpus folder's files, without reading them. Suffixes are known
-    in either case; files with others are none of the corpus's."""
+    in either case; files with others are none of the corpus's. Empty files aren't listed: Spark's file source leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     kind = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))

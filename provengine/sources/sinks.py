@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,32 @@ def run_reports(counters: DataFrame, failures: DataFrame, sample: int = 200) ->
     return counters.join(total, "run_id", "left").join(lists, "run_id", "left").fillna(0, ["failure_total"])
 
 
+def write_files(df: DataFrame, root: str) -> tuple[int, int]:
+    """Write a file for each row of `df` (name, content as bytes) below `root`, in the tasks that hold the rows; (files, bytes).
+
+    `root` is a URI that Arrow's file systems open, shared by all executors. A file is written under a hidden name and then
+    given its own, so readers see whole files and a task that runs again replaces what it wrote."""
+    base = root if re.match("[a-z0-9]+://", root) else "file://" + root.removeprefix("file:")
+
+    def write(batches):
+        fs, at = FileSystem.from_uri(base)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(*[batch.column(c).to_pylist() for c in ("name", "content")]):
+                if not name or "/" in name or name.startswith((".", "_")):
+                    raise ValueError(f"no name for a file: {name!r}")
+                hidden = f"{at}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(hidden) as out:
+                    out.write(content or b"")
+                fs.move(hidden, f"{at}/{name}")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["size"])
+
+    done = df.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "size long").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return done[0], done[1]
+
+
 def export_manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, rows, digest) of each table."""
     out = None

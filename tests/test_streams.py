@@ -235,3 +235,58 @@ def test_restore_after_a_crash(spark, ledger, monkeypatch):
 def test_evidence_shape(spark):
     tables, shape = Q.evidence(spark, SF)
     assert set(tables) == set(shape.schemas) == set(shape.keys)
+
+
+# --- files and tables --------------------------------------------------------------------------
+
+
+def test_files_are_written_by_tasks(spark):
+    at = M.scratch(spark)
+    rows = [("d1.pdf", b"%PDF"), ("d2.XML", b"<a/>"), ("d3.part", b"p"), ("d4.txt", b"x"), ("d5.json", None)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    assert K.write_files(df, f"{at}/corpus") == (5, 10) == K.write_files(df, f"{at}/corpus")  # a second try replaces the files
+    found = {(r.document_id, r.kind, r.size_bytes, r.partial) for r in P.scan_corpus(spark, f"{at}/corpus").collect()}
+    assert found == {("d1", "pdf", 4, False), ("d2", "xml", 4, False), ("d3", "part", 1, True)}  # not the empty one
+    with pytest.raises(Exception, match="no name for a file"):
+        K.write_files(spark.createDataFrame([("../d1.pdf", b"")], "name string, content binary"), f"{at}/corpus")
+    assert K.write_files(df.limit(0), f"{at}/corpus") == (0, 0)
+
+
+def test_ledger_tables_join_and_look_up_where_they_lie(spark):
+    at, tag = M.scratch(spark), M.scratch(spark)[-8:]
+    one = spark.range(5000).select(F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("document_id"), F.concat(F.lit("10.1/"), F.xxhash64("id").cast("string")).alias("doi"))
+    a = P.write_ledger(one, at, f"a_{tag}", buckets=4)
+    b = P.write_ledger(one.select("document_id", F.length("doi").alias("n")), at, f"b_{tag}", buckets=4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = a.join(b.hint("merge"), "document_id")
+    assert joined.count() == 5000 and "Exchange" not in plan(joined)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan tells of the buckets it reads
+    try:
+        assert "SelectedBucketsCount: 1 out of 4" in plan(a.where("document_id = 'doc-77'"))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert blooms(f"{at}/a_{tag}") > 1000 and a.where(F.col("doi") == a.where("document_id = 'doc-77'").first().doi).count() == 1
+
+
+def blooms(root):
+    """Bytes of the files of a local table that are neither columns nor footer."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    out = 0
+    for f in glob.glob(root.removeprefix("file:").replace("///", "/") + "/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+        out += os.path.getsize(f) - meta.serialized_size - sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns))
+    return out
+
+
+def test_vocabularies(spark):
+    from provengine.functions import vocabulary
+
+    languages, countries = ({r.code: r.name for r in v(spark).collect()} for v in (vocabulary.languages, vocabulary.countries))
+    assert (len(languages), len(countries)) == (181, 247)
+    assert not {"iw", "in", "ji", "mo", "bh"} & set(languages) and {"he", "id", "yi", "sh"} <= set(languages)
+    assert countries["XK"] == "Kosovo" and "EH" not in countries and (languages["de"], countries["AT"]) == ("German", "Austria")
