@@ -2,13 +2,16 @@
 
 A text's size is its number of words. Sources in code-point order (null last) weigh 1, 2, 3, repeating,
 unless weights are given by position. A source's target is its weighted share of all words, stopped at
-`most` times its own size; what is over is shared again by weight. A source lays its texts end to end in a
-seeded order and is cut into equal blocks of words. Blocks go to the sources by highest quotients
-target / (2 * seats + 1), a source having `most` seats for each of its blocks at most: what a full source can't
-take goes to the next quotients. This is done for each cumulative number of output shards (the method is
-monotone in the number of seats, so differences are the integer quotas of each shard). A source's seats, in the
-order of the shards, take its blocks in a seeded order, and begin again when all are taken; so each shard has
-its own seeded choice of blocks, and a text is taken by the words of it that stand in them.
+`most` times its own size; what is over is shared again by weight. Seats of equal blocks of words go to the sources by
+highest quotients target / (2 * seats + 1), a source having `most` seats for each of its blocks at most: what a full source
+can't take goes to the next quotients. This is done for each cumulative number of output shards (the method is
+monotone in the number of seats, so differences are the integer quotas of each shard). A block is the least source's words by
+`blocks_in_least`, so every source comes within a few words of its target whatever the corpus holds beside it.
+
+A source lays its texts end to end in a seeded order and is cut into pieces, at most `most_pieces` of them and none smaller
+than a block; the pieces are laid end to end in a seeded order of their own, and again when all are taken, and the shards take
+their quotas' words from that line one after the other, cutting pieces where a quota ends. So each shard has its own seeded
+choice, a text is taken by the words of it that stand in them, and the number of pieces doesn't grow with the corpus.
 
 Null or empty texts have size 0 and none taken; repeated rows are texts of their own; a source without
 words has target 0; an empty table gives none. Columns beside the three named ones are ignored.
@@ -80,15 +83,21 @@ def sainte_lague(targets: DataFrame, blocks: str, shards: int) -> DataFrame:
     return seats.withColumn("quota", F.col("seats") - F.coalesce(F.lag("seats").over(before), F.lit(0)))
 
 
-def chosen_blocks(plan: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
-    """source_rank, block (its place in the source, from 0), shard: one row a seat, a block of a source taken by a shard."""
-    blocks = plan.where("own_blocks > 0").select("source_rank", "source", "first_block", F.explode(F.expr("sequence(0L, own_blocks - 1)")).alias("block"))
-    name = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("block").cast("string")))
-    drawn = prefix_sums(blocks.select("source_rank", "first_block", "block", name.alias("drawn")).withColumn("one", F.lit(1)), ["source_rank", "drawn", "block"], "one")
-    drawn = drawn.select("source_rank", "block", (F.col("index") - F.col("first_block")).alias("turn"))
-    seats = quotas.join(plan.select("source_rank", "own_blocks"), "source_rank").where("quota > 0")
-    seats = seats.select("source_rank", "shard", "own_blocks", F.explode(F.expr("sequence(seats - quota, seats - 1)")).alias("seat"))
-    return seats.select("source_rank", "shard", F.expr("seat % own_blocks").alias("turn")).join(drawn, ["source_rank", "turn"]).select("source_rank", "block", "shard")
+def taken_ranges(plan: DataFrame, most: int, seed: int) -> DataFrame:
+    """source_rank, piece (its place in the source, from 0), shard, low, high: what a shard takes of a piece, as places in the source."""
+    pieces = plan.where("source_size > 0").select("source_rank", "source", "wide", "source_size", F.explode(F.expr("sequence(0L, (source_size - 1) div wide)")).alias("piece"))
+    length = F.least(F.col("wide"), F.col("source_size") - F.col("piece") * F.col("wide"))
+    drawn = pieces.select("source_rank", "piece", length.alias("length"), F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("piece").cast("string"))).alias("drawn"))
+    line = prefix_sums(drawn, ["source_rank", "drawn", "piece"], "length").join(plan.select("source_rank", "base", "source_size", "wide", "cuts"), "source_rank")
+    again = line.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("time")).withColumn("at", F.col("before") - F.col("base") + F.col("time") * F.col("source_size"))
+
+    def of_shard(cut, k):
+        low = F.greatest(F.col("at"), F.when(k > 0, F.get("cuts", k - 1)).otherwise(0))
+        return F.struct(k.alias("shard"), low.alias("low"), F.least(F.col("at") + F.col("length"), cut).alias("high"))
+
+    shares = again.where(F.col("at") < F.element_at("cuts", -1)).withColumn("share", F.explode(F.filter(F.transform("cuts", of_shard), lambda x: x["low"] < x["high"])))
+    move = F.col("piece") * F.col("wide") - F.col("at")
+    return shares.select("source_rank", "piece", "share.shard", (F.col("share.low") + move).alias("low"), (F.col("share.high") + move).alias("high"))
 
 
 def _seeded(seed: int, *cols):
@@ -96,14 +105,11 @@ def _seeded(seed: int, *cols):
 
 
 def mix_sources(
-    df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, blocks_in_least: int = 1024, most_blocks: int = 1 << 22, seed: int = 7,
+    df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, blocks_in_least: int = 1024, most_pieces: int = 4096, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted), quota (blocks of its source), shard_quotas (by
-    shard), shard_taken (words by shard), row_key.
-
-    A block is the least non-empty source's words by `blocks_in_least`, one at least, so every source
-    comes within a few blocks of its target; where that makes more than `most_blocks`, blocks are larger."""
+    shard), shard_taken (words by shard), row_key."""
     narrow = stash(
         df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_key(id_col, text_col).alias("row_key"), word_count(F.col(text_col)).alias("size"))
     )
@@ -112,26 +118,28 @@ def mix_sources(
     before = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
     targets = stash(
         targets.withColumn("grand", F.sum("source_size").over(every))
-        .withColumn("block", F.greatest(F.lit(1), F.expr(f"min(CASE WHEN source_size > 0 THEN source_size END) OVER () div {int(blocks_in_least)}"), F.expr(f"grand div {int(most_blocks)}")))
+        .withColumn("block", F.greatest(F.lit(1), F.expr(f"min(CASE WHEN source_size > 0 THEN source_size END) OVER () div {int(blocks_in_least)}")))
         .withColumn("all_blocks", F.expr("grand div block"))
         .withColumn("base", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("own_blocks", F.expr("(source_size + block - 1) div block"))
         .withColumn("most_seats", F.col("own_blocks") * most)
-        .withColumn("first_block", F.coalesce(F.sum("own_blocks").over(before), F.lit(0)))
+        .withColumn("wide", F.greatest("block", F.expr(f"(source_size + {int(most_pieces) - 1}) div {int(most_pieces)}")))
     )
     quotas = stash(sainte_lague(targets, "all_blocks", shards))
-    sums = quotas.groupBy("source_rank").agg(F.sum("quota").alias("quota"), F.transform(F.sort_array(F.collect_list(F.struct("shard", "quota"))), lambda q: q["quota"]).alias("shard_quotas"))
-    plan = stash(targets.join(sums, "source_rank").select("source_rank", "source", "source_size", "target", "block", "base", "own_blocks", "first_block", "quota", "shard_quotas"))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("shard", c))), lambda q: q[c])
+    sums = quotas.groupBy("source_rank").agg(F.sum("quota").alias("quota"), listed("quota").alias("shard_quotas"), listed("seats").alias("seats"))
+    plan = targets.join(sums, "source_rank").withColumn("cuts", F.transform("seats", lambda n: F.least(n * F.col("block"), F.col("source_size") * most)))
+    plan = stash(plan.select("source_rank", "source", "source_size", "target", "wide", "base", "quota", "shard_quotas", "cuts"))
     # The table of sources is written, so its size is known: the planner sends it along only if it is small.
     ranked = narrow.join(plan.select("source", "source_rank"), narrow["source"].eqNullSafe(plan["source"])).select(
         "source_rank", "doc_id", "row_key", "size", _seeded(seed, F.col("doc_id"), F.col("size")).alias("seeded")
     )
-    placed = prefix_sums(ranked, ["source_rank", "seeded", "doc_id", "size"], "size").join(plan.select("source_rank", "block", "base"), "source_rank")
-    placed = stash(placed.select("source_rank", "doc_id", "row_key", "size", "index", "block", (F.col("before") - F.col("base")).alias("at")))
-    parts = placed.where("size > 0").select("source_rank", "index", "at", "size", F.col("block").alias("wide"), F.explode(F.expr("sequence(at div block, (at + size - 1) div block)")).alias("block"))
-    words = F.expr("least(at + size, (block + 1) * wide) - greatest(at, block * wide)")
-    taken = parts.join(chosen_blocks(plan, quotas, seed), ["source_rank", "block"]).groupBy("index", "shard").agg(F.sum(words).alias("words"))
+    placed = prefix_sums(ranked, ["source_rank", "seeded", "doc_id", "size"], "size").join(plan.select("source_rank", "wide", "base"), "source_rank")
+    placed = stash(placed.select("source_rank", "doc_id", "row_key", "size", "index", "wide", (F.col("before") - F.col("base")).alias("at")))
+    parts = placed.where("size > 0").select("source_rank", "index", "at", "size", F.explode(F.expr("sequence(at div wide, (at + size - 1) div wide)")).alias("piece"))
+    words = F.expr("least(at + size, high) - greatest(at, low)")
+    taken = parts.join(taken_ranges(plan, most, seed), ["source_rank", "piece"]).where(words > 0).groupBy("index", "shard").agg(F.sum(words).alias("words"))
     taken = taken.groupBy("index").agg(F.sum("words").alias("taken"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("shard", "words")))).alias("shard_taken"))
-    return placed.drop("block").join(taken, "index", "left").join(plan.select("source_rank", "source", "source_size", "target", "quota", "shard_quotas"), "source_rank").select(
+    return placed.drop("wide").join(taken, "index", "left").join(plan.select("source_rank", "source", "source_size", "target", "quota", "shard_quotas"), "source_rank").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "quota", "shard_quotas", "shard_taken", "row_key"
     )

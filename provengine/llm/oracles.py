@@ -36,18 +36,22 @@ s2 AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
        sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, row_number() OVER (ORDER BY cap / weight, rank) AS place FROM s1),
 f AS (SELECT min(place) AS place, arg_min(open_left, place) AS open_left, arg_min(open_weight, place) AS open_weight FROM s2 WHERE open_left * weight <= cap * open_weight),
 s3 AS (SELECT rank, source, source_size, CASE WHEN f.place IS NULL OR s2.place < f.place THEN CAST(cap AS DOUBLE) ELSE CAST(f.open_left AS DOUBLE) * weight / CAST(f.open_weight AS DOUBLE) END AS target,
-       greatest(1, (min(source_size) FILTER (source_size > 0) OVER ()) // 1024, CAST(sum(source_size) OVER () AS BIGINT) // 4194304) AS block, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s2, f),
-s4 AS (SELECT *, (source_size + block - 1) // block AS own FROM s3),
+       greatest(1, (min(source_size) FILTER (source_size > 0) OVER ()) // 1024) AS block, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s2, f),
+s4 AS (SELECT *, (source_size + block - 1) // block AS own, greatest(block, (source_size + 4095) // 4096) AS wide FROM s3),
 won AS (SELECT rank, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS won, total // block AS house FROM (SELECT *, unnest(range(0, 3 * own)) AS k FROM s4)),
 seat AS (SELECT rank, k, min(r.shard) AS shard FROM won, range(0, 16) AS r(shard) WHERE won <= house * (r.shard + 1) // 16 GROUP BY rank, k),
 q AS (SELECT s4.rank, r.shard, count(seat.k) AS quota FROM s4 CROSS JOIN range(0, 16) AS r(shard) LEFT JOIN seat ON seat.rank = s4.rank AND seat.shard = r.shard GROUP BY ALL),
 s5 AS (SELECT s4.*, CAST(t.quota AS BIGINT) AS quota, t.shard_quotas FROM s4 JOIN (SELECT rank, sum(quota) AS quota, string_agg(CAST(quota AS VARCHAR), ',' ORDER BY shard) AS shard_quotas FROM q GROUP BY rank) t ON t.rank = s4.rank),
-drawn AS (SELECT rank, b, row_number() OVER (PARTITION BY rank ORDER BY md5('7' || chr(31) || coalesce(source, '') || chr(31) || b), b) - 1 AS turn FROM (SELECT rank, source, unnest(range(0, own)) AS b FROM s4)),
-chosen AS (SELECT drawn.rank, drawn.b, count(*) AS times FROM seat JOIN s4 ON s4.rank = seat.rank JOIN drawn ON drawn.rank = seat.rank AND drawn.turn = seat.k % s4.own GROUP BY ALL),
+cut AS (SELECT rank, shard, high, lag(high, 1, 0) OVER (PARTITION BY rank ORDER BY shard) AS low FROM (
+        SELECT q.rank, q.shard, CAST(least(block * sum(q.quota) OVER (PARTITION BY q.rank ORDER BY q.shard), 3 * source_size) AS BIGINT) AS high FROM q JOIN s4 ON s4.rank = q.rank)),
+piece AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank ORDER BY md5('7' || chr(31) || coalesce(source, '') || chr(31) || b), b) - size AS BIGINT) AS line
+          FROM (SELECT rank, source, source_size, wide, b, least(wide, source_size - b * wide) AS size FROM (SELECT *, unnest(range(0, (source_size + wide - 1) // wide)) AS b FROM s4))),
+chosen AS (SELECT x.rank, b, b * wide + greatest(low - begins, 0) AS low, b * wide + least(high - begins, size) AS high
+           FROM (SELECT *, line + r.time * source_size AS begins FROM piece, range(0, 3) AS r(time)) x JOIN cut ON cut.rank = x.rank AND low < begins + size AND high > begins),
 p AS (SELECT d.doc_id, d.size, s5.*, CAST(sum(d.size) OVER (PARTITION BY s5.rank ORDER BY md5('7' || chr(31) || coalesce(CAST(d.doc_id AS VARCHAR), '') || chr(31) || d.size), d.doc_id, d.size) - d.size AS BIGINT) AS pos
       FROM d JOIN s5 ON s5.source IS NOT DISTINCT FROM d.source),
-spread AS (SELECT doc_id, rank, pos, size, block, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS b FROM p WHERE size > 0),
-t AS (SELECT doc_id, CAST(sum(times * (least(pos + size, (spread.b + 1) * block) - greatest(pos, spread.b * block))) AS BIGINT) AS taken FROM spread JOIN chosen ON chosen.rank = spread.rank AND chosen.b = spread.b GROUP BY doc_id)
+spread AS (SELECT doc_id, rank, pos, size, unnest(range(pos // wide, (pos + size - 1) // wide + 1)) AS b FROM p WHERE size > 0),
+t AS (SELECT doc_id, CAST(sum(greatest(0, least(pos + size, high) - greatest(pos, low))) AS BIGINT) AS taken FROM spread JOIN chosen ON chosen.rank = spread.rank AND chosen.b = spread.b GROUP BY doc_id)
 SELECT p.doc_id, size, source_size, target, source, quota, shard_quotas, coalesce(taken, 0) AS taken FROM p LEFT JOIN t ON t.doc_id = p.doc_id
 """
 
