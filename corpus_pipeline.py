@@ -7,6 +7,8 @@ Rows are told apart by a fingerprint of id and text, so that null and repeated i
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among `docs`, rejects go."""
+    """Documents that the classifier, fitted on the labelled ones among `docs`, rejects go. If none of them is labelled, it
+    says so and all stay."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        warnings.warn("no document is labelled, so none is rejected for its quality", stacklevel=2)
     score = _key(docs)
     return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(docs.columns)
 

@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, span_hash, text_chunks
+from .common import mix, prefix_hash, span_hash, stash, text_chunks
 
 FEATURES = 12
 
@@ -140,13 +140,16 @@ def score_texts(texts: list, model: dict | None) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, labels: DataFrame, fit_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, folds: int = 3) -> dict | None:
-    """Fit on at most `fit_docs` labelled documents outside the held-out fold of crc32(id as text)."""
+def train(
+    df: DataFrame, labels: DataFrame, fit_docs: int = 3000, fit_lines: int = 500_000, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 1, folds: int = 3
+) -> dict | None:
+    """Fit on a bounded sample: of the labelled documents of `df` outside the held-out fold of crc32(id as text), in an order drawn
+    from their ids, the first `fit_docs`, as long as their lines together are no more than `fit_lines` (48 bytes each).
+    Labels of other documents don't count. None if no document is labelled."""
     usable = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != held_out_fold))
-    picked = (
-        usable.groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").cast("int").alias("quality"))
-        .orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(fit_docs)
-    )
+    usable = usable.groupBy(F.col(id_col).alias("label_id")).agg(F.min("quality").cast("int").alias("quality"))
+    here = usable.join(df.select(F.col(id_col).alias("label_id")).distinct(), "label_id", "left_semi")
+    picked = here.orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(fit_docs)
 
     def run(batches):
         for batch in batches:
@@ -159,7 +162,11 @@ def train(df: DataFrame, labels: DataFrame, fit_docs: int = 3000, id_col: str =
 
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))  # `fit_docs` rows at most
-    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(fit_docs).collect()
+    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary")
+    rows = stash(rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")))  # `fit_docs` rows at most
+    drawn = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("lines", F.sum(F.length("x") / (4 * FEATURES)).over(drawn)).where(F.col("lines") <= fit_lines)
+    rows = rows.orderBy("doc_id").select("quality", "x").collect()
     if not rows:
         return None
     parts = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows]

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from provengine.llm import chat, decontamination, exact_substrings, fuzzy_substrings, jaccard, media, mixing, quality, sharding, tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,6 +108,25 @@ def test_mixing(docs, empty):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect()))
 
 
+@pytest.mark.parametrize("most_pieces", [7, 4096])
+def test_mixing_reaches_small_sources_beside_large_ones(spark, most_pieces):
+    """Sources of 435, 954 and 66,833 words, and one of three: each comes within a few words of its target, however few pieces there are."""
+    rng, rows = random.Random(1), []
+    for source, words in (("a", 435), ("b", 954), ("c", 66_833), ("d", 3)):
+        while words:
+            n = min(words, rng.randint(1, 90))
+            rows.append((len(rows), " ".join(["w"] * n), source))
+            words -= n
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), most_pieces=most_pieces).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    targets = {r.source: r.target for r in got}
+    assert targets["a"] == 1305 and targets["d"] == 9
+    assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
+
+
 def highest_quotients(targets: dict, most: dict, house: int) -> list:
     """The sources in the order in which they win seats."""
     seats, history = Counter(), []
@@ -596,6 +617,12 @@ def test_quality(spark, docs, empty):
     model = quality.train(table, labels)
     held = [r for r in quality.score_quality(table, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert np.mean([(r.quality_score >= 0.5) == (r.doc_id % 3 > 0) for r in held]) > 0.97
+    foreign = labels.unionByName(spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    same = quality.train(table, foreign)  # labels of other documents don't count against the bound
+    assert np.array_equal(same["weights"], model["weights"])
+    few = quality.train(table, foreign, fit_docs=50, fit_lines=120)
+    assert few is not None and not np.array_equal(few["weights"], model["weights"])
+    assert quality.train(table, labels, fit_lines=0) is None
     scored = quality.score_quality(docs, model)
     assert scored.count() == docs.count() and scored.where("quality_score < 0 OR quality_score > 1 OR quality_score IS NULL").count() == 0
     assert quality.train(table, labels.limit(0)) is None and quality.score_quality(empty, None).count() == 0
