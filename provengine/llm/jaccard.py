@@ -4,9 +4,10 @@ A document's set holds its distinct runs of `k` words (fingerprints of 64 bits);
 sequence as one. Documents link when |A and B| * 100 >= threshold * |A or B|. The steps:
 
 1. One pass gives each document its set's digest, size and count vector: tokens hashed into `groups`
-   groups, and the number in each group is a coordinate. Equal sets become one node.
-2. Blocks. Ordered by fingerprint, two linked sets share a token among the first n - ceil(t * n) + 1 of
-   either. Tokens that one node alone has are dropped; equal lists of nodes become one block. A block
+   groups, and the number in each group is a coordinate. Equal sets become one node. Each task also counts its tokens
+   in 2**22 buckets; added up in a tree and told by their logarithm, they are 4 MB whatever the corpus.
+2. Blocks. Ordered by how full a token's bucket is, rarest first, then by fingerprint, two linked sets share a token among
+   the first n - ceil(t * n) + 1 of either. So passages that many texts share come last, and make no blocks. Tokens that one node alone has are dropped; equal lists of nodes become one block. A block
    whose sets are too large together is dealt into pairs of tiles, so a task holds two tiles at most.
 3. In each block the points go into an R-tree (packed by size and coordinates, boxes over sums of
    coordinates); it is joined with itself from the root down. Of two boxes, the sum of the coordinate minima of their upper corners bounds any
@@ -67,9 +68,12 @@ def shingle_sets(texts: list, k: int = 5):
 
 
 def _nodes(df: DataFrame, k: int, groups: int) -> DataFrame:
-    """doc_id, row_key, n, node (64 bits of the set's digest; null without a set), point (group counts)."""
+    """doc_id, row_key, n, node (64 bits of the set's digest; null without a set), point (group counts); and one row a task with the
+    `counts` of its tokens by bucket, n = -1."""
 
     def run(batches):
+        names = ["doc_id", "row_key", "n", "node", "point", "counts"]
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
         for batch in batches:
             for from_ in range(0, batch.num_rows, 1000):
                 part = batch.slice(from_, 1000)
@@ -78,9 +82,40 @@ def _nodes(df: DataFrame, k: int, groups: int) -> DataFrame:
                     sizes.append(len(tokens))
                     nodes.append(_node(tokens))
                     points.append(_point(tokens, groups) if len(tokens) else None)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "row_key", "n", "node", "point"])
+                    np.add.at(counts, bucket_of(tokens), 1)
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=names)
+        none = pa.nulls(1, pa.int64())
+        yield pa.record_batch([none, none, pa.array([-1], pa.int32()), none, pa.nulls(1, pa.binary()), pa.array([zstandard.compress(counts.tobytes(), 1)])], names=names)
 
-    return df.mapInArrow(run, "doc_id long, row_key long, n int, node long, point binary")
+    return df.mapInArrow(run, "doc_id long, row_key long, n int, node long, point binary, counts binary")
+
+
+#: Buckets in which tokens are counted: a byte each when told to all tasks.
+BUCKET_BITS = 22
+
+
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _fullness(counted: DataFrame, fan: int = 32) -> np.ndarray:
+    """Of each bucket, four times the logarithm of its tokens: the tasks' counts, added up `fan` at a time."""
+
+    def add(batches):
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+        for batch in batches:
+            for one in batch.column(0):
+                more = np.frombuffer(zstandard.decompress(one.as_py()), dtype=np.uint32)
+                total = np.where(total > ~more, ~np.uint32(0), total + more)
+        yield pa.record_batch([pa.array([zstandard.compress(total.tobytes(), 1)])], names=["counts"])
+
+    left = counted.count()
+    while left > 1:
+        left = -(-left // fan)
+        counted = counted.repartition(left).mapInArrow(add, "counts binary")
+    rows = counted.collect()  # one
+    total = np.frombuffer(zstandard.decompress(rows[0]["counts"]), dtype=np.uint32) if rows else np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+    return np.rint(4 * np.log2(total + 1.0)).astype(np.uint8)
 
 
 def _node(tokens: np.ndarray) -> int | None:
@@ -98,8 +133,9 @@ def _counts(point: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(point[1:]), dtype=chr(point[0]))
 
 
-def _prefixes(df: DataFrame, k: int, threshold: int) -> DataFrame:
+def _prefixes(df: DataFrame, k: int, threshold: int, fullness: np.ndarray) -> DataFrame:
     """token, node: the tokens that a linked set must share, once for each node of a batch."""
+    sent = df.sparkSession.sparkContext.broadcast(fullness)  # 4 MB
 
     def run(batches):
         seen: set[int] = set()
@@ -112,7 +148,7 @@ def _prefixes(df: DataFrame, k: int, threshold: int) -> DataFrame:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    first = got[: len(got) - -(-threshold * len(got) // 100) + 1]
+                    first = rarest_first(got, sent.value)[: len(got) - -(-threshold * len(got) // 100) + 1]
                     tokens.append(first)
                     nodes.append(np.full(len(first), node, dtype=np.int64))
                 if tokens:
@@ -121,6 +157,11 @@ def _prefixes(df: DataFrame, k: int, threshold: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "token long, node long")
 
 
+def rarest_first(tokens: np.ndarray, fullness: np.ndarray) -> np.ndarray:
+    """Sorted tokens in the order of their buckets' fullness, then their own: the same for any two sets."""
+    return tokens[np.argsort(fullness[bucket_of(tokens)], kind="stable")]
+
+
 def _needed(a, b, threshold: int):
     """The least overlap that links sets of sizes a and b."""
     return -(-threshold * (a + b) // (100 + threshold))
@@ -315,23 +356,30 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 1024, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, component (null without a set), row_key, n_links (rows of `df` it links to): one row a row of `df`."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
-    rows = stash(_nodes(docs, k, groups))
-    nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
-
-    postings = _prefixes(docs, k, threshold)
+def _members(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """block, node, n: nodes that share a token of their prefixes; equal lists of nodes are one block."""
     # Counts are written, so that the join with them is one of two plain exchanges, in which a frequent token's rows can be split.
     shared = stash(postings.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"))
     # Lists of nodes: a token's list is known by its length and the combined hash of its nodes.
     lists = stash(postings.join(shared, "token").select("token", "node").distinct())
     named = stash(lists.groupBy("token").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("node")), F.min("node"), F.max("node")).alias("block")))
     members = stash(lists.join(named, "token").select("block", "node").distinct().join(nodes.select("node", "n"), "node"))
+    unstash(shared, named, lists)
+    return members
+
+
+def near_duplicates(df: DataFrame, k: int = 5, threshold: int = 80, groups: int = 1024, tile_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, component (null without a set), row_key, n_links (rows of `df` it links to): one row a row of `df`."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+    counted = stash(_nodes(docs, k, groups))
+    rows = counted.where("n >= 0").drop("counts")
+    nodes = stash(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies")))
+
+    members = _members(_prefixes(docs, k, threshold, _fullness(counted.where("n < 0").select("counts"))), nodes)
     blocks = _tiles(members, "block", tile_tokens).join(nodes, "node").repartition("block").sortWithinPartitions("block")
     # A node may be in many blocks; its set is sent once, to the group of all that surviving pairs connect.
     pairs = stash(_candidates(blocks, threshold).distinct())
-    unstash(shared, named, lists, members)
+    unstash(members)
     candidates = stash(connected_components(pairs).join(nodes.select("node", "n", "copies"), "node"))
 
     wanted = rows.join(candidates.select("node"), "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
