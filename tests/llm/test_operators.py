@@ -205,6 +205,25 @@ def test_jaccard(docs, empty, tile):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4_000_000, 250])
+def test_jaccard_header_makes_no_block(spark, tile):
+    """Otherwise unrelated texts that begin with the same 30 words share no block; real near copies with that header are still found."""
+    rng = random.Random(8)
+    header = " ".join(f"licence{k}" for k in range(30))
+    body = lambda: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(70))
+    texts = [f"{header} {body()}" for _ in range(1500)]
+    texts += [t + " more" for t in texts[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = df.withColumn("row_key", F.col("doc_id"))
+    counted = jaccard._nodes(docs, 5, 1024).cache()
+    nodes = counted.where("node IS NOT NULL").select("node", "n").distinct()
+    fullness = jaccard._fullness(counted.where("n < 0").select("counts"))
+    members = jaccard._members(jaccard._prefixes(docs, 5, 80, fullness), nodes)
+    assert members.groupBy("block").count().agg(F.max("count")).first()[0] <= 4
+    got = jaccard.near_duplicates(df, tile_tokens=tile).where("n_links > 0").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, d % 1500) for d in [*range(5), *range(1500, 1505)]}
+
+
 @pytest.mark.parametrize("tile", [4_000_000, 250])
 def test_jaccard_counts_every_link(spark, tile):
     base = [f"w{i}" for i in range(100)]
@@ -321,6 +340,20 @@ def scattered(rng):
     return [(d, " ".join(w)) for d, w in rows]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_fuzzy_exact_passage_among_its_parts(spark, seed):
+    """Two texts share 60 words; 90 others hold 35 of those in a row each, ten at each of nine places."""
+    rng = random.Random(seed)
+    make = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    passage = make(60)
+    texts = [make(40) + passage + make(40) for _ in range(2)] + [make(40) + passage[3 * k : 3 * k + 35] + make(40) for k in range(9) for _ in range(10)]
+    rng.shuffle(texts)
+    held = [k for k, t in enumerate(texts) if t[40:100] == passage]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = fuzzy_substrings.shared_passages(df).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.start, r.end, r.n_equal) for r in got if {r.doc_id, r.ref_doc_id} == set(held)] == [(held[1], held[0], 40, 100, 60)]
+
+
 def test_fuzzy_passage_of_scattered_seeds(spark):
     rows = scattered(random.Random(12))
     got = [(r.doc_id, r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end, r.n_equal) for r in fuzzy_substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
@@ -368,8 +401,9 @@ def test_fuzzy_recall(spark, identity, recall):
 def test_met_is_the_same_in_any_chunks(spark, most):
     rng = np.random.default_rng(2)
     rows = sorted({(int(s), int(c), int(n), int(p)) for s, c, n, p in zip(rng.integers(0, 6, 80), rng.integers(0, 3, 80), rng.integers(0, 9, 80), rng.integers(0, 50, 80))} | {(9, 0, n, 1) for n in range(30)})
-    df = spark.createDataFrame(rows, "seed long, ahead long, node long, place int")
-    order = ["seed", "ahead", "node", "place"]
+    df = spark.createDataFrame(rows, "seed long, ahead long, node long, place int").withColumns({c: F.lit(0).cast("long") for c in ("ahead2", "ahead3")})
+    order = ["seed", *fuzzy_substrings.CONTEXT, "node", "place"]
+    df = df.select(order)
     dealt = fuzzy_substrings.stash(fuzzy_substrings._matches(df.repartitionByRange(3, *order).sortWithinPartitions(*order), most))
     cross = fuzzy_substrings._across(dealt).collect()
     got = {(r.node, r.place, r.other, r.other_place) for r in dealt.where("rim = 0").collect() + cross}
