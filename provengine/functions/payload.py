@@ -1,4 +1,4 @@
-"""Checks of payload bytes as column expressions, and one Arrow job for well-formedness."""
+"""Checks of payload bytes as column expressions."""
 
 from __future__ import annotations
 
@@ -53,36 +53,34 @@ def content_digest(content: Column) -> Column:
     return F.struct(F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size_bytes"))
 
 
-def xml_wellformed(df: DataFrame, key: str, content: str) -> DataFrame:
-    """key, well_formed, root, problem: a full parse; declared entities are refused."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [_parse(x.as_py()) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), *[pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.string()))]], names=[key, "well_formed", "root", "problem"])
+# What may stand before the root element, and a document type that declares entities.
+_MISC = "(?:\\s++|<!--.*?-->|<\\?.*?\\?>)*+"
+_PROLOG = f"(?s)^\ufeff?{_MISC}(?:<!DOCTYPE[^>\\[]*+(?:\\[[^\\]]*+\\]\\s*+)?>)?"
+_ENTITIES = f"(?s)^\ufeff?{_MISC}<!DOCTYPE[^>\\[]*+\\[[^\\]]*?<!ENTITY"
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(content).cast("binary").alias("content")).mapInArrow(run, f"{key} {kind}, well_formed boolean, root string, problem string")
 
+def _xml_text(content: Column) -> Column:
+    """Bytes as text, by byte order mark or declaration: UTF-8, UTF-16, Latin-1 and ASCII; NULL if they aren't that."""
+    said = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), "^<\\?xml[^>]*?encoding\\s*=\\s*[\"']([A-Za-z0-9._-]+)", 1))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE")
+    return F.when(marked, F.decode(content, "UTF-16")).when(said.isin("iso-8859-1", "latin1", "us-ascii"), F.decode(content, "ISO-8859-1")).otherwise(F.try_validate_utf8(content.cast("string")))
 
-def _parse(content: bytes | None) -> tuple[bool, str | None, str | None]:
-    from xml.parsers import expat
 
-    root: list[str] = []
-    parser = expat.ParserCreate()
-
-    def refuse(*_):
-        raise ValueError("entity")
-
-    parser.StartElementHandler = lambda name, _: root.append(name) if not root else None
-    parser.EntityDeclHandler = refuse
-    parser.ExternalEntityRefHandler = refuse
-    try:
-        parser.Parse(content or b"", True)
-    except ValueError:
-        return False, None, "unsafe entity"
-    except expat.ExpatError:
-        return False, None, "not well-formed"
-    return True, root[0] if root else None, None
+def xml_wellformed(df: DataFrame, key: str, content: str) -> DataFrame:
+    """key, well_formed, root, problem: a full parse by Spark's XML functions; declared entities are refused.
+
+    The parser stops after the root element and says nothing of what follows. So what stands after the prolog is also put into an
+    element that no text can close (named by the text's digest), which must parse and hold one element and no text."""
+    parsed = lambda text: F.from_xml(text, "broken string", {"columnNameOfCorruptRecord": "broken"})["broken"].isNull()
+    name = F.concat(F.lit("w"), F.md5("text"))
+    inside = F.concat(F.lit("<"), name, F.lit(">"), F.regexp_replace("text", _PROLOG, ""), F.lit("</"), name, F.lit(">"))
+    rows = df.select(key, _xml_text(F.col(content).cast("binary")).alias("text"))
+    rows = rows.select(key, F.regexp_replace("text", "^\ufeff", "").alias("text"), F.col("text").rlike(_ENTITIES).alias("unsafe")).withColumn("inside", inside)
+    fine = F.col("text").isNotNull() & ~F.col("unsafe") & (F.trim("text") != "") & parsed(F.col("text")) & parsed(F.col("inside"))
+    rows = rows.withColumn("tree", F.when(fine, F.from_xml("inside", "variant", {"valueTag": "#text"})))
+    names = F.map_keys(F.try_variant_get("tree", "$", "map<string, variant>"))
+    kinds = F.transform(F.map_values(F.try_variant_get("tree", "$", "map<string, variant>")), F.schema_of_variant)
+    one = (F.size(names) == 1) & (F.get(names, F.lit(0)) != "#text") & ~F.get(kinds, F.lit(0)).startswith("ARRAY")
+    good = F.coalesce(one, F.lit(False))
+    problem = F.when(F.col("unsafe"), "unsafe entity").when(~good, "not well-formed")
+    return rows.select(key, good.alias("well_formed"), F.when(good, F.get(names, F.lit(0))).alias("root"), problem.alias("problem"))

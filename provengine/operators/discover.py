@@ -98,7 +98,8 @@ def preview(works: DataFrame, q: Query, limit: int = 10) -> DataFrame:
 
 
 def query_documents(documents: DataFrame, artifacts: DataFrame, search: str | None = None, oa_status: str | None = None, has_pdf: bool | None = None, has_xml: bool | None = None, year: int | None = None, journal: str | None = None, status: str | None = None) -> DataFrame:
-    """Documents that meet all given filters (wildcards in `search` work as in LIKE)."""
+    """Documents that meet all given filters (wildcards in `search` work as in LIKE). Letters of every script are compared without
+    case, in the search and in the text alike."""
     out = documents
     like = lambda c, needle: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).like(f"%{needle.strip().lower()}%")
     if search:

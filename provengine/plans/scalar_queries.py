@@ -27,9 +27,17 @@ def normalize_doi(spark, sf_dir):
     return view(spark, sf_dir, "OBS").select("seq", S.normalize_doi("raw_doi").alias("doi"))
 
 
-@query("is_valid_doi", "SELECT seq, raw_doi IS NOT NULL AS valid FROM {OBS} o")
+#: Spellings, # for a number, and whether each is a DOI's.
+_SPELLINGS = (
+    ("https://doi.org/10.1234/A#", True), ("http://dx.doi.org/10.1234/#", True), ("<10.1234/#>", True), ("10.1234/#.,;", True), ("DOI:10.1234/ABC#", True), ("10.1234/foo(bar#)", True), ("10.1234/a:#;c", True),
+    ("10.12/#", False), ("10.1234", False), ("10.1234/", False), ("doi:", False), ("not-a-doi #", False), ("https://example.org/#", False), ("11.1234/#", False), ("10.abcd/#", False), ("", False), ("   ", False), (None, False),
+)
+
+
+@query("is_valid_doi", f"SELECT seq, ([{', '.join(str(good).lower() for _, good in _SPELLINGS)}])[seq % {len(_SPELLINGS)} + 1] AS valid FROM {{OBS}} o")
 def is_valid_doi(spark, sf_dir):
-    return view(spark, sf_dir, "OBS").select("seq", S.is_valid_doi("raw_doi").alias("valid"))
+    spelling = F.get(F.array(*[F.lit(text).cast("string") for text, _ in _SPELLINGS]), (F.col("seq") % len(_SPELLINGS)).cast("int"))
+    return view(spark, sf_dir, "OBS").select("seq", S.is_valid_doi(F.replace(spelling, F.lit("#"), F.col("seq").cast("string"))).alias("valid"))
 
 
 @query("slugify", f"SELECT doc_id, {_SLUG.format('text')} AS slug FROM documents")

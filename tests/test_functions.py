@@ -158,3 +158,29 @@ def test_partition_count_changes_nothing(spark):
         seen.add(str(sorted(map(tuple, ledger.first_values(obs.repartition(int(n)), ("title",)).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(seen) == 1
+
+
+def test_xml_against_a_parser(spark):
+    from xml.parsers import expat
+
+    texts = [
+        "<a/>", "<a></a>", "<a/><b/>", "<a/> junk", "<a>1</a><a>2</a>", '<a x="1"/>', "junk<a/>", "", "  ", "<a>", "<a/><!-- c -->", "<x:a/>", "<a><b/><b/></a>", "<a/><a/>", "<_VALUE/>", "</w><w>", "<a/></w><w><b/>", "<A/><a/>", "<a/> <", "<a/>&b;", "<a>&b;</a>",
+        '<?xml version="1.0" encoding="UTF-8"?>\n<!-- x -->\n<!DOCTYPE a SYSTEM "x.dtd">\n<a q="\'>">1</a>\n', '<?xml version="1.0"?>', ' <?xml version="1.0"?><a/>', "<a><![CDATA[ ]]></a>", "<a/><![CDATA[x]]>", "<a/>&#65;", "<!-- a -- b --><a/>", "<?pi?><a/>", "<!DOCTYPE a><a/>",
+        "<!DOCTYPE a [<!ELEMENT a ANY>]><a/>", "<a/><!DOCTYPE a>", '<a b="<"/>', "<a>&#0;</a>", "<a>&lt;]]&gt;</a>", "<a>]]></a>", '<a b="1" b="2"/>', "<1a/>", "<a><b></a></b>", "<a>1</a", "<a b=1/>", "\ufeff<a/>", "<a>\x01</a>", "text", "<a>" + "<b>x</b>" * 3000 + "</a>", " " * 20000 + "<a/>",
+    ]
+    contents = [t.encode() for t in texts] + [b"<a>\xff</a>", '<?xml version="1.0" encoding="ISO-8859-1"?><a>\xe9</a>'.encode("latin-1"), "<a>\xe9</a>".encode("utf-16"), None]
+
+    def expected(content):
+        root, parser = [], expat.ParserCreate()
+        parser.StartElementHandler = lambda name, _: root.append(name)
+        try:
+            parser.Parse(content or b"", True)
+        except expat.ExpatError:
+            return False, None
+        return True, root[0]
+
+    df = spark.createDataFrame(list(enumerate(contents)), "k long, content binary")
+    got = {r.k: (r.well_formed, r.root) for r in payload.xml_wellformed(df, "k", "content").collect()}
+    assert {k: got[k] for k in got if got[k] != expected(contents[k])} == {} and len(got) == len(contents)
+    unsafe = spark.createDataFrame([(1, b'<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>'), (2, b'<a><!-- <!DOCTYPE a [<!ENTITY x "y">]> --></a>')], "k long, content binary")
+    assert {r.k: r.problem for r in payload.xml_wellformed(unsafe, "k", "content").collect()} == {1: "unsafe entity", 2: None}
