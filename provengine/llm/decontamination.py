@@ -95,7 +95,9 @@ def find_contamination(
     # The one pass over the texts. explode() of one array keeps the fingerprints as a column, where they would be made anew for each shingle.
     read = keyed.select("doc_id", "row_key", F.explode(F.array(_codes(F.col("text")))).alias("codes"))
     read = read.select("doc_id", "row_key", F.size("codes").alias("n_words"), F.inline(_places(F.col("codes"), sizes)))
-    # The benchmark's tokens are written, so their size is known: sent along only if small, else both sides are dealt by token.
+    # The benchmark's tokens are written, so their size is known: sent along only if small, else both sides are dealt by token;
+    # so the row of a document itself, which has none, gets a number of its own.
+    read = read.withColumn("token", F.coalesce("token", "row_key"))
     kept = stash(read.join(tokens.withColumn("there", F.lit(True)), "token", "left").where("there OR place = -1").drop("there"))
     places = kept.where("place >= 0")
 
