@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where the pieces of a hash that sums are made of begin: short, so that no sum of longs overflows.
+SHIFTS = (0, 24, 48)
 # The moves a document's state may make.
 ALLOWED = {
     "DISCOVERED": ("NORMALIZED", "SKIPPED", "FAILED_PERMANENT"),
@@ -31,21 +33,41 @@ def missing(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     return artifacts.join(files.select("document_id", "kind"), ["document_id", "kind"], "left_anti")
 
 
-def ledger_digest(table: DataFrame, columns: list[str], buckets: int | None = None, bucket_rows: int = 1 << 18) -> DataFrame:
-    """(rows, digest): row digests, then one for each bucket over its sorted row digests, then one over the buckets.
+def _row_digests(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The SHA-256 of each row's texts, as bytes."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    return table.select(F.unhex(F.sha2(text, 256)).alias("row"))
+
+
+def _sums() -> dict[str, Column]:
+    """The number of rows, and sums of 24-bit pieces of a hash of row digests; they tell two tables apart without a shuffle."""
+    h = F.xxhash64("row")
+    return {"n": F.count("*")} | {f"sum_{k}": F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(0xFFFFFF))) for k in SHIFTS}
+
 
-    A bucket holds 64 characters a row. Unless their number is given there are 256, doubled until `bucket_rows` rows
-    fit in one on average; the number follows from that of the rows, which stands beside the digest."""
+def ledger_sums(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, sum_0, sum_24, sum_48) of a table; `ledger_digest` gives the sums too."""
+    return _row_digests(table, columns).agg(*[c.alias(k) for k, c in _sums().items()])
+
+
+def ledger_digest(table: DataFrame, columns: list[str], buckets: int | None = None, bucket_rows: int = 1 << 18, rows: int | None = None, sums: bool = False) -> DataFrame:
+    """(rows, digest), on demand with (sum_0, sum_24, sum_48): row digests, then one for each bucket over its sorted row digests, then one over the buckets.
+
+    A bucket holds 32 bytes a row, and 64 characters a row when it is hashed. Unless their number is given there are 256, doubled until
+    `bucket_rows` rows fit in one on average; the number follows from that of the rows, which stands beside the digest and
+    is counted unless it is given. Row digests are dealt by bucket as bytes, and only then gathered: a task of the scan sees
+    all buckets and can combine nothing."""
     if buckets is None:
-        n, buckets = table.count(), 256
+        n, buckets = table.count() if rows is None else rows, 256
         while n > buckets * bucket_rows:
             buckets *= 2
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    rows = table.select(F.sha2(text, 256).alias("row"))
-    bucket = F.pmod(F.conv(F.substring("row", 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    each = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ","), 256).alias("d"), F.count("*").alias("n"))
+    bucket = F.pmod(F.conv(F.hex(F.substring("row", 1, 4)), 16, 10).cast("long"), F.lit(buckets))
+    dealt = _row_digests(table, columns).select("row", bucket.alias("bucket")).repartition("bucket")
+    hexes = F.transform(F.sort_array(F.collect_list("row")), lambda r: F.lower(F.hex(r)))
+    each = dealt.groupBy("bucket").agg(F.sha2(F.array_join(hexes, ","), 256).alias("d"), *[c.alias(k) for k, c in _sums().items()])
     whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda b: b["d"]), ","), 256)
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), whole.alias("digest"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), whole.alias("digest"), *[F.sum(f"sum_{k}").alias(f"sum_{k}") for k in SHIFTS])
+    return out if sums else out.select("rows", "digest")
 
 
 def audit_columns(tables: dict[str, DataFrame], expected: dict[str, list[str]]) -> list[str]:

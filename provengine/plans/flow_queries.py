@@ -73,10 +73,8 @@ _TABLES = {
 @query("snk_evidence_export", " UNION ALL ".join(_digest_sql(n, c, "{%s} %s" % (v, n[:3])) for n, (v, c, _) in _TABLES.items()))
 def snk_evidence_export(spark, sf_dir):
     """The bundle is written; the manifest is that of what is read back from it."""
-    at = M.scratch(spark)
     ledger = {n: view(spark, sf_dir, v).select(*c) for n, (v, c, _) in _TABLES.items()}
-    K.export_ledger(ledger, {n: key for n, (_, _, key) in _TABLES.items()}, f"{at}/bundle")
-    return K.export_manifest({n: spark.read.schema(t.schema).json(f"{at}/bundle/{n}") for n, t in ledger.items()})
+    return K.export_ledger(ledger, {n: key for n, (_, _, key) in _TABLES.items()}, f"{M.scratch(spark)}/bundle")
 
 
 def evidence(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import redact_url
-from ..operators.audit import audit_foreign_keys, audit_raw_sha, audit_unique, good_json, ledger_digest
+from ..operators.audit import audit_foreign_keys, audit_raw_sha, audit_unique, good_json, ledger_digest, ledger_sums
 from .versions import current, drop_unused, publish
 
 
@@ -80,11 +80,19 @@ def export_manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def export_ledger(tables: dict[str, DataFrame], keys: dict[str, str], out: str) -> DataFrame:
-    """Write each table as JSON lines in the order of its id, and the manifest beside them."""
-    for name, table in tables.items():
-        table.repartitionByRange(keys[name]).sortWithinPartitions(keys[name]).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{out}/{name}")
-    manifest = export_manifest(tables)
-    manifest.write.mode("errorifexists").json(f"{out}/manifest")
+    """Write each table as compressed JSON lines in the order of its id, and beside them the manifest of what is read back.
+    An error if that isn't what was given: the given rows are compared by sums, so row digests are dealt out once."""
+    lines = []
+    for name, table in sorted(tables.items()):
+        table.repartitionByRange(keys[name]).sortWithinPartitions(keys[name]).write.mode("errorifexists").options(ignoreNullFields="false", compression="gzip").json(f"{out}/{name}")
+        given = ledger_sums(table, sorted(table.columns)).first()
+        back = table.sparkSession.read.schema(table.schema).json(f"{out}/{name}")
+        found = ledger_digest(back, sorted(table.columns), rows=given["n"], sums=True).first()
+        if given["n"] != found["rows"] or any(given[k] != found[k] for k in given.asDict() if k != "n"):
+            raise ValueError(f"{name} isn't read back as it was given")
+        lines.append((found["rows"], found["digest"], name))
+    manifest = table.sparkSession.createDataFrame(lines, "rows long, digest string, name string")  # one row a table
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{out}/manifest")
     return manifest
 
 
