@@ -53,10 +53,19 @@ def unique_by(items: Column, key) -> Column:
     return let(F.struct(keyed.alias("p"), F.transform(keyed, lambda p: p["k"]).alias("k")), lambda s: F.transform(F.filter(s["p"], lambda p, i: F.array_position(s["k"], p["k"]) == i + 1), lambda p: p["x"]))
 
 
+def inverted_index(words: Column) -> Column:
+    """The map of token to places of a list of words, by one sort inside the row."""
+    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("token"), k.cast("long").alias("at"))))
+    with_starts = lambda p: F.struct(p.alias("p"), F.filter(F.transform(p, lambda x, k: F.when((k == 0) | (F.get(p, k - 1)["token"] != x["token"]), k)), lambda k: k.isNotNull()).alias("starts"))
+    run = lambda s, start, k: F.slice(s["p"], start + 1, F.coalesce(F.get(s["starts"], k + 1), F.size(s["p"])) - start)
+    entry = lambda s, start, k: F.struct(F.get(s["p"], start)["token"].alias("token"), F.transform(run(s, start, k), lambda x: x["at"]).alias("places"))
+    return F.map_from_entries(let(let(placed, with_starts), lambda s: F.transform(s["starts"], lambda start, k: entry(s, start, k))))
+
+
 def rebuild_abstract(index: Column) -> Column:
     """Text of an inverted index (a map of token to places): negative places dropped, the lesser token on a clash."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("token")))))
-    sorted_ = F.array_sort(F.filter(places, lambda p: p["at"].isNotNull() & (p["at"] >= 0)))
+    sorted_ = F.sort_array(F.filter(places, lambda p: p["at"].isNotNull() & (p["at"] >= 0)))
     first = let(sorted_, lambda all_: F.filter(all_, lambda p, i: (i == 0) | (F.get(all_, i - 1)["at"] != p["at"])))
     return clean_text(F.array_join(F.transform(first, lambda p: p["token"]), " "))
 

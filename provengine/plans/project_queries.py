@@ -72,11 +72,8 @@ def normalize_unpaywall(spark, sf_dir):
 
 @query("rebuild_abstract", "SELECT doc_id, nullif(trim(regexp_replace(text, '[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+', ' ', 'g')), '') AS abstract FROM documents")
 def rebuild_abstract(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(S.clean_text(F.coalesce("text", F.lit(""))), " ")).alias("pos", "token"))
-    index = words.groupBy("doc_id", "token").agg(F.collect_list(F.col("pos").cast("long")).alias("places"))
-    whole = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("index"))
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(whole, "doc_id", "left").select("doc_id", P.rebuild_abstract(F.col("index")).alias("abstract"))
+    words = F.split(S.clean_text(F.coalesce("text", F.lit(""))), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", P.rebuild_abstract(P.inverted_index(words)).alias("abstract"))
 
 
 @query("authors_list", "SELECT seq, CASE WHEN author_2 IS NULL OR author_2 = author_1 THEN author_1 ELSE author_1 || '|' || author_2 END AS authors FROM {OBS} o")

@@ -7,10 +7,13 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from provengine.operators import audit
+from provengine.operators import audit, project
+from provengine.plans import QUERIES
 from provengine.sources import sinks as K
 from provengine.streaming import stream as M
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -41,3 +44,12 @@ def test_export_is_compressed_and_read_back(spark):
     assert files and all(f.endswith(".json.gz") for f in files) and sum(len(gzip.open(f).readlines()) for f in files) == 300
     with pytest.raises(ValueError, match="read back"):
         K.export_ledger({"a": spark.range(3).select("id", F.expr("timestamp'2020-01-01 00:00:00.000001'").alias("v"))}, {"a": "id"}, f"{at}/other")
+
+
+def test_abstracts_are_rebuilt_inside_the_row(spark):
+    assert "Exchange" not in plan(QUERIES["rebuild_abstract"](spark, SF))
+    long = ["w%d" % (k * k % 97) for k in range(5000)]
+    df = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, []), (3, None), (4, long)], "k int, w array<string>")
+    got = {r.k: r.m for r in df.select("k", project.inverted_index(F.col("w")).alias("m")).collect()}
+    assert got[1] == {"b": [0, 2], "a": [1], "": [3]} and got[2] == {} and got[3] is None
+    assert got[4] == {w: [k for k, x in enumerate(long) if x == w] for w in set(long)}
