@@ -25,9 +25,17 @@ def is_challenged(url) -> Column:
     return F.coalesce(host.isin(*CHALLENGED_HOSTS) & path.contains("/pdf"), F.lit(False))
 
 
-def rank_candidates(candidates: DataFrame) -> DataFrame:
-    """Candidates of each (document, kind) in the order to try them, each url once, with `rank` from 1."""
-    keyed = candidates.repartition("document_id").withColumns({"challenged": is_challenged("url").cast("int"), "priority": _place(F.col("source"), SOURCE_ORDER)})
+def by_document(rows: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Rows dealt by document into so many partitions, by their count, that one holds about `most` rows at most. The sorts of
+    a task hold a partition each, and adaptive execution joins partitions only where their number is left to it."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return rows.repartition(parts, "document_id")
+
+
+def rank_candidates(candidates: DataFrame, dealt: bool = False) -> DataFrame:
+    """Candidates of each (document, kind) in the order to try them, each url once, with `rank` from 1; `dealt` says that
+    they come from `by_document`."""
+    keyed = (candidates if dealt else by_document(candidates)).withColumns({"challenged": is_challenged("url").cast("int"), "priority": _place(F.col("source"), SOURCE_ORDER)})
     order = ["challenged", "priority", "offered_index", "url"]
     best = keyed.withColumn("again", F.row_number().over(Window.partitionBy("document_id", "kind", "url").orderBy(*order))).where("again = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("document_id", "kind").orderBy(*order)).cast("long")).drop("again")
@@ -36,7 +44,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 def rank_oa_locations(locations: DataFrame) -> DataFrame:
     """The best location first, the others by host type, version and url; repeats of (pdf_url, url) dropped."""
     clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    keyed = locations.withColumns(
+    keyed = by_document(locations).withColumns(
         {
             "later": (~F.col("is_best")).cast("int"), "host_rank": F.when(F.col("is_best"), 0).otherwise(_place(clean("host_type"), HOST_ORDER)),
             "version_rank": F.when(F.col("is_best"), 0).otherwise(_place(clean("version"), VERSION_ORDER)), "name": F.coalesce("pdf_url", "url", F.lit("")),

@@ -322,6 +322,7 @@ _WALK = f"(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY priori
     LEFT JOIN (SELECT x.document_id, arg_max(x.url, x.step) AS last_error_url FROM {_WALK} x JOIN (SELECT document_id, min(step) FILTER (succeeds) AS at FROM {_WALK} y GROUP BY document_id) z ON z.document_id = x.document_id WHERE z.at IS NULL OR x.step < z.at GROUP BY x.document_id) e ON e.document_id = w.document_id""",
 )
 def fallback_pick(spark, sf_dir):
-    once = view(spark, sf_dir, "CAND").groupBy("document_id", "kind", "url", "source", "offered_index").agg(F.bool_or("succeeds").alias("succeeds"))
-    ranked = R.rank_candidates(once).where("kind = 'pdf'")
+    offered = R.by_document(view(spark, sf_dir, "CAND"))
+    once = offered.groupBy("document_id", "kind", "url", "source", "offered_index").agg(F.bool_or("succeeds").alias("succeeds"))
+    ranked = R.rank_candidates(once, dealt=True).where("kind = 'pdf'")
     return R.fallback_outcome(ranked, F.col("priority"))

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from provengine.operators import audit, project
+from provengine.operators import audit, project, rank
 from provengine.plans import QUERIES
 from provengine.sources import sinks as K
 from provengine.streaming import stream as M
@@ -53,3 +53,14 @@ def test_abstracts_are_rebuilt_inside_the_row(spark):
     got = {r.k: r.m for r in df.select("k", project.inverted_index(F.col("w")).alias("m")).collect()}
     assert got[1] == {"b": [0, 2], "a": [1], "": [3]} and got[2] == {} and got[3] is None
     assert got[4] == {w: [k for k, x in enumerate(long) if x == w] for w in set(long)}
+
+
+def test_candidates_are_dealt_once_by_their_number(spark):
+    text = plan(QUERIES["fallback_pick"](spark, SF))
+    assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in text
+    rows = spark.range(1000).select((F.col("id") % 50).alias("document_id"), "id")
+    few, many = (rank.by_document(rows, most) for most in (10, 100))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (100, 10)
+    assert few.select("document_id", F.spark_partition_id()).distinct().count() == 50
+    for name in ("rank_candidates", "rank_oa_locations"):
+        assert plan(QUERIES[name](spark, SF)).count("Exchange hashpartitioning") == 1
