@@ -107,12 +107,27 @@ def audit_raw_sha(raw: Column, recorded: Column) -> Column:
 
 
 def audit_foreign_keys(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Broken references as (reference, value, rows), over (table, column, target, target column)."""
+    """Broken references as (reference, value, rows), over (table, column, target, target column).
+
+    The references to one column and its values meet in one grouping, which combines before the shuffle; nothing is
+    sorted, and a task holds one table of counts. Those of another type than the target are joined with it."""
+    kind = lambda t, c: tables[t].select(c).schema[0].dataType
+    value = F.col("value").cast("string").alias("value")
+    alike: dict[tuple[str, str], list[tuple[str, str]]] = {}
     parts = []
     for table, column, target, target_column in keys:
+        if kind(table, column) == kind(target, target_column):
+            alike.setdefault((target, target_column), []).append((table, column))
+            continue
         child = tables[table].where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
         parent = tables[target].select(F.col(target_column).alias("value")).distinct()
-        parts.append(child.join(parent, "value", "left_anti").select(F.lit(f"{table}.{column}").alias("reference"), F.col("value").cast("string").alias("value"), "rows"))
+        parts.append(child.join(parent, "value", "left_anti").select(F.lit(f"{table}.{column}").alias("reference"), value, "rows"))
+    for (target, target_column), mine in alike.items():
+        rows = [tables[t].select(F.col(c).alias("value"), F.lit(k).alias("of")) for k, (t, c) in enumerate([(target, target_column), *mine])]
+        counts = [F.count_if(F.col("of") == k).alias(f"rows_{k}") for k in range(len(rows))]
+        each = reduce(DataFrame.unionByName, rows).where("value IS NOT NULL").groupBy("value").agg(*counts).where("rows_0 = 0")
+        found = F.array(*[F.struct(F.lit(f"{t}.{c}").alias("reference"), F.col(f"rows_{k}").alias("rows")) for k, (t, c) in enumerate(mine, 1)])
+        parts.append(each.select(value, F.explode(found).alias("x")).where("x.rows > 0").select("x.reference", "value", "x.rows"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -64,3 +64,15 @@ def test_candidates_are_dealt_once_by_their_number(spark):
     assert few.select("document_id", F.spark_partition_id()).distinct().count() == 50
     for name in ("rank_candidates", "rank_oa_locations"):
         assert plan(QUERIES[name](spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_references_meet_their_target_in_one_grouping(spark):
+    text = plan(QUERIES["audit_foreign_keys"](spark, SF))
+    assert "Join" not in text and "Sort" not in text and text.count("Exchange hashpartitioning") == 1
+    tables = {
+        "a": spark.createDataFrame([(1,), (1,), (2,), (None,), (9,)], "r long"), "b": spark.createDataFrame([(2,), (8,), (9,)], "r long"), "c": spark.createDataFrame([("1",), ("7",), ("7",)], "r string"),
+        "d": spark.createDataFrame([(1,), (1,), (None,)], "k long"),
+    }
+    got = audit.audit_foreign_keys(tables, [(t, "r", "d", "k") for t in "abc"])
+    assert got.columns == ["reference", "value", "rows"]
+    assert sorted(map(tuple, got.collect())) == [("a.r", "2", 1), ("a.r", "9", 1), ("b.r", "2", 1), ("b.r", "8", 1), ("b.r", "9", 1), ("c.r", "7", 2)]
