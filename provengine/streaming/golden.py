@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -70,9 +68,10 @@ def records_of(facts: DataFrame, schema: StructType) -> DataFrame:
 class Golden:
     """The table: parts of facts below root/parts, versions of the list of parts below root/versions.
 
-    Each batch folds what it brings with what is known of the documents it touches, and writes those documents anew as
-    one part; what a document is, is in its newest part. A batch that is replayed starts from the version before
-    it. After `most_parts` parts all are folded into one; parts that no recent version names are deleted."""
+    Each batch folds what it brings and writes that as one part, without a look at the parts before: the least fact counts, so
+    facts fold in any order and twice as well as once, and readers fold the parts of a version. A batch that is
+    replayed starts from the version before it. After `most_parts` parts all are folded into one; parts that no
+    recent version names are deleted."""
 
     def __init__(self, root: str, most_parts: int = 8):
         self.root, self.most_parts = root, most_parts
@@ -80,14 +79,9 @@ class Golden:
     def take(self, obs: DataFrame, number: int) -> None:
         spark = obs.sparkSession
         _, parts = current(spark, f"{self.root}/versions", number)
-        new = fold(facts_of(obs))
-        if parts:
-            touched = new.select("document_id").distinct()
-            new = fold(self._newest(spark, parts).join(touched, "document_id", "left_semi").unionByName(new))
-        name = self._write(new, f"b{number}")
-        parts = [*parts, name]
+        parts = [*parts, self._write(fold(facts_of(obs)), f"b{number}")]
         if len(parts) > self.most_parts:
-            parts = [self._write(self._newest(spark, parts), f"all{number}")]
+            parts = [self._write(self._folded(spark, parts), f"all{number}")]
         publish(spark, f"{self.root}/versions", number, parts)
         drop_unused(spark, f"{self.root}/versions", f"{self.root}/parts")
 
@@ -95,19 +89,15 @@ class Golden:
         facts.repartition("document_id").sortWithinPartitions("document_id").write.mode("overwrite").parquet(f"{self.root}/parts/{name}")
         return name
 
-    def _newest(self, spark, parts: list[str]) -> DataFrame:
-        """The facts of each document in its newest part."""
-        read = [spark.read.schema(FACTS).parquet(f"{self.root}/parts/{p}").withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
-        every = reduce(DataFrame.unionByName, read)
-        if len(parts) == 1:
-            return every.drop("part")
-        last = every.groupBy("document_id").agg(F.max("part").alias("part"))
-        return every.join(last, ["document_id", "part"], "left_semi").drop("part")
+    def _folded(self, spark, parts: list[str]) -> DataFrame:
+        """The facts that count in these parts. They are dealt by document once: a part holds a fact of each key at most."""
+        every = spark.read.schema(FACTS).parquet(*[f"{self.root}/parts/{p}" for p in parts])
+        return fold(every.repartition("document_id")) if len(parts) > 1 else every
 
     def read(self, spark, schema: StructType) -> DataFrame:
         """The records of the newest version."""
         _, parts = current(spark, f"{self.root}/versions")
-        return records_of(self._newest(spark, parts), schema)
+        return records_of(self._folded(spark, parts), schema)
 
 
 def stream_merge(stream: DataFrame, root: str, most_parts: int = 8) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provengine.operators import audit, project, rank
 from provengine.plans import QUERIES
 from provengine.sources import sinks as K
+from provengine.streaming import golden
 from provengine.streaming import stream as M
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +77,18 @@ def test_references_meet_their_target_in_one_grouping(spark):
     got = audit.audit_foreign_keys(tables, [(t, "r", "d", "k") for t in "abc"])
     assert got.columns == ["reference", "value", "rows"]
     assert sorted(map(tuple, got.collect())) == [("a.r", "2", 1), ("a.r", "9", 1), ("b.r", "2", 1), ("b.r", "8", 1), ("b.r", "9", 1), ("c.r", "7", 2)]
+
+
+def test_golden_batches_write_what_they_bring(spark):
+    """A batch neither reads nor writes what is known of its documents; readers and foldings of parts count each fact once."""
+    root = M.scratch(spark)
+    table = golden.Golden(root, most_parts=2)
+    frames = [spark.createDataFrame([(d, 10 * k + n, f"{d} {k}", [f"a{k}", "a"]) for n, d in enumerate("pq")], "document_id string, seq long, title string, authors array<string>") for k in (3, 1, 2, 1)]
+    for k, frame in enumerate(frames):
+        table.take(frame, k)
+        if k < 2:
+            written = spark.read.parquet(f"{root}/parts/b{k}")
+            assert written.where("field = 'title'").count() == 2 and written.where("field = 'authors'").count() == 4
+    got = table.read(spark, frames[0].schema)
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == [("p", "p 1", ["a1", "a", "a2", "a3"]), ("q", "q 1", ["a1", "a", "a2", "a3"])]
