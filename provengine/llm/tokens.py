@@ -251,6 +251,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _byte_letters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, or one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, dtype="<u4")
+    out[seen] = seen
+    hidden = np.setdiff1d(np.arange(256), seen)
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
+
+
 class PieceEncoder:
     """The library's ids, remembered by piece.
 
@@ -274,9 +285,10 @@ class PieceEncoder:
         cut = told["pre_tokenizer"] or {}
         self.known_form = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
         self.added = [t["content"].encode() for t in told["added_tokens"]]
-        if self.known_form:  # pieces come cut already, a line feed between two
-            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.known_form = self.known_form and all(token.isascii() for token in self.added)
+        if self.known_form:  # pieces come cut already, in the characters that stand for bytes, which no blank is
+            self.letters = _byte_letters()
+            self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.end_id = end_id
         self.clear()
 
@@ -335,25 +347,20 @@ class PieceEncoder:
         begins[goes_on] = False
         return np.flatnonzero(begins[:-1])
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
-        """Encode new pieces and return their places. Pieces that hold a line feed are encoded alone."""
-        alone = np.array(["\n" in p for p in pieces])
-        order, flat, sizes = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]), [], []
-        lines = order[: len(pieces) - int(alone.sum())]
-        texts = ["\n".join([pieces[k] for k in lines[at : at + 2000].tolist()]) for at in range(0, len(lines), 2000)]
-        for got in self.pieces.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(got.ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.feed)
-            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            flat.append(ids[ids != self.feed])
-        for k in order[len(lines) :].tolist():
-            flat.append(np.array(self.library.encode(pieces[k], add_special_tokens=False).ids, dtype=np.uint32))
-            sizes.append(np.array([len(flat[-1])]))
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces and return their places. The library gets many at once, a blank between two, and tells whose an id is."""
+        flat, sizes = [], []
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            letters = self.letters[np.frombuffer(b" ".join(some), dtype=np.uint8)]
+            letters[np.cumsum([len(p) + 1 for p in some[:-1]], dtype=np.int64) - 1] = 32
+            got = self.pieces.encode(letters.tobytes().decode("utf-32-le"), add_special_tokens=False)
+            flat.append(np.array(got.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64)))
         ids, ends = np.concatenate(flat), self.used + np.cumsum(np.concatenate(sizes))
         if len(ends) != len(pieces):
             raise ValueError("pieces and ids differ in number")
-        places = np.empty(len(pieces), dtype=np.int32)
-        places[order] = np.arange(self.n, self.n + len(pieces))
+        places = np.arange(self.n, self.n + len(pieces), dtype=np.int32)
         self.place.add(keys, places)
         self.flat, self.starts = appended(self.flat, self.used, ids), appended(self.starts, self.n + 1, ends)
         self.n, self.used = self.n + len(pieces), self.used + len(ids)
@@ -393,7 +400,7 @@ class PieceEncoder:
                 new = np.arange(len(keys))
                 once, first, which = np.unique(keys, return_index=True, return_inverse=True)
             at = new[first]
-            place[new] = self._learn(once, [raw[x:y].decode() for x, y in zip(start[at].tolist(), end[at].tolist())])[which]
+            place[new] = self._learn(once, [raw[x:y] for x, y in zip(start[at].tolist(), end[at].tolist())])[which]
         cuts = np.searchsorted(start, offsets[1:])
         place = np.insert(place, cuts, 0)  # the end id of each text
         size = self.starts[place + 1] - self.starts[place]

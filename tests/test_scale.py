@@ -92,3 +92,16 @@ def test_golden_batches_write_what_they_bring(spark):
     got = table.read(spark, frames[0].schema)
     assert plan(got).count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, got.collect())) == [("p", "p 1", ["a1", "a", "a2", "a3"]), ("q", "q 1", ["a1", "a", "a2", "a3"])]
+
+
+def test_new_pieces_are_encoded_together():
+    """Pieces with line feeds and blanks too; the library gets none alone."""
+    np, tokens, names = (pytest.importorskip(m) for m in ("numpy", "provengine.llm.tokens", "public_tokenizers"))
+    encode = tokens.PieceEncoder(names.path("byte_bpe_50k.json"), 2)
+    texts = ["one\n\n two  three\n", "", "\n", " \t\r\n  x\x00\x7f\xa0\xad\u00e9\u0104\u2014 ", "0 1  22\n\n\n333", "".join(map(chr, range(0x28, 0x500)))]
+    want = [[*encode.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    encode.library = None
+    raw = [t.encode() for t in texts]
+    for _ in range(2):  # new, then remembered
+        ids, sizes = encode(np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.frombuffer(b"".join(raw), dtype=np.uint8))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
