@@ -444,6 +444,34 @@ def test_fuzzy_alignment_is_exact():
     assert fuzzy_substrings.stretches(hit, 50, 0.8) == [(0, 60), (260, 315)]
 
 
+def test_fuzzy_query_names_both_holders(spark, tmp_path):
+    """Passages of 51 to 80 words, planted in two texts each, and texts that hold none."""
+    from provengine.llm.queries import QUERIES
+
+    rng = random.Random(17)
+    make = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    rows = [(100 + k, make(rng.randrange(60, 200))) for k in range(40)]
+    for k in range(20):
+        passage = make(rng.randrange(51, 81))
+        rows += [(2 * k + side, make(rng.randrange(70)) + passage + make(60)) for side in (0, 1)]
+    spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_fuzzy_substrings"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(40)) and all(r.doc_id // 2 == r.ref_doc_id // 2 for r in got)
+
+
+def test_fuzzy_alignment_along_a_diagonal():
+    """A chain on one diagonal is its words side by side, unless a gap has a cheaper alignment."""
+    a = np.arange(200, dtype=np.uint32)
+    b = a.copy()
+    b[[20, 40, 42]] = 999
+    xs = np.array([0, 5, 30, 60, 90])
+    [(x, y, columns)] = fuzzy_substrings.align(a, b, xs, xs, 5)
+    assert (x, y, len(columns)) == (0, 0, 200) and (columns[:, :2] == 1).all() and np.flatnonzero(columns[:, 2] == 0).tolist() == [20, 40, 42]
+    b[35:60] = [*a[36:60], 999]  # a word left out and another put in
+    [(x, y, columns)] = fuzzy_substrings.align(a, b, xs, xs, 5)
+    assert len(columns) == 201 and columns[:, :2].sum(axis=0).tolist() == [200, 200] and (columns[:, 2] == 0).sum() == 3
+
+
 def test_chain_is_collinear_and_best():
     x, y = np.array([0, 5, 10, 15, 7, 20]), np.array([100, 105, 110, 115, 3, 120])
     best = fuzzy_substrings.chains(x, y, 5)[0]

@@ -100,12 +100,14 @@ def test_fuzzy_substrings(spark, texts):
     pairs, holders = set(), {}
     for r in got:
         a, b = words[r.doc_id][r.start : r.end], words[r.ref_doc_id][r.ref_start : r.ref_end]
-        assert r.ref_doc_id < r.doc_id and r.n_columns >= 50 and r.n_equal >= 0.8 * r.n_columns
+        assert r.ref_doc_id != r.doc_id and r.n_columns >= 50 and r.n_equal >= 0.8 * r.n_columns
         assert max(len(a), len(b)) <= r.n_columns <= len(a) + len(b) - r.n_equal and r.n_equal <= longest_common(a, b)
         pairs.add((r.doc_id, r.ref_doc_id))
     for d, w in words.items():
         for i in range(len(w) - 49):
             holders.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    spans = [(r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start, r.ref_end, r.n_columns, r.n_equal) for r in got]
+    assert sorted(spans) == sorted((*s[3:6], *s[:3], *s[6:]) for s in spans)  # each passage from both of its documents
     up = {d: d for d in words}
     root = lambda x: x if up[x] == x else root(up[x])
     for a, b in pairs:
