@@ -301,6 +301,18 @@ def test_exact_substrings(docs, empty):
     assert exact_substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 5, 51])
+def test_exact_passages(docs, empty, size):
+    rows = [(d, re.findall(rb"[^\x20\x09-\x0d]+", utf8(t))) for d, t, _ in rows_of(docs)]
+    seen = Counter(tuple(w[i : i + size]) for _, w in rows for i in range(len(w) - size + 1))
+    want = Counter((d, len({k for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for k in range(i, i + size)})) for d, w in rows)
+    got = exact_substrings.remove_repeats(docs, passage=size).collect()
+    assert Counter((r.doc_id, r.repeated_words) for r in got) == want and max(want.values()) and max(n for _, n in want)
+    plain = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r[c] for c in plain) for r in got) == Counter(map(tuple, exact_substrings.remove_repeats(docs).select(*plain).collect()))
+    assert exact_substrings.remove_repeats(empty, passage=size).count() == 0
+
+
 def test_fuzzy_substrings(docs, empty):
     got = fuzzy_substrings.shared_passages(docs).collect()
     words = defaultdict(list)

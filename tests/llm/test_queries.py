@@ -80,6 +80,30 @@ def test_exact_substrings(spark, texts):
     assert len(got) == len(raw)
 
 
+def test_exact_substrings_short_passages(spark, tmp_path):
+    """A repeated passage of just over 50 words has less than 400 bytes: it is found, and nothing is removed."""
+    rng = np.random.default_rng(4)
+    make = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 8)))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        n = 51 + k % 10
+        passage = make(n)
+        assert len(passage) < 400
+        for _ in range(2):
+            want[len(rows)] = n
+            rows.append((len(rows), f"{make(k)} {passage}\n{make(90 - k)}"))
+        want[len(rows)] = 0
+        rows.append((len(rows), make(150)))
+        shared = make(50)  # one word too few
+        for _ in range(2):
+            want[len(rows)] = 0
+            rows.append((len(rows), f"{make(20)} {shared} {make(20)}"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_exact_substrings"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.repeated_words for r in got} == want and len(got) == len(rows)
+    assert not any(r.n_removed or r.repeats for r in got)
+
+
 def test_tokens(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
