@@ -22,7 +22,7 @@ decides exactly. In step 2 strings that repeat inside a batch are decided there
 The texts are dealt by key once for both uses.
 
 `passage` asks the same of strings of that many words, a word standing where a byte does: such passages are counted,
-and nothing is removed for them, since most of 51 words have less than 400 bytes. Both kinds of triggers go through the
+and nothing is removed for them: nine of ten strings of 51 words have less than 400 bytes. Both kinds of triggers go through the
 two steps together. Words are runs of anything but ASCII white space, told apart by fingerprints; the blanks between them don't count.
 
 Null texts are empty; texts below `length` bytes lose nothing; null or repeated ids are rows of their own
